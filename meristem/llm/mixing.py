@@ -39,7 +39,7 @@ def water_fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     fits = F.when(level * F.col("weight") <= F.col("capacity"), level)
     return (
         nodes.withColumn("_level", fits)
-        .withColumn("_level", F.min("_level").over(group))
+        .withColumn("_level", F.max("_level").over(group))
         .withColumn("budget", F.least(F.col("capacity").cast("double"), F.coalesce(F.col("_level") * F.col("weight"), F.col("capacity").cast("double"))))
         .drop("_level")
     )

@@ -83,7 +83,7 @@ _LEVEL = """
     / sum(weight) over (partition by {parent} order by capacity / weight, {name} nulls first rows between current row and unbounded following) as level
   from p{k}
  ), m{k} as (
-  select *, min(case when level * weight <= capacity then level end) over (partition by {parent}) as fill from l{k}
+  select *, max(case when level * weight <= capacity then level end) over (partition by {parent}) as fill from l{k}
  ), b{k} as (
   select {path}, least(capacity::double, coalesce(fill * weight, capacity::double)) as budget from m{k}
  )"""
