@@ -1,4 +1,4 @@
-"""The registered queries over the shared tables, each with its DuckDB equivalent."""
+"""The registered queries over the shared tables, each with its DuckDB equivalent where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cases import base
+from .cases import learning, rasters, scalars, signals, tables  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
