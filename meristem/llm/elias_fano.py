@@ -82,14 +82,18 @@ class EliasFano:
         top, part = top[inside], values[inside] & _U((1 << self.bits) - 1)
         end = self._select_zero(top) - top
         at = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)) - (top - 1), 0)
-        live = np.flatnonzero(at < end)
+        # successor by halving: a frequent context's successors can fill a bucket
+        stop = end.copy()
+        live = np.flatnonzero(at < stop)
         while len(live):
-            got = self._low_at(at[live])
-            same = got == part[live]
-            out[inside[live[same]]] = at[live[same]]
-            live = live[got < part[live]]
-            at[live] += 1
-            live = live[at[live] < end[live]]
+            middle = (at[live] + stop[live]) >> 1
+            less = self._low_at(middle) < part[live]
+            at[live[less]] = middle[less] + 1
+            stop[live[~less]] = middle[~less]
+            live = live[at[live] < stop[live]]
+        some = np.flatnonzero(at < end)
+        some = some[self._low_at(at[some]) == part[some]]
+        out[inside[some]] = at[some]
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -128,7 +132,7 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
         with fs.open_input_stream(local) as source, os.fdopen(handle, "wb") as target:
             shutil.copyfileobj(source, target)
         local = copy
-    data = np.memmap(local, np.uint8, "r")
+    data = np.asarray(np.memmap(local, np.uint8, "r"))
     if copy:
         os.unlink(copy)
     size = int.from_bytes(data[:8].tobytes(), "little")
