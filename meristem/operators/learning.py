@@ -88,7 +88,7 @@ def distance(a: list[Column], b: list[Column], metric: str = "euclidean") -> Col
 def knn_classify(train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform", blocks: int = 8) -> DataFrame:
     """test rows with prediction by vote of the k nearest train rows (ties: smaller key; equal votes: smaller class). Training rows are dealt into blocks; each gives its own k, which are merged, so no task meets all pairs."""
     t = train.select(F.col(key).alias("__tk"), F.col(target).alias("__y"), *[F.col(f).cast("double").alias(f"__t_{f}") for f in features], F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b"))
-    q = test.select(F.col(key).alias("__qk"), *[F.col(f).cast("double").alias(f) for f in features], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("__b"))
+    q = test.select(F.col(key).alias("__qk"), *[F.col(f).cast("double").alias(f) for f in features], F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("__b"))
     far = distance([F.col(f) for f in features], [F.col(f"__t_{f}") for f in features], metric)
     near = q.join(t, "__b").select("__qk", "__b", "__y", "__tk", far.alias("__d"))
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("__d", "__tk"))
@@ -145,7 +145,9 @@ def classification_report(df: DataFrame, target: str, prediction: str) -> DataFr
 
 def _classified(model_of, train: DataFrame, test: DataFrame, features: list[str], target: str) -> tuple[DataFrame, object]:
     index = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
-    model = model_of().fit(assembled(index.transform(train), features))
+    ready = assembled(index.transform(train), features).persist()  # every iteration reads it
+    model = model_of().fit(ready)
+    ready.unpersist()
     names = F.array(*[F.lit(x) for x in index.labels])
     out = model.transform(assembled(test, features))
     return out.withColumn("prediction", F.get(names, F.col("__p").cast("int"))).select(*test.columns, "prediction"), model
@@ -174,7 +176,7 @@ def fourier_features(df: DataFrame, features: list[str], gamma: float, n: int, s
 
 
 @operator("ml_svm_classifier")
-def svm(train: DataFrame, test: DataFrame, features: list[str], target: str, kernel: str = "linear", c: float = 1.0, gamma: float | None = None, seed: int = 42) -> DataFrame:
+def svm(train: DataFrame, test: DataFrame, features: list[str], target: str, kernel: str = "linear", c: float = 1.0, gamma: float | None = None, max_iter: int = 10, seed: int = 42) -> DataFrame:
     """test rows with prediction: linear machines, one against the rest; an RBF kernel by random Fourier features."""
     if kernel == "rbf":
         gamma = 1 / len(features) if gamma is None else gamma
@@ -183,7 +185,7 @@ def svm(train: DataFrame, test: DataFrame, features: list[str], target: str, ker
         tr, te, names = train, test, features
     else:
         raise ValueError("kernel is linear or rbf")
-    svc = lambda: OneVsRest(classifier=LinearSVC(regParam=1 / max(c, 1e-9) / 100, maxIter=50), featuresCol="__features", labelCol="__y", predictionCol="__p")
+    svc = lambda: OneVsRest(classifier=LinearSVC(regParam=1 / max(c, 1e-9) / 100, maxIter=max_iter, aggregationDepth=2), featuresCol="__features", labelCol="__y", predictionCol="__p")
     return _classified(svc, tr, te, names, target)[0].drop(*[n for n in names if n.startswith("__rff_")])
 
 
@@ -207,7 +209,7 @@ def robust_line(df: DataFrame, x: str, y: str, mode: str = "l2", group_size: int
 def match_descriptors(queries: DataFrame, train: DataFrame, dims: int, ratio: float = 0.75, blocks: int = 4) -> DataFrame:
     """queries(q, d array) and train(t, d array) to (q, t, d1) whose nearest is under ratio times the second nearest. Training rows are dealt into blocks; each gives its two nearest, which are merged."""
     at = lambda c, n: [F.get(F.col(c), F.lit(i)).cast("double").alias(f"{n}{i}") for i in range(dims)]
-    a = queries.select("q", *at("d", "a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_b"))
+    a = queries.select("q", *at("d", "a"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("_b"))
     b = train.select("t", *at("d", "b"), F.pmod(F.xxhash64("t"), F.lit(blocks)).alias("_b"))
     d = a.join(b, "_b").select("q", "_b", "t", distance([F.col(f"a{i}") for i in range(dims)], [F.col(f"b{i}") for i in range(dims)]).alias("d1"))
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("d1", "t"))
