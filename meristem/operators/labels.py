@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import operator
+from ..session import cut
 from .components import connected_components
 from .pixels import KEY, size_of
 from .stencils import box_mean, dilate, erode, gaussian_blur, morphology, stencil
@@ -29,7 +30,7 @@ def runs(mask: DataFrame) -> DataFrame:
 
 def component_labels(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     """(raster_id, y, x, label) of the set pixels."""
-    r = runs(mask).withColumn("node", F.struct("raster_id", "y", "x0"))
+    r = cut(runs(mask)).withColumn("node", F.struct("raster_id", "y", "x0"))
     below = r.select("raster_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("node").alias("_node"))
     reach = 1 if connectivity == 8 else 0
     touch = (F.col("x0") <= F.col("_x1") + reach) & (F.col("_x0") <= F.col("x1") + reach)
@@ -324,8 +325,6 @@ def seeds(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
 @operator("feat_watershed")
 def watershed(markers: DataFrame, mask: DataFrame, rounds: int = 64) -> DataFrame:
     """Grows labels over a mask by one ring of pixels a round until nothing changes or rounds are over; where labels meet the smallest wins. Growth is by distance, not by grey level. Lineage is cut each round."""
-    from ..session import cut
-
     area = mask.where("v > 0").select(*KEY)
     grown = cut(area.join(markers.where("label > 0"), KEY, "left").select(*KEY, "label"))
     k = np.ones((3, 3))
