@@ -1,28 +1,10 @@
-"""What operators need from the session: a shared folder, a cut of lineage, and an encoder of tokens."""
+"""What these operators need from the session besides meristem.session."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="meristem-shared-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..session import cut, shared_dir  # noqa: F401
 
 
 def extended(schema: StructType, ddl: str) -> StructType:

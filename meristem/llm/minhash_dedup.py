@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._session import cut
-from .components import connected_components
+from ..operators.components import connected_components
 
 BANDS, ROWS, BITS = 32, 4, 4
 BUCKET, BLOCK = 1024, 256
