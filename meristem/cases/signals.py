@@ -70,7 +70,7 @@ def _store(spark, d):
     return S.variable_store(events(spark, d), "event_type", "event_id", ["user_id"], max_items=3)
 
 
-@case("util_snapshot", f"with e as (select *, case when {_UP} then value end as at from events) select user_id, event_id, last_value(at ignore nulls) over {_W.format('unbounded')} as main from e")
+@case("util_snapshot", f"with e as (select *, case when {_UP} then value end as held from events) select user_id, event_id, last_value(held ignore nulls) over {_W.format('unbounded')} as main from e")
 def _snapshot(spark, d):
     return S.snapshot(events(spark, d), *ARGS, capture="value > 20").select("user_id", "event_id", "main")
 

@@ -211,11 +211,12 @@ def dict_scale(d: Column, factor: float, power: int = 1, operation: str = "multi
 def report_panel(d: Column, groups: list[str]) -> Column:
     """Entries in the order of groups; * stands for all keys not named."""
     named = [g for g in groups if g != "*"]
-    parts = []
-    for g in groups:
-        entries = F.map_entries(d)
-        parts.append(F.filter(entries, lambda e: ~e["key"].isin(*named)) if g == "*" else F.filter(entries, lambda e, g=g: e["key"] == g))
-    return F.flatten(F.array(*parts))
+    entries = F.map_entries(d)
+
+    def part(group: str) -> Column:
+        return F.filter(entries, lambda e: ~e["key"].isin(*named) if group == "*" else e["key"] == group)
+
+    return F.flatten(F.array(*[part(g) for g in groups]))
 
 
 @operator("sci_calibration", "column")

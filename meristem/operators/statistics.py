@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import operator
+from ..session import cut
 
 
 def _value(df: DataFrame, value: str) -> DataFrame:
@@ -57,14 +58,16 @@ def mad_scale(df: DataFrame, value: str, by: list[str] = [], z_threshold: float
 
 @operator("sci_m_estimator")
 def m_estimator(df: DataFrame, value: str, by: list[str], kernel: str = "huber", k_sigma: float = 1.345, iterations: int = 10) -> DataFrame:
-    """Location by iterated reweighting from the median; Huber or Tukey weights at k normal-consistent scales. Each round is one partial aggregate; an unchanged estimate stays."""
-    rows = _mad(df, value, by).select(*by, "__v", F.greatest("sigma_hat", F.lit(1e-12)).alias("s"), F.col("median").alias("m"))
+    """Location by iterated reweighting from the median; Huber or Tukey weights at k normal-consistent scales. A round joins the values with the groups' estimates, which stay small, and sums with partial aggregates."""
+    values = _value(df, value).select(*by, "__v")
+    state = _mad(df, value, by).groupBy(*by).agg(F.first("median").alias("m"), F.greatest(F.first("sigma_hat"), F.lit(1e-12)).alias("s"))
     for _ in range(iterations):
+        state = cut(state)
         u = F.abs(F.col("__v") - F.col("m")) / (k_sigma * F.col("s"))
         w = F.when(u <= 1, F.lit(1.0)).otherwise(1 / u) if kernel == "huber" else F.when(u < 1, F.pow(1 - u * u, F.lit(2))).otherwise(F.lit(0.0))
-        new = rows.groupBy(*by).agg((F.sum(w * F.col("__v")) / F.nullif(F.sum(w), F.lit(0.0))).alias("new"))
-        rows = rows.join(new, by).select(*by, "__v", "s", F.coalesce("new", "m").alias("m"))
-    return rows.groupBy(*by).agg(F.first("m").alias("estimate"), F.avg("__v").alias("ls_estimate"))
+        state = values.join(state, by).groupBy(*by).agg(F.coalesce(F.sum(w * F.col("__v")) / F.nullif(F.sum(w), F.lit(0.0)), F.first("m")).alias("m"), F.first("s").alias("s"))
+    means = values.groupBy(*by).agg(F.avg("__v").alias("ls_estimate"))
+    return state.select(*by, F.col("m").alias("estimate")).join(means, by)
 
 
 @operator("sci_robust_stats")
