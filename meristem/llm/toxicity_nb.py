@@ -11,12 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import cut, extended
+from ._session import extended
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -108,29 +107,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: s
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     marked = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_label"))
-    labelled = rows.where(train).join(marked, F.col(id_col) == F.col("_id")).select(F.col("_id").cast("long"), "_label", "_text")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, code, owner in _features(2)(batches):
-            owner, code = presence(code, owner)
-            bounds = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(code.astype(np.int32)))], names=["id", "y", "f"])
-
-    known = cut(labelled.mapInArrow(features, "id long, y int, f array<int>"))
+    labelled = rows.where(train).join(marked, F.col(id_col) == F.col("_id")).select("_label", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS + 1), np.int64)
-        for batch in batches:
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            own = np.repeat(y, pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
-            f = batch.column(2).flatten().to_numpy()
+        for part, code, owner in _features(1)(batches):
+            y = part.column(0).to_numpy(zero_copy_only=False)
+            owner, code = presence(code, owner)
             for k in (0, 1):
-                total[k, :-1] += np.bincount(f[own == k], minlength=BUCKETS)
+                total[k, :-1] += np.bincount(code[y[owner] == k], minlength=BUCKETS)
                 total[k, -1] += (y == k).sum()
         k, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], names=["y", "bucket", "n"])
 
-    found = known.mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2 * BUCKETS rows at most
+    found = labelled.mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2 * BUCKETS rows at most
     total = np.zeros((2, BUCKETS + 1))
     total[found["y"].to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy()
     ratio = log_count_ratio(total[1], total[0])
@@ -138,12 +128,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: s
     strong = np.abs(ratio) > 0.7
     n_known = int(total[:, -1].sum())
     chance = min(1.0, SAMPLE_ROWS / max(1, n_known))
-    some = known.where(F.col("y").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(chance * (1 << 30)))).select("y", "f")
+    # drawn before the join, so only the sample's texts move a second time
+    some = rows.where(train & (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(chance * (1 << 30)))).join(marked, F.col(id_col) == F.col("_id")).select("_label", "_text")
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.array(x)[strong[np.array(x, int)]].tolist() if x else [] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["y", "f"])
+        for part, code, owner in _features(1)(batches):
+            live = strong[code]
+            owner, code = presence(code[live], owner[live])
+            bounds = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(code.astype(np.int32)))], names=["y", "f"])
 
     sample_y, sample_f, taken = [], [], 0
     for r in some.mapInArrow(scaled, "y int, f array<int>").limit(SAMPLE_ROWS * 2).toLocalIterator():
