@@ -99,8 +99,8 @@ def mix_sources(
     plan = budgets(leaves, total, epochs, weights)
     plan = leaves.join(plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "budget"), _same(), "left").select(
         *LEVELS,
-        F.coalesce(F.expr("cast(least(budget, tokens * {0}) as bigint) div tokens".format(epochs)), F.lit(0)).cast("long").alias("full_epochs"),
-        F.coalesce(F.expr("cast(least(budget, tokens * {0}) as bigint) % tokens".format(epochs)), F.lit(0)).cast("long").alias("last_budget"),
+        F.coalesce(F.expr("cast(least(budget, tokens * {0}) as bigint) div nullif(tokens, 0)".format(epochs)), F.lit(0)).cast("long").alias("full_epochs"),
+        F.coalesce(F.expr("cast(least(budget, tokens * {0}) as bigint) % nullif(tokens, 0)".format(epochs)), F.lit(0)).cast("long").alias("last_budget"),
     )
     plan = cut(plan)
 
