@@ -426,7 +426,8 @@ def test_rules_measures(spark, odd, empty):
         assert (r["n_words"], r["n_repeat_words"], r["word_chars"]) == (len(w), len(covered), sum(map(len, w)))
         assert r["n_dup_lines"] == len(lines) - len(set(lines)) and r["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
     out = {r["doc_id"]: r for r in apply_rules(odd).collect()}
-    assert len(out) == len(ODD) - 1 and not out[1]["kept"] and out[9]["n_repeat_words"] == 30000 and out[6]["kept"]
+    assert len(out) == len(ODD) - 1 and not out[1]["kept"] and out[9]["n_repeat_words"] == 30000
+    assert not out[6]["base_failed"] and not out[6]["kept"]  # only one-letter words, which word_length rejects
     assert apply_rules(empty).count() == 0
 
 
