@@ -32,6 +32,7 @@ from ..operators.components import connected_components
 
 BANDS, ROWS, BITS = 32, 4, 4
 BUCKET, BLOCK = 1024, 256
+BROADCAST_ROWS = 500_000  # candidates; more meet their texts by a shuffle
 _U = np.uint64
 
 
@@ -296,7 +297,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
         .select(F.col("component").alias("cluster"), "id", "block", "blocks")
     )
-    with_text = dealt.join(source, "id").join(chosen.select("id", "sig"), "id")
+    few = clusters.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    with_text = source.join(F.broadcast(dealt) if few else dealt, "id").join(chosen.select("id", "sig"), "id")
     paired = with_text.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
         "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "sig", "text"
     )
