@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles to some digits, as the SQL has them."""
-    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """All doubles to some digits, as the SQL has them; a sum that rounds to -0.0 is 0.0."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:

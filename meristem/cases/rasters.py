@@ -106,7 +106,7 @@ px("filter_low_pass", lambda d: N.low_pass(d, 5), None)
 px("filter_low_pass_raw", lambda d: N.gaussian_blur(d, 5), near_sql(GAUSS, "round(sum(b.v * k.k), 4)"), digits=4)
 px("filter_high_pass", N.high_pass, None)
 px("feat_bilateral", N.bilateral, None)
-px("filter_laplacian", N.laplacian, near_sql(LAP, "round(sum(b.v / 255 * k.k), 6)"))
+px("filter_laplacian", N.laplacian, near_sql(LAP, "round(sum(b.v / 255 * k.k), 6) + 0.0"))
 px("plugin_sobel", N.sobel, None)
 px("plugin_gradient", lambda d: N.gradient(d).select("raster_id", "y", "x", F.col("dx").alias("v")), near_sql([(i, j, float(N.SOBEL_X[i + 1, j + 1])) for i in (-1, 0, 1) for j in (-1, 0, 1)], "sum(b.v * k.k)"))
 px("filter_gabor", N.gabor, None)

@@ -24,7 +24,7 @@ def duck():
 def plain(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return None
-    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+    return float(x) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else x
 
 
 def rows_of(rows, columns):
