@@ -36,3 +36,13 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     assert set(Q.queries()) <= set(e.queries()) and set(Q.oracle_sql()) <= set(e.oracle_sql())
+
+
+def test_rules_stage_judges_each_row_by_itself(spark):
+    """Rows that share an id, or have none, keep their own verdicts; columns named like the measures stay as they are."""
+    clean, poor = "one two three four five six seven eight nine ten eleven", "too few words"
+    rows = [(1, clean, "x", 7), (1, poor, "y", 8), (None, clean, "x", 9), (None, None, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int")
+    out = P.quality_rules(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert {(r["doc_id"], r["n_words"], r["kept"]) for r in out.collect()} == {(1, 7, "x"), (None, 9, "x")}
