@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import cut, extended
-from .tokens import token_ids
+from .tokens import text_ids
 
 GROUP = 1 << 15
 
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: Capacity = Capacity(), end_id:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(token_ids(path, text.as_py()), np.array([end_id], "<u4")).astype("<u4")
+                ids = np.append(text_ids(path, text.as_py()), np.array([end_id], "<u4")).astype("<u4")
                 start, piece = 0, 0
                 while start < len(ids):
                     length = min(most, len(ids)) if piece else (len(ids) - 1) % most + 1

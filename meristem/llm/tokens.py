@@ -2,6 +2,7 @@
 
 The vocabulary file is the tokenizers library's JSON; encoding its merges goes through tiktoken's
 engine, which gives the same ids several times faster (tests/llm compare the two on whole tables).
+Texts that hold an added token's string go through the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,29 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[str, ...]:
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
+
+
+@functools.lru_cache(maxsize=2)
+def library(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
+
+
 def token_ids(path: str, text: str | None) -> np.ndarray:
     """Ids of a whole text, little-endian unsigned 32-bit; special tokens' strings are ordinary text, null is empty."""
     return np.array(encoder(path).encode_ordinary(text), "<u4") if text else np.zeros(0, "<u4")
 
 
+def text_ids(path: str, text: str | None) -> np.ndarray:
+    """As token_ids, but added tokens' strings get their own ids, as the tokenizers library has it by default; it adds none itself."""
+    if text and any(token in text for token in added_tokens(path)):
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4")
+    return token_ids(path, text)
+
+
 def count_tokens(docs: DataFrame, text_col: str, path: str, keep: list[str]) -> DataFrame:
     """The columns keep and n_tokens long (a null text has 0)."""
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
@@ -56,7 +76,7 @@ def count_tokens(docs: DataFrame, text_col: str, path: str, keep: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.array([len(token_ids(path, t.as_py())) for t in batch.column(batch.num_columns - 1)], pa.int64())
+            n = pa.array([len(text_ids(path, t.as_py())) for t in batch.column(batch.num_columns - 1)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return rows.mapInArrow(run, out)

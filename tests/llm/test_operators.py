@@ -22,7 +22,7 @@ from meristem.llm.packing import Capacity, best_fit, pack_documents
 from meristem.llm.quality_qda import fit, quality_scores
 from meristem.llm.quality_rules import apply_rules, cascade, method_rules, order_rules, with_measures
 from meristem.llm.rollups import TokenRollup, deletes, inserts, revisions
-from meristem.llm.tokens import token_ids, vocabulary_path
+from meristem.llm.tokens import count_tokens, token_ids, vocabulary_path
 from meristem.llm.toxicity_nb import toxicity_scores
 
 SF = "/root/testdata/sf0.001"
@@ -166,6 +166,20 @@ def test_tokens_equal_the_tokenizers_library(docs):
         assert token_ids(path, text).tolist() == e.ids
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path()
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n", "<|endoftext| >", "é\U0001f600<|endoftext|>don't" + " word" * 1500]
+    want = {i: [*e.ids, 2] for i, e in enumerate(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False))}
+    assert want[0] == [64, 220, 50256, 275, 2]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(rows, "text", path, ["doc_id"]).collect()} == {i: len(w) - 1 for i, w in want.items()}
+    for r in pack_documents(rows, path).collect():
+        ids = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(ids) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_packing_is_whole_and_tight(docs):
     path = vocabulary_path()
     got = pack_documents(docs, path).toPandas()
