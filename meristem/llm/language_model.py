@@ -6,8 +6,9 @@ which a context's successors lie together, kept as an Elias-Fano sequence with 1
 log10 probabilities and back-off weights. Tasks map the levels from the shared folder into memory.
 
 The first level has every word with its count, so the add-one base is exact. Longer n-grams are kept
-from LEAST occurrences on, counted over all training texts; since a frequent n-gram's parts are
-frequent too, each pass counts only n-grams whose parts were kept, and loses none. Probabilities are
+from a number of occurrences on (least; 1 keeps all, as op7 does), counted over all training texts; since
+a frequent n-gram's parts are frequent too, each pass counts only n-grams whose parts were kept, and
+loses none. Probabilities are
 interpolated with absolute discounting, and what a context's kept successors leave goes to the shorter
 context, so each context's probabilities sum to 1.
 """
@@ -74,6 +75,7 @@ class Shape:
     first: tuple[int, ...]
     tokens: int
     levels: int
+    least: int = LEAST
 
     @property
     def words(self) -> int:
@@ -177,7 +179,7 @@ def _climb(shape: Shape, t: Tokens, top: int) -> list[np.ndarray]:
     nodes = [local]
     for level in range(2, top + 1):
         node = np.full(len(t.ids), -1, np.int64)
-        i = np.flatnonzero(_candidates(t, nodes, level))
+        i = np.flatnonzero(_candidates(shape, t, nodes, level))
         if len(i):
             shard = t.shard[i - level + 1]
             node[i] = _nodes(shape, level, shard, _keys(shape, t, nodes, level, i))
@@ -185,9 +187,9 @@ def _climb(shape: Shape, t: Tokens, top: int) -> list[np.ndarray]:
     return nodes
 
 
-def _candidates(t: Tokens, nodes: list[np.ndarray], level: int) -> np.ndarray:
+def _candidates(shape: Shape, t: Tokens, nodes: list[np.ndarray], level: int) -> np.ndarray:
     """Tokens at which an n-gram of this level ends whose parts were all kept."""
-    frequent = t.counts >= LEAST
+    frequent = t.counts >= shape.least
     out = np.zeros(len(t.ids), bool)
     if len(out) >= level:
         if level == 2:
@@ -236,7 +238,7 @@ def _counted(texts: DataFrame, bits: int, level: int, shape: Shape | None) -> Da
                 else:
                     t = _tokens(shape, data, offsets)
                     nodes = _climb(shape, t, level - 1)
-                    i = np.flatnonzero(_candidates(t, nodes, level))
+                    i = np.flatnonzero(_candidates(shape, t, nodes, level))
                     keys, shard, counts = _keys(shape, t, nodes, level, i), t.shard[i - level + 1], np.ones(len(i), np.int64)
                 held.append((shard, keys, counts))
                 size += len(keys)
@@ -270,7 +272,7 @@ def _write_level(folder: str, bits: int, level: int, shape: Shape | None):
             big = np.flatnonzero(counts >= 255)
             extra = {"count": np.minimum(counts, 255).astype(np.uint8), "big_at": big, "big_count": counts[big]}
         else:
-            often = counts >= LEAST
+            often = counts >= shape.least
             keys, counts = keys[often], counts[often]
             parents = _parent_size(shape, level, shard)
             sequence = EliasFano.build(keys, max(1, parents * shape.words))
@@ -316,7 +318,7 @@ def _shorter(shape: Shape, level: int, shard: int, parent: np.ndarray, word: np.
     return out
 
 
-def train_model(docs: DataFrame, train: Column) -> Shape:
+def train_model(docs: DataFrame, train: Column, least: int = LEAST) -> Shape:
     """Builds the trie over docs(text) where train holds; null texts are empty. Only sums by shard reach the driver."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
@@ -336,8 +338,8 @@ def train_model(docs: DataFrame, train: Column) -> Shape:
                 write_arrays(folder, f"level{level}-{s:05d}", EliasFano.build(np.zeros(0, _U), 1).arrays() | none | {"key": np.zeros(0, _U), "n": np.zeros(0, np.uint32), "big_at": np.zeros(0, np.int64), "big_count": np.zeros(0, np.int64)})
         if level == 1:
             first = np.concatenate(([0], np.cumsum([sizes[s]["n"] if s in sizes else 0 for s in range(1 << bits)])))
-            shape = Shape(folder, bits, tuple(int(x) for x in first), sum(r["tokens"] for r in sizes.values()), 1)
-    return Shape(folder, bits, shape.first, shape.tokens, ORDER)
+            shape = Shape(folder, bits, tuple(int(x) for x in first), sum(r["tokens"] for r in sizes.values()), 1, least)
+    return Shape(folder, bits, shape.first, shape.tokens, ORDER, least)
 
 
 def score_tokens(shape: Shape, t: Tokens) -> np.ndarray:
@@ -365,14 +367,15 @@ def score_tokens(shape: Shape, t: Tokens) -> np.ndarray:
     return p
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     A null or empty text is its end alone. Repeated rows each get a row and count each in training.
+    Bigrams and trigrams seen fewer than least times in training are dropped; 1 keeps all.
     Without training texts every token is unknown and both scores are 0. Other columns are not read.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    shape = train_model(docs.select(F.col(id_col), F.col(text_col).alias("text")), train)
+    shape = train_model(docs.select(F.col(id_col), F.col(text_col).alias("text")), train, least)
     schema = extended(rows.drop("text").schema, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,7 +84,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    found = score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2, least=1)
     return found.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -410,6 +410,33 @@ def test_language_model_agrees_with_a_plain_one(spark):
         assert abs(r["score"] - want) < 1e-3 * len(s)
 
 
+def test_language_model_query_keeps_every_ngram(spark, tmp_path):
+    rng = np.random.default_rng(17)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.6, rng.integers(0, 25)) % 40)) for i in range(60)] + [(60, "once only here"), (61, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in Q.op7_lm_scores(spark, str(tmp_path)).collect()}
+    said = {i: ["</s>", *words(t), "</s>"] for i, t in rows}
+    train = [s for i, s in said.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c1 = Counter(w for s in train for w in s[1:])
+    c2, c3 = (Counter(tuple(s[i : i + k]) for s in train for i in range(len(s) - k + 1)) for k in (2, 3))
+    assert min(c2.values()) == min(c3.values()) == 1
+    heads, pairs = Counter(g[0] for g in c2), Counter(g[:2] for g in c3)
+
+    def p(*g):
+        if len(g) == 1:
+            return (c1[g[0]] + 1) / (sum(c1.values()) + len(c1) + 1)
+        c, total, kinds = (c2, c1[g[0]], heads[g[0]]) if len(g) == 2 else (c3, c2[g[:2]], pairs[g[:2]])
+        if not total:
+            return p(*g[1:])
+        seen = sum(n for k, n in c.items() if k[:-1] == g[:-1])
+        return max(c[g] - 0.75, 0) / total + (1 - (seen - 0.75 * kinds) / total) * p(*g[1:])
+
+    assert set(got) == set(said)
+    for i, s in said.items():
+        want = sum(math.log10(p(*s[max(0, j - 2) : j + 1])) for j in range(1, len(s)))
+        assert abs(got[i]["score"] - want) < 1e-3 * len(s)
+
+
 def test_language_model_sums_to_one(spark):
     docs = spark.createDataFrame([(i, "a b a b c a b d" if i % 2 else "b c d a b a") for i in range(20)], "doc_id long, text string")
     shape = LM.train_model(docs, F.lit(True))
