@@ -26,7 +26,7 @@ _LOWER = np.arange(0x250, dtype=np.uint32)
 for _c in range(0x250):
     if len(chr(_c).lower()) == 1:
         _LOWER[_c] = ord(chr(_c).lower())
-_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,7 +39,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, bool)
     owner = np.repeat(np.arange(n), np.diff(at))
-    letter = np.where(points < 0x10000, _LETTER[np.minimum(points, 0xFFFF)], True)
+    letter = _LETTER[points]
     points = np.where(points < 0x250, _LOWER[np.minimum(points, 0x24F)], points)
     points[~letter] = 32
     keep = letter | np.concatenate(([True], letter[:-1] | (owner[1:] != owner[:-1])))

@@ -13,7 +13,7 @@ from meristem.llm import language_model as LM
 from meristem.llm import queries as Q
 from meristem.operators.components import connected_components
 from meristem.llm.elias_fano import EliasFano
-from meristem.llm.language_mixture import identify_languages, mixture
+from meristem.llm.language_mixture import grams, identify_languages, mixture
 from meristem.llm.language_model import score_texts
 from meristem.llm.minhash_dedup import estimate, minhash_dedup, minima, pack_bits
 from meristem.llm.mixing import mix_sources
@@ -366,6 +366,16 @@ def test_language_edges(odd, empty):
     assert {r["lang_pred"] for r in identify_languages(odd, F.lit(False)).collect()} == {"und"}
 
 
+def test_symbols_above_ffff_are_no_letters(spark):
+    texts = ["\U0001f600", "12 \U0001f600\U0001f1e9 34", "\U0001f1e9\U0001f1ea", "\U00020000\U00020001", "\U0001d400 x", "word"]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(rows, F.lit(True)).collect()}
+    assert got == {i: "en" if any(c.isalpha() for c in t) else "und" for i, t in enumerate(texts)}
+    letters, owner, has = grams(np.frombuffer("a\U0001f600b".encode(), np.uint8), np.array([0, 6]))
+    spaced = grams(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))
+    assert np.array_equal(letters, spaced[0]) and has.all()
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(6)
     for n, top in ((0, 10), (1, 5), (1000, 10**12), (5000, 6000), (3000, 2**62)):
