@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct hashed n-grams of words with their boundaries. Their log-count ratios come
-from document counts over all labelled rows; the logistic weights on the scaled features are fitted on
-a bounded, hash-ordered sample of labelled rows (SAMPLE_ROWS, of SAMPLE_FEATURES features in all).
+from document counts over the labelled rows, at most about FIT_ROWS ids drawn by hash. The STRONG
+features whose ratios tell the classes apart best get logistic weights on their scaled values, fitted
+on the SAMPLE_ROWS labelled rows with the smallest hashes.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._labels import FIT_ROWS, drawn_labels, labelled_rows
 from ._session import extended
 
 BITS = 18
 BUCKETS = 1 << BITS
 ORDERS = (4, 5, 6)
-SAMPLE_ROWS, SAMPLE_FEATURES = 6000, 6_000_000
+STRONG, SAMPLE_ROWS = 1 << 15, 4000
 _U = np.uint64
 
 
@@ -70,20 +72,37 @@ def log_count_ratio(positive: np.ndarray, negative: np.ndarray, alpha: float = 0
     return ratio
 
 
-def fit_weights(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weights on the scaled features and an intercept, by accelerated gradient steps on the class-balanced logistic loss."""
-    w, bias = np.zeros(BUCKETS), 0.0
-    if not len(y) or y.min() == y.max():
-        return w, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
-    value = ratio[cols]
-    size = np.sqrt(np.maximum(np.bincount(rows, value * value, len(y)), 1e-9))
-    value = value / size[rows]
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+def strongest(positive: np.ndarray, negative: np.ndarray, ratio: np.ndarray, most: int = STRONG) -> np.ndarray:
+    """Rising buckets of the features with a ratio over 0.7 either way; if they are more than most, those with the largest ratios times the root of their document counts (ties: the smaller bucket)."""
+    live = np.flatnonzero(np.abs(ratio) > 0.7)
+    strength = np.abs(ratio[live]) * np.sqrt((positive + negative)[live])
+    return np.sort(live[np.lexsort((live, -strength))[:most]])
+
+
+def fit_weights(features: list[np.ndarray], counts: np.ndarray, scale: np.ndarray, l2: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights on the scaled features and an intercept, by accelerated gradient steps on the class-balanced logistic loss.
+
+    features: each row's; counts (rows, 2): how often it is labelled 0 and 1; scale: each feature's. Rows
+    have length 1. With rows of one class only, the weights are 0.
+    """
+    w, bias, total = np.zeros(len(scale)), 0.0, counts.sum(axis=0) if len(counts) else np.zeros(2)
+    if not total.all():
+        return w, float(np.log((total[1] + 1) / (total[0] + 1))) if total.any() else 0.0
+    weight = counts * (0.5 / total)
+    size = np.array([len(f) for f in features])
+    full = np.flatnonzero(size)
+    cols = np.concatenate(features) if len(full) else np.zeros(0, np.uint16)
+    starts = np.concatenate(([0], np.cumsum(size[full])[:-1])) if len(full) else np.zeros(0, np.int64)
+    norm = np.ones(len(features))
+    norm[full] = np.sqrt(np.maximum(np.add.reduceat((scale * scale)[cols], starts), 1e-9)) if len(full) else 1
     v, vb, step = w.copy(), bias, 4.0
     for i in range(rounds):
-        z = np.bincount(rows, value * v[cols], len(y)) + vb
-        g = weight * (1 / (1 + np.exp(-z)) - y)
-        grad = np.bincount(cols, value * g[rows], BUCKETS) + l2 * v
+        z = np.full(len(features), vb)
+        if len(full):
+            z[full] += np.add.reduceat((v * scale)[cols], starts) / norm[full]
+        p = 1 / (1 + np.exp(-z))
+        g = weight.sum(axis=1) * p - weight[:, 1]
+        grad = np.bincount(cols, np.repeat(g[full] / norm[full], size[full]), len(scale)) * scale + l2 * v
         new, new_bias = v - step * grad, vb - step * g.sum()
         v, vb = new + i / (i + 3) * (new - w), new_bias + i / (i + 3) * (new_bias - bias)
         w, bias = new, new_bias
@@ -99,56 +118,64 @@ def _features(text_at: int):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id_col, score double, predicted int) for every row; labels(doc_id, toxic) teach it where train holds.
+def document_counts(labelled: DataFrame) -> np.ndarray:
+    """By class: in how many of labelled(_n0, _n1, _text) each bucket occurs, and their number at the end."""
 
-    Null labels and labels other than 0 and 1 are left out. Null and empty texts get the score of a
-    text without features. Repeated rows each get a row. Other columns are not read.
-    """
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    marked = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_label"))
-    labelled = rows.where(train).join(marked, F.col(id_col) == F.col("_id")).select("_label", "_text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS + 1), np.int64)
-        for part, code, owner in _features(1)(batches):
-            y = part.column(0).to_numpy(zero_copy_only=False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BUCKETS + 1))
+        for part, code, owner in _features(2)(batches):
             owner, code = presence(code, owner)
             for k in (0, 1):
-                total[k, :-1] += np.bincount(code[y[owner] == k], minlength=BUCKETS)
-                total[k, -1] += (y == k).sum()
-        k, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], names=["y", "bucket", "n"])
+                n = part.column(k).to_numpy()
+                total[k, :-1] += np.bincount(code, n[owner], BUCKETS)
+                total[k, -1] += n.sum()
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at].astype(np.int64)), pa.array(total[1, at].astype(np.int64))], names=["bucket", "n0", "n1"])
 
-    found = labelled.mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2 * BUCKETS rows at most
+    found = labelled.mapInArrow(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # BUCKETS + 1 rows at most
     total = np.zeros((2, BUCKETS + 1))
-    total[found["y"].to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy()
-    ratio = log_count_ratio(total[1], total[0])
+    total[:, found["bucket"].to_numpy(int)] = found[["n0", "n1"]].to_numpy().T
+    return total
 
-    strong = np.abs(ratio) > 0.7
-    n_known = int(total[:, -1].sum())
-    chance = min(1.0, SAMPLE_ROWS / max(1, n_known))
-    # drawn before the join, so only the sample's texts move a second time
-    some = rows.where(train & (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(chance * (1 << 30)))).join(marked, F.col(id_col) == F.col("_id")).select("_label", "_text")
 
-    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, code, owner in _features(1)(batches):
-            live = strong[code]
-            owner, code = presence(code[live], owner[live])
+def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(id_col, score double, predicted int) for every row; labels(doc_id, toxic) teach it where train holds.
+
+    Null labels and labels other than 0 and 1 are left out; a document with several labels counts once
+    for each. Null and empty texts get the score of a text without features, and a null id is scored
+    like any other and teaches nothing. Repeated rows each get a row. Of labelled rows with the same
+    hash the smaller id goes first into the sample. Other columns are not read. An empty table gives no
+    rows. A text is held whole by its task, at some 150 bytes a byte, however long it is.
+    """
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    drawn = drawn_labels(labels, "toxic", fit_rows).persist()  # at most about fit_rows rows
+    total = document_counts(labelled_rows(rows, drawn, train, id_col, F.col("_text")))
+    ratio = log_count_ratio(total[1], total[0])
+    strong = strongest(total[1, :-1], total[0, :-1], ratio)
+    index = np.full(BUCKETS, -1, np.int32)
+    index[strong] = np.arange(len(strong))
+    scale = ratio[strong]
+
+    # drawn before the texts are read: rows enough for the sample, and few more
+    draw = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30))
+    few = drawn.where(draw < int(min(1.0, 1.5 * SAMPLE_ROWS / max(1, total[:, -1].sum())) * (1 << 30)))
+    some = labelled_rows(rows, few, train, id_col, F.col(id_col).alias("_doc"), F.col("_text"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, code, owner in _features(3)(batches):
+            at = index[code]
+            owner, code = presence(at[at >= 0].astype(np.int64), owner[at >= 0])
             bounds = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(code.astype(np.int32)))], names=["y", "f"])
-
-    sample_y, sample_f, taken = [], [], 0
-    for r in some.mapInArrow(scaled, "y int, f array<int>").limit(SAMPLE_ROWS * 2).toLocalIterator():
-        if taken + len(r["f"]) > SAMPLE_FEATURES:
-            break
-        sample_y.append(r["y"]), sample_f.append(np.array(r["f"], np.int32))
-        taken += len(r["f"])
-    y = np.array(sample_y, float)
-    at = np.repeat(np.arange(len(y)), [len(f) for f in sample_f]) if len(y) else np.zeros(0, int)
-    scale = np.where(strong, ratio, 0.0)
-    weights, bias = fit_weights(at, np.concatenate(sample_f) if sample_f else np.zeros(0, int), y, scale)
-    model = docs.sparkSession.sparkContext.broadcast((np.stack([weights * scale, scale * scale]).astype(np.float32), bias))  # 2 * BUCKETS numbers
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(bounds), pa.array(code.astype(np.int32)))], names=["n0", "n1", "id", "f"])
+
+    kind = rows.schema[0].dataType.simpleString()
+    sample = some.mapInArrow(chosen, f"n0 long, n1 long, id {kind}, f array<int>").orderBy(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)), "id", "n0", "f").limit(SAMPLE_ROWS).collect()
+    features = [np.array(r["f"], np.uint16) for r in sample]  # SAMPLE_ROWS rows of STRONG two-byte numbers at most
+    weights, bias = fit_weights(features, np.array([(r["n0"], r["n1"]) for r in sample], float).reshape(-1, 2), scale)
+    drawn.unpersist()
+    linear, square = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    linear[strong], square[strong] = weights * scale, scale * scale
+    model = docs.sparkSession.sparkContext.broadcast((np.stack([linear, square]), bias))  # 2 * BUCKETS numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (linear, square), intercept = model.value
