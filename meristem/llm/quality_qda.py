@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant analysis of document statistics.
 
 A text becomes a short vector of transformed statistics. Each class's mean and covariance come from
-summed moments over all labelled rows; a class covariance is shrunk towards the pooled one and then
+summed moments over the labelled rows, at most about FIT_ROWS of them; a class covariance is shrunk towards the pooled one and then
 towards a multiple of the identity. The score is the logistic of the log-density difference of the two
 classes, from Mahalanobis distances by Cholesky factors that are computed once and sent to the tasks.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import cut, extended
+from ._labels import FIT_ROWS, drawn_labels, labelled_rows
+from ._session import extended
 
 #: Byte classes, in the order of their statistics.
 CLASSES = (
@@ -97,59 +98,56 @@ def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, pooled: floa
     return Discriminant(means, np.array(factors), np.array(constants))
 
 
-def document_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep and _stats, an array of doubles."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, offsets in T.text_blocks(batch.column(batch.num_columns - 1)):
-                x = statistics(data, offsets)
-                column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                part = batch.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*part.schema.names[:-1], "_stats"])
-
-    return rows.mapInArrow(run, extended(rows.drop("_text").schema, "_stats array<double>"))
-
-
 def moments(labelled: DataFrame, dims: int = len(NAMES)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, sums and outer products of _stats by _label (0 or 1). Tasks sum their rows; what reaches the driver has a fixed size."""
+    """Counts, sums and outer products of the statistics of labelled(_n0, _n1, _text) by class. Tasks sum their rows; what reaches the driver has a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + dims + dims * dims))
         for batch in batches:
-            if batch.num_rows:
-                y = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy().reshape(-1, dims)
+            for row, end, data, offsets in T.text_blocks(batch.column(2)):
+                x = statistics(data, offsets)
                 for k in (0, 1):
-                    own = x[y == k]
-                    total[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+                    n = batch.column(k).to_numpy()[row:end].astype(float)
+                    total[k] += np.concatenate(([n.sum()], n @ x, ((x * n[:, None]).T @ x).ravel()))
         k, place = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(k.ravel().astype(np.int32)), pa.array(place.ravel().astype(np.int32)), pa.array(total.ravel())], names=["k", "place", "v"])
 
-    parts = labelled.select(F.col("_label").cast("int"), "_stats").mapInArrow(run, "k int, place int, v double")
     total = np.zeros((2, 1 + dims + dims * dims))
-    for k, place, v in parts.groupBy("k", "place").agg(F.sum("v")).collect():
+    for k, place, v in labelled.mapInArrow(run, "k int, place int, v double").groupBy("k", "place").agg(F.sum("v")).collect():
         total[k, place] = v
     return total[:, 0], total[:, 1 : 1 + dims], total[:, 1 + dims :].reshape(2, dims, dims)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(id_col, score double, predicted int) for every row; labels(doc_id, quality) teach it where train holds.
+def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Discriminant:
+    """The discriminant of docs where train holds and labels(doc_id, quality) has a label of 0 or 1.
 
-    Null labels and labels other than 0 and 1 are left out; a document with several labels counts once
-    for each. A null text is empty. Repeated rows each get a row, and a null id is scored like any
-    other. Other columns are not read. An empty table gives no rows; without labels all score 0.5.
+    At most about fit_rows labelled ids, drawn by hash, are used. A document with several labels counts
+    once for each, as does a repeated row. A null id has no label.
     """
-    stats = cut(document_statistics(docs.select(id_col, text_col), [id_col], text_col))
-    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label"))
-    labelled = stats.where(train).join(marked, F.col(id_col) == F.col("_id"))
-    model = fit(*moments(labelled))
+    drawn = drawn_labels(labels, "quality", fit_rows)
+    return fit(*moments(labelled_rows(docs, drawn, train, id_col, F.col(text_col).cast("string").alias("_text"))))
+
+
+def score_quality(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """(id_col, score double, predicted int) for every row; id_col may be of any type, whole rows too."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                s = model.scores(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
+            for row, end, data, offsets in T.text_blocks(batch.column(1)):
+                s = model.scores(statistics(data, offsets))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return stats.mapInArrow(run, extended(stats.drop("_stats").schema, "score double, predicted int"))
+    return rows.mapInArrow(run, extended(rows.drop("_text").schema, "score double, predicted int"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """(id_col, score double, predicted int) for every row; labels(doc_id, quality) teach it where train holds.
+
+    Null labels and labels other than 0 and 1 are left out; a document with several labels counts once
+    for each. A null text is empty. Repeated rows each get a row, and a null id is scored like any
+    other. Rows with equal scores are on the same side of the threshold. Other columns are not read. An
+    empty table gives no rows; without labels all score 0.5. A text is held whole by its task, at some
+    40 bytes a byte, however long it is.
+    """
+    return score_quality(docs, learn_quality(docs, labels, train, id_col, text_col), id_col, text_col, threshold)
