@@ -2,13 +2,15 @@
 
 The vocabulary file is the tokenizers library's JSON; encoding its merges goes through tiktoken's
 engine, which gives the same ids several times faster (tests/llm compare the two on whole tables).
-Texts that hold an added token's string go through the tokenizers library itself.
+Texts that hold an added token's string go through the tokenizers library itself, as do runs of
+LONG_BLANK or more white space characters, on which the engine's pattern overflows its stack.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 
 from ._session import extended
 
+LONG_BLANK = 10_000
+#: Unicode white space.
+_BLANK = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
+
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -58,8 +64,20 @@ def library(path: str) -> tokenizers.Tokenizer:
 
 
 def token_ids(path: str, text: str | None) -> np.ndarray:
-    """Ids of a whole text, little-endian unsigned 32-bit; special tokens' strings are ordinary text, null is empty."""
-    return np.array(encoder(path).encode_ordinary(text), "<u4") if text else np.zeros(0, "<u4")
+    """Ids of a whole text, little-endian unsigned 32-bit; special tokens' strings are ordinary text, null is empty.
+
+    The pattern makes all of a long run of white space one piece, less its last character where a word
+    follows, so the text can be cut there.
+    """
+    if not text:
+        return np.zeros(0, "<u4")
+    parts, at = [], 0
+    for run in _BLANK.finditer(text) if len(text) >= LONG_BLANK else ():
+        end = run.end() - (run.end() < len(text))
+        parts += [encoder(path).encode_ordinary(text[at : run.start()]), library(path).encode(text[run.start() : end], add_special_tokens=False).ids]
+        at = end
+    parts.append(encoder(path).encode_ordinary(text[at:]))
+    return np.concatenate([np.array(p, "<u4") for p in parts])
 
 
 def text_ids(path: str, text: str | None) -> np.ndarray:
