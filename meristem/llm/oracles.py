@@ -32,14 +32,17 @@ with w as (
 ), m as (
   select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$'))) > 3 * len(lines)
+    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{{2022}}]'))) > 9 * len(lines) as bad_lines
   from w join l using (doc_id) left join p using (doc_id)
 )
-select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
+select * exclude (bad_lines), (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
   and not (word_chars < 2 * n_words or word_chars > 15 * n_words)
   and not (2 * n_symbols > n_words)
-  and not (n_dup_lines >= 3 and 10 * n_dup_lines > n_words) as kept
+  and not (n_dup_lines >= 3 and 10 * n_dup_lines > n_words)
+  and not bad_lines as kept
 from m
 """
 
