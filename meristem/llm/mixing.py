@@ -48,19 +48,22 @@ def water_fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, total: int, epochs: int, weights: DataFrame | None = None) -> DataFrame:
     """leaves(domain, lang, source, n_docs, tokens) to the same with budget (whole tokens).
 
-    weights(level, name, weight) gives target weights (over 0) by level and node name; nodes without
-    one weigh 1 among their siblings.
+    weights(level, name, weight) gives target weights by level and node name; nodes without one weigh 1
+    among their siblings. A subtree whose weight is 0 (or less, or NaN) takes nothing and counts as empty.
     """
     leaves = leaves.withColumn("capacity", F.col("tokens") * F.lit(epochs))
+    for level in LEVELS:
+        if weights is None:
+            leaves = leaves.withColumn(f"_w_{level}", F.lit(1.0))
+        else:
+            own = weights.where(F.col("level") == level).groupBy(F.col("name").alias("_name")).agg(F.max(F.col("weight").cast("double")).alias(f"_w_{level}"))
+            leaves = leaves.join(own, F.col(level).eqNullSafe(F.col("_name")), "left").drop("_name").fillna(1.0, [f"_w_{level}"])
+            empty = F.isnan(f"_w_{level}") | (F.col(f"_w_{level}") <= 0)
+            leaves = leaves.withColumn("capacity", F.when(empty, 0).otherwise(F.col("capacity"))).withColumn(f"_w_{level}", F.when(empty, 1.0).otherwise(F.col(f"_w_{level}")))
     budget = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
-        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity")).where("capacity > 0")
-        if weights is None:
-            nodes = nodes.withColumn("weight", F.lit(1.0))
-        else:
-            own = weights.where(F.col("level") == level).select(F.col("name").alias("_name"), F.col("weight").cast("double").alias("weight"))
-            nodes = nodes.join(own, F.col(level).eqNullSafe(F.col("_name")), "left").drop("_name").fillna(1.0, ["weight"])
+        nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first(f"_w_{level}").alias("weight")).where("capacity > 0")
         parent = list(LEVELS[:depth])
         if budget is None:
             nodes = nodes.withColumn("parent_budget", F.lit(float(total)))
@@ -81,17 +84,22 @@ def mix_sources(
     seed: int = 42,
     weights: DataFrame | None = None,
     tokens: Column | None = None,
+    carry: Column | None = None,
 ) -> DataFrame:
     """One row per document (doc_id, text, lang, source; others are not read): doc_id, domain, lang, source, n_tokens, full_epochs, last_tokens, taken.
 
     full_epochs: whole copies taken; last_tokens: tokens of the copy in the last, partial epoch (the
     document at the budget's end gives a prefix); taken: all tokens taken. The budget is total tokens,
-    or share of epochs passes over the table. Null languages and sources are leaves of their own;
-    a text without tokens takes nothing. Repeated rows count each; of rows with one and the same id
-    the order among them is open, their sum is not. An empty table gives no rows.
+    or share of epochs passes over the table. carry is kept as a first column "carried", whole rows for
+    instance, and only rows of the buckets in which budgets end move with it.
+
+    Null languages and sources are leaves of their own; a text without tokens takes nothing. Repeated
+    rows count each and have their own results; of rows with one and the same id the shorter go first,
+    and among equal ones the order is open. An empty table gives no rows.
     """
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
-    rows = cut(docs.select(F.col("doc_id"), domain.cast("string").alias("domain"), F.col("lang"), F.col("source"), tokens.cast("long").alias("n_tokens")))
+    whole_rows = docs.select(*([carry.alias("carried")] if carry is not None else []), F.col("doc_id"), domain.cast("string").alias("domain"), F.col("lang"), F.col("source"), tokens.cast("long").alias("n_tokens"))
+    rows = cut(whole_rows.drop("carried"))
     leaves = cut(rows.groupBy(*LEVELS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")))
     whole = leaves.agg(F.sum("tokens").alias("t"), F.max("n_docs").alias("n")).first()
     if total is None:
@@ -99,36 +107,42 @@ def mix_sources(
     plan = budgets(leaves, total, epochs, weights)
     plan = leaves.join(plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "budget"), _same(), "left").select(
         *LEVELS,
-        F.coalesce(F.expr("cast(least(budget, tokens * {0}) as bigint) div nullif(tokens, 0)".format(epochs)), F.lit(0)).cast("long").alias("full_epochs"),
-        F.coalesce(F.expr("cast(least(budget, tokens * {0}) as bigint) % nullif(tokens, 0)".format(epochs)), F.lit(0)).cast("long").alias("last_budget"),
+        F.coalesce(F.expr("cast(least(coalesce(budget, 0), tokens * {0}) as bigint) div nullif(tokens, 0)".format(epochs)), F.lit(0)).cast("long").alias("full_epochs"),
+        F.coalesce(F.expr("cast(least(coalesce(budget, 0), tokens * {0}) as bigint) % nullif(tokens, 0)".format(epochs)), F.lit(0)).cast("long").alias("last_budget"),
     )
     plan = cut(plan)
+    small = _small(plan)
 
     # An epoch's order: md5 of seed, epoch and id. Its first hex digits deal a leaf into buckets of bounded size.
     digits = max(1, math.ceil(math.log(max(1, (whole["n"] or 0) / _PER_BUCKET), 16)))
-    named = plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "full_epochs", "last_budget")
-    ordered = (
-        rows.join(F.broadcast(named) if _small(leaves) else named, _same())
-        .select(*rows.columns, "full_epochs", "last_budget")
-        .withColumn("_at", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.col("doc_id").cast("string"))))
-        .withColumn("_bucket", F.substring("_at", 1, digits))
-    )
-    sums = ordered.groupBy(*LEVELS, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
-    earlier = Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))))
-    placed = ordered.join(sums.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("_bucket").alias("_b"), "_sum", "_before"), [*_same(), F.col("_bucket") == F.col("_b")]).drop(*[f"_{c}" for c in LEVELS], "_b")
-    # Only the bucket in which the budget ends needs a running sum; the others are whole or left out.
-    ends = (F.col("_before") < F.col("last_budget")) & (F.col("_before") + F.col("_sum") > F.col("last_budget"))
-    inside = Window.partitionBy(*LEVELS, "_bucket").orderBy("_at", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    cols = ["doc_id", *LEVELS, "n_tokens", "full_epochs"]
-    partial = placed.where(ends).withColumn("_upto", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    partial = partial.select(*cols, F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("last_budget") - F.col("_upto"))).alias("last_tokens"))
-    others = placed.where(~ends).select(*cols, F.when(F.col("_before") < F.col("last_budget"), F.col("n_tokens")).otherwise(F.lit(0)).alias("last_tokens"))
-    return partial.unionByName(others).withColumn("taken", F.col("full_epochs") * F.col("n_tokens") + F.col("last_tokens"))
+
+    def ordered(of: DataFrame, by_leaf: DataFrame) -> DataFrame:
+        named = by_leaf.withColumnsRenamed({c: f"_{c}" for c in LEVELS})
+        return (
+            of.join(F.broadcast(named) if small else named, _same())
+            .drop(*[f"_{c}" for c in LEVELS])
+            .withColumn("_at", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.col("doc_id").cast("string"))))
+            .withColumn("_bucket", F.substring("_at", 1, digits))
+        )
+
+    sums = ordered(rows, plan).groupBy(*LEVELS, "last_budget", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    ends = sums.withColumn("_upto", upto).where("_upto > last_budget").groupBy(*LEVELS).agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("_end"))
+    plan = cut(plan.join(ends.withColumnsRenamed({c: f"_{c}" for c in LEVELS}), _same(), "left").select(*plan.columns, "_end"))
+
+    # Only the bucket in which the budget ends needs a running sum; those before are whole, those after left out.
+    placed = ordered(rows if carry is None else whole_rows, plan)
+    within = Window.partitionBy(*LEVELS, "_bucket").orderBy("_at", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    ending = F.coalesce(F.col("_bucket") == F.col("_end._bucket"), F.lit(False))
+    earlier = F.col("_end.before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
+    partial = placed.where(ending).withColumn("last_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("last_budget") - earlier)))
+    others = placed.where(~ending).withColumn("last_tokens", F.when(F.col("_bucket") < F.col("_end._bucket"), F.col("n_tokens")).otherwise(F.lit(0)))
+    taken = (F.col("full_epochs") * F.col("n_tokens") + F.col("last_tokens")).alias("taken")
+    return partial.unionByName(others).select(*whole_rows.columns, "full_epochs", F.col("last_tokens").cast("long"), taken)
 
 
 def _small(leaves: DataFrame, most: int = 10_000) -> bool:
-    """Whether the leaf table has so few rows that a copy in every task is cheap."""
+    """Whether a table of leaves has so few rows that a copy in every task is cheap."""
     return leaves.limit(most + 1).count() <= most
 
 
