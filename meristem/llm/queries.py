@@ -31,6 +31,11 @@ def remainder(n: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def held_out(condition: Column) -> Column:
+    """A row without id is not held out; nothing is learned from it either."""
+    return F.coalesce(condition, F.lit(False)).alias("held_out")
+
+
 def domain_of(source: Column) -> Column:
     """The tables have no domain; four are made of the sources' checksums."""
     return F.concat(F.lit("domain"), (F.crc32(source.cast("binary")) % 4).cast("string"))
@@ -55,10 +60,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of two epochs of all documents' words, dealt by mixing_weights."""
     return mix_sources(table(spark, sf_dir, "documents"), domain_of(F.col("source")), weights=mixing_weights(spark))
 
 
@@ -69,41 +76,48 @@ def mixing_weights(spark: SparkSession) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled ones that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = (remainder(4) == 2).alias("held_out")
-    return quality_scores(docs, labels, remainder(4) != 2).select("doc_id", held_out, "score", "predicted")
+    return quality_scores(docs, labels, remainder(4) != 2).select("doc_id", held_out(remainder(4) == 2), "score", "predicted")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the languages of those that are not held out."""
     found = identify_languages(table(spark, sf_dir, "documents"), remainder(5) != 0)
-    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "languages")
+    return found.select("doc_id", held_out(remainder(5) == 0), "lang_pred", "score", "languages")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents linked by their two-word shingles."""
     return minhash_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those that are not held out, with all their n-grams."""
     found = score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2, least=1)
-    return found.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out(remainder(7) == 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled ones that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity_scores(docs, labels, remainder(5) != 0)
-    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out(remainder(5) == 0), "score", "predicted")
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector among all the others."""
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     return exact_topk(vectors, F.col("vec_id") % 100 == 0)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces and sequences that corpus_pipeline.run leaves of all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

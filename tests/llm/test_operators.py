@@ -22,7 +22,7 @@ from meristem.llm.packing import Capacity, best_fit, pack_documents
 from meristem.llm.quality_qda import fit, quality_scores
 from meristem.llm.quality_rules import apply_rules, cascade, method_rules, order_rules, with_measures
 from meristem.llm.rollups import TokenRollup, deletes, inserts, revisions
-from meristem.llm.tokens import count_tokens, token_ids, vocabulary_path
+from meristem.llm.tokens import count_tokens, library, text_ids, token_ids, vocabulary_path
 from meristem.llm.toxicity_nb import toxicity_scores
 
 SF = "/root/testdata/sf0.001"
@@ -509,3 +509,16 @@ def test_topk_edges(spark):
     one, half = 1024 * 1024, 512 * 1024
     assert got == [(0, 1, 5, 5 * one), (0, 2, 6, 5 * one), (0, 3, 100, 3 * half), (100, 1, 0, 3 * half), (100, 2, 5, 3 * half), (100, 3, 6, 3 * half)]
     assert exact_topk(v.where("false"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t \n　\x85"])
+def test_long_white_space_is_encoded(spark, blank):
+    """Runs on which the fast engine overflows its stack; the tokenizers library is the measure."""
+    path = vocabulary_path()
+    run = blank * (1_200_000 // len(blank))
+    texts = [run, f"lead{run}word", f"{run}!{run}\n", f"a {' ' * 9_998}b{' ' * 10_001}", f"{'x' * 300_000}{run} <|endoftext|>"]
+    want = [library(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [text_ids(path, t).tolist() for t in texts] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(rows, "text", path, ["doc_id"]).collect()} == {i: len(w) for i, w in enumerate(want)}
+    assert pack_documents(rows, path).agg(F.sum("length")).first()[0] == sum(map(len, want)) + len(texts)
