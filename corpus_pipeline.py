@@ -4,49 +4,72 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meristem.llm._session import shared_dir
 from meristem.llm.minhash_dedup import minhash_dedup
 from meristem.llm.mixing import mix_sources
 from meristem.llm.packing import pack_documents
-from meristem.llm.quality_qda import quality_scores
+from meristem.llm.quality_qda import learn_quality, score_quality
 from meristem.llm.quality_rules import apply_rules
-from meristem.llm.queries import domain_of, mixing_weights, remainder, table
+from meristem.llm.queries import domain_of, mixing_weights, table
 from meristem.llm.tokens import vocabulary_path
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame, kept: str) -> DataFrame:
-    """Rows of docs that verdicts(doc_id, ...) keep; a null id matches a null id, so such rows share a verdict."""
-    rejected = verdicts.where(~F.expr(kept)).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
+def _row(docs: DataFrame) -> Column:
+    """A whole document as one value: it travels with its own verdict, and no column's name can clash."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from all labels, scores 0.7 or more."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return _keep(docs, scored, "predicted = 1")
+    """Documents that the classifier, learned from all labels, scores 0.7 or more.
+
+    Each row is scored by its own text, repeated rows and null ids too; a null or empty text is scored
+    as a text without anything in it. An empty table stays empty.
+    """
+    model = learn_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    rows = docs.select(_row(docs), F.col("text").alias("_whole"))
+    return score_quality(rows, model, id_col="_row", text_col="_whole").where("predicted = 1").select("_row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects. Rows travel whole with their verdicts, so no join has to bring the two together."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_whole"))
-    return apply_rules(rows, text_col="_whole", id_col="_row").where("kept").select("_row.*")
+    """Documents that no rule rejects. Each row is judged by its own text; null and empty texts have too few words."""
+    rows = docs.select(_row(docs), F.col("text").alias("_whole"))
+    return apply_rules(rows, text_col="_whole", id_col="_row", measured=False).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group at five-word shingles and similarity 0.8 or more."""
-    return _keep(docs, minhash_dedup(docs), "kept")
+    """One document of each group at five-word shingles and similarity 0.8 or more: that with the smallest id, null ids last.
+
+    Of rows that repeat an id and a text one stays; rows that share an id only are judged apart. Rows
+    without a word are in no group and stay. The rows are written once with numbers of their own, by
+    which they are told apart.
+    """
+    path = f"{shared_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    docs.select(_row(docs)).withColumn("_key", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    groups = minhash_dedup(rows, id_col="_key", text_col="_row.text").select(F.col("_key").alias("_number"), "component_id")
+    several = groups.where("_number <> component_id").select("component_id").distinct()
+    members = groups.join(several, "component_id", "left_semi").join(rows.select("_key", F.col("_row.doc_id").alias("_id")), F.col("_number") == F.col("_key"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_number"))["_number"]
+    stays = members.groupBy("component_id").agg(first.alias("_stays"))
+    goes = members.join(stays, "component_id").where("_number <> _stays").select("_number")
+    return rows.join(goes, F.col("_key") == F.col("_number"), "left_anti").select("_row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mixture takes tokens, each once: 0.9 of the tokens, dealt by target weights."""
-    taken = mix_sources(docs, domain_of(F.col("source")), share=0.9, epochs=1, weights=mixing_weights(spark))
-    return _keep(docs, taken, "taken > 0")
+    """Documents of which the mixture takes tokens, each once: 0.9 of the tokens, dealt by target weights.
+
+    Each row is dealt with by itself, repeated rows and null ids too; null languages and sources are
+    leaves of their own, and rows without a word have no token that could be taken.
+    """
+    taken = mix_sources(docs, domain_of(F.col("source")), share=0.9, epochs=1, weights=mixing_weights(spark), carry=_row(docs))
+    return taken.where("taken > 0").select("carried.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens; null and empty texts are their end token, and repeated rows are separate documents."""
     return pack_documents(docs, vocabulary_path())
 
 
@@ -58,7 +81,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Packing needs token ids, which SQL can't express; tests compare run() with a brute-force version.
+#: Packing needs token ids, which SQL can't express; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
