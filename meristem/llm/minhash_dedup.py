@@ -5,12 +5,15 @@
 2. Documents with one and the same set form a class by a partial aggregate; only the class's smallest
    id goes on, so exact copies never meet in a task.
 3. Classes that share a band key are candidates. In a bucket the collision-corrected similarity is
-   estimated from bit counts, and buckets give only links along a spanning star, not pairs. Buckets
-   over BUCKET rows, which no task should hold, are joined to their smallest member as they are: that
-   makes the candidate cluster larger and loses nothing.
-4. Candidate clusters are confirmed on full sets. A cluster over BLOCK documents is dealt in pairs of
-   blocks, each pair a bounded piece of work.
-5. Confirmed links give the components.
+   estimated from bit counts, and each class is linked to the first class that it is likely to be
+   similar to. In buckets over BUCKET rows, which no task should hold, each class is linked to the
+   smallest one.
+4. These links, a few for each class however many copies there are, are confirmed on full sets: a
+   class's text goes to the groups of its links, of GROUP members at most, and their components found.
+5. What is left are likely pairs between different components of one bucket. Where there are any, all
+   of a cluster's members meet those that are not in its largest component, in blocks of those, so the
+   texts' copies follow the number of strays and not that of the copies. Both kinds of confirmed links
+   give the components.
 
 With 32 bands of 4 minima a pair at similarity 0.8 shares no band with probability 5e-8, and the
 estimate is cut 5 standard deviations below the threshold.
@@ -31,8 +34,8 @@ from ._session import cut
 from ..operators.components import connected_components
 
 BANDS, ROWS, BITS = 32, 4, 4
-BUCKET, BLOCK = 1024, 256
-BROADCAST_ROWS = 500_000  # candidates; more meet their texts by a shuffle
+BUCKET, GROUP, BLOCK = 1024, 256, 256
+BROADCAST_ROWS = 500_000  # places of candidates; more meet their texts by a shuffle
 _U = np.uint64
 
 
@@ -167,31 +170,86 @@ def _words_of(column: pa.Array) -> np.ndarray:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidate_edges(least: float):
-    """Rows (key, id, sig) sorted by key to a star of links in each bucket for each cluster of likely pairs."""
+def _alike(sig: np.ndarray) -> np.ndarray:
+    """Estimates of all pairs within each of m buckets of n signatures (m, n, words), in slices of bounded size."""
+    m, n, _ = sig.shape
+    step = max(1, (1 << 16) // (m * n))
+    return np.concatenate([estimate(sig[:, k : k + step, None], sig[:, None]) for k in range(0, n, step)], axis=1)
+
+
+def first_likely(near: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """For each of a bucket's n classes the first before it that it is surely near to, else the first that it is near to, else itself; near and sure (m, n, n) hold below the diagonal."""
+    own = np.arange(near.shape[-1])
+    return np.where(sure.any(axis=-1), sure.argmax(axis=-1), np.where(near.any(axis=-1), near.argmax(axis=-1), own))
+
+
+def _candidate_edges(least: float, threshold: float, labelled: bool):
+    """Rows (key, id, sig) sorted by key to a link of each class with its first likely partner in the bucket.
+
+    With labels, rows (key, id, sig, label): a star over each cluster of likely pairs of different labels,
+    less the links that the rows without labels have given.
+    """
+
+    def links(ids: np.ndarray, sig: np.ndarray, label: np.ndarray | None, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        own = at[:, None] + np.arange(n)
+        own = np.take_along_axis(own, np.argsort(ids[own], axis=1, kind="stable"), axis=1)
+        alike = _alike(sig[own])
+        below = np.tri(n, k=-1, dtype=bool)
+        near = (alike >= least) & below
+        to = first_likely(near, near & (alike >= threshold))
+        if label is None:
+            k, i = np.nonzero(to != np.arange(n))
+            return own[k, to[k, i]], own[k, i]
+        np.put_along_axis(near, to[..., None], False, axis=2)
+        k, x, y = np.nonzero(near & (label[own][:, :, None] != label[own][:, None]))
+        nodes, inverse = np.unique(np.concatenate([own[k, x], own[k, y]]), return_inverse=True)
+        root = nodes[spread(len(nodes), inverse[: len(k)], inverse[len(k) :])]
+        return root[root != nodes], nodes[root != nodes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sorted_runs(batches, 1):
             starts = run_starts(batch, 1)
             ids, sig = batch.column(1).to_numpy(), _words_of(batch.column(2))
+            label = batch.column(3).to_numpy() if labelled else None
             size = np.diff(starts)
-            out_a, out_b = [], []
             for n in np.unique(size[size > 1]):
                 at = starts[:-1][size == n]
-                i, j = np.triu_indices(n, 1)
-                step = max(1, (1 << 19) // len(i))
+                step = max(1, (1 << 16) // int(n * n))
                 for k in range(0, len(at), step):
-                    some = at[k : k + step]
-                    x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                    near = np.concatenate([estimate(sig[x[p : p + (1 << 18)]], sig[y[p : p + (1 << 18)]]) >= least for p in range(0, len(x), 1 << 18)])
-                    x, y = x[near], y[near]
-                    if not len(x):
-                        continue
-                    nodes, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
-                    root = nodes[spread(len(nodes), inverse[: len(x)], inverse[len(x) :])]
-                    out_a.append(ids[root[root != nodes]]), out_b.append(ids[nodes[root != nodes]])
+                    a, b = links(ids, sig, label, at[k : k + step], int(n))
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], schema=_EDGES)
+
+    return run
+
+
+def _set_of(column: pa.Array, i: int, shingle: int) -> np.ndarray:
+    data, offsets = T.text_buffers(column.slice(i, 1))
+    words, _ = T.word_hashes(data[offsets[0] : offsets[1]], offsets - offsets[0])
+    return np.unique(T.shingle_hashes(words, shingle))
+
+
+def _confirmed_links(shingle: int, percent: int):
+    """Rows (hub, part, id, text) sorted by the first two, the hub itself among them, to its links that hold on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sorted_runs(batches, 2):
+            starts = run_starts(batch, 2)
+            hub, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            out_a, out_b = [], []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                centre = np.flatnonzero(ids[s:e] == hub[s])
+                if not len(centre):
+                    continue
+                base = _set_of(batch.column(3), int(s + centre[0]), shingle)
+                for i in range(s, e):
+                    if ids[i] != hub[s]:
+                        other = _set_of(batch.column(3), i, shingle)
+                        both = len(np.intersect1d(base, other, assume_unique=True))
+                        if both and 100 * both >= percent * (len(base) + len(other) - both):
+                            out_a.append(hub[s]), out_b.append(ids[i])
             if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=_EDGES)
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=_EDGES)
 
     return run
 
@@ -225,47 +283,74 @@ def shared_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return total
 
 
-def _confirmed_edges(shingle: int, percent: int, least: float):
-    """Rows (cluster, low block, high block, block, id, sig, text) sorted by the first three, to links that hold on full sets."""
+def _confirmed_strays(shingle: int, percent: int, least: float):
+    """Rows (cluster, part, block, id, label, sig, text) sorted by the first two, to links that hold on full sets between those whose block is part and all others of another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sorted_runs(batches, 3):
-            starts = run_starts(batch, 3)
-            low, high, block, ids = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
+        for batch in sorted_runs(batches, 2):
+            starts = run_starts(batch, 2)
+            part, block, ids, label = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
             sig = _words_of(batch.column(5))
             out_a, out_b = [], []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if e - s < 2:
-                    continue
-                left = np.arange(s, e) if low[s] == high[s] else np.arange(s, e)[block[s:e] == low[s]]
-                right = left if low[s] == high[s] else np.arange(s, e)[block[s:e] == high[s]]
-                if not len(left) or not len(right):
-                    continue
-                likely = np.stack([estimate(sig[i][None], sig[right]) >= least for i in left])
-                if low[s] == high[s]:
-                    np.fill_diagonal(likely, False)
-                left, right, likely = left[likely.any(1)], right[likely.any(0)], likely[likely.any(1)][:, likely.any(0)]
-                if not len(left):
-                    continue
-                nodes, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
-                sets = []
-                for i in nodes:
-                    data, offsets = T.text_buffers(batch.column(6).slice(i, 1))
-                    words, _ = T.word_hashes(data[offsets[0] : offsets[1]], offsets - offsets[0])
-                    sets.append(np.unique(T.shingle_hashes(words, shingle)))
-                size = np.array([len(x) for x in sets], np.int64)
-                li, ri = inverse[: len(left)], inverse[len(left) :]
-                both = shared_sizes(sets, li, ri)
-                linked = likely & (100 * both >= percent * (size[li][:, None] + size[ri][None, :] - both)) & (both > 0)
-                x, y = np.nonzero(linked)
-                root = spread(len(nodes), li[x], ri[y])
-                out_a.append(ids[nodes[root[root != np.arange(len(nodes))]]]), out_b.append(ids[nodes[root != np.arange(len(nodes))]])
+                left = np.arange(s, e)[block[s:e] == part[s]]
+                for r in range(s, e, 4 * BLOCK):
+                    right = np.arange(r, min(e, r + 4 * BLOCK))
+                    likely = np.stack([estimate(sig[i][None], sig[right]) >= least for i in left]) if len(left) else np.zeros((0, len(right)), bool)
+                    likely &= label[left][:, None] != label[right][None]
+                    some, others, likely = left[likely.any(1)], right[likely.any(0)], likely[likely.any(1)][:, likely.any(0)]
+                    if not len(some):
+                        continue
+                    nodes, inverse = np.unique(np.concatenate([some, others]), return_inverse=True)
+                    sets = [_set_of(batch.column(6), int(i), shingle) for i in nodes]
+                    size = np.array([len(x) for x in sets], np.int64)
+                    li, ri = inverse[: len(some)], inverse[len(some) :]
+                    both = shared_sizes(sets, li, ri)
+                    linked = likely & (100 * both >= percent * (size[li][:, None] + size[ri][None, :] - both)) & (both > 0)
+                    x, y = np.nonzero(linked)
+                    root = spread(len(nodes), li[x], ri[y])
+                    out_a.append(ids[nodes[root[root != np.arange(len(nodes))]]]), out_b.append(ids[nodes[root != np.arange(len(nodes))]])
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=_EDGES)
 
     return run
 
 
+def _with_texts(source: DataFrame, places: DataFrame) -> DataFrame:
+    """places(id, ...) and each one's text; few places go to the texts, more meet them by a shuffle."""
+    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return source.join(F.broadcast(places) if few else places, "id")
+
+
+def _in_buckets(rows: DataFrame, run) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _stray_links(source: DataFrame, met: DataFrame, sigs: DataFrame, found: DataFrame, shingle: int, percent: int, least: float) -> DataFrame | None:
+    """Confirmed links between different components of what met in a bucket; None if there are no likely ones."""
+    labelled = met.join(found.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    live = cut(labelled.join(open_, "key", "left_semi"))
+    rest = _in_buckets(live.where(F.col("n") <= BUCKET).join(sigs, "id").select("key", "id", "sig", "label"), _candidate_edges(least, percent / 100, True))
+    hot = live.where(F.col("n") > BUCKET).select(F.col("to").alias("a"), F.col("id").alias("b"))
+    rest = cut(rest.unionByName(hot))
+    if rest.isEmpty():
+        return None
+    clusters = connected_components(rest).select(F.col("component").alias("cluster"), "id")
+    clusters = cut(clusters.join(found.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id")))
+    sizes = clusters.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    dealt = (
+        clusters.join(largest, "cluster")
+        .where("n > n_main")
+        .withColumn("blocks", F.ceil((F.col("n") - F.col("n_main")) / BLOCK))
+        .withColumn("block", F.when(F.col("label") == F.col("main"), F.lit(None)).otherwise(F.expr("pmod(xxhash64(id), blocks)")))
+        .select("cluster", F.explode(F.expr("sequence(0L, coalesce(block, blocks - 1))")).alias("part"), F.coalesce("block", F.lit(-1).cast("long")).alias("block"), "id", "label")
+    )
+    rows = _with_texts(source, cut(dealt)).join(sigs, "id").select("cluster", "part", "block", "id", "label", "sig", "text")
+    return cut(rows.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_confirmed_strays(shingle, percent, least), "a long, b long"))
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row.
 
@@ -285,30 +370,22 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = chosen.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("to")).where("n > 1")
     met = cut(keyed.join(shared, "key").select("key", "id", "n", "to"))
-    hot = met.where(F.col("n") > BUCKET).select(F.col("to").alias("a"), F.col("id").alias("b"))
-    cold = met.where(F.col("n") <= BUCKET).join(chosen.select("id", "sig"), "id").select("key", "id", "sig")
-    likely = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_candidate_edges(least), "a long, b long")
-    clusters = connected_components(likely.unionByName(hot))
-
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = (
-        clusters.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        .withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
-        .select(F.col("component").alias("cluster"), "id", "block", "blocks")
-    )
-    few = clusters.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    with_text = source.join(F.broadcast(dealt) if few else dealt, "id").join(chosen.select("id", "sig"), "id")
-    paired = with_text.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "sig", "text"
-    )
-    links = (
-        paired.repartition("cluster", "low", "high")
-        .sortWithinPartitions("cluster", "low", "high")
-        .mapInArrow(_confirmed_edges(shingle, percent, least), "a long, b long")
-    )
+    sigs = chosen.select("id", "sig")
+    likely = _in_buckets(met.where(F.col("n") <= BUCKET).join(sigs, "id").select("key", "id", "sig"), _candidate_edges(least, percent / 100, False))
+    edges = cut(likely.unionByName(met.where((F.col("n") > BUCKET) & (F.col("id") != F.col("to"))).select(F.col("to").alias("a"), F.col("id").alias("b"))).distinct())
+
+    # each hub's members in parts of GROUP at most, and the hub in every part
+    parts = edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    members = edges.join(parts, "a").select(F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), parts)").alias("part"), F.col("b").alias("id"))
+    hubs = parts.select(F.col("a").alias("hub"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("a").alias("id"))
+    groups = _with_texts(source, cut(members.unionByName(hubs))).select("hub", "part", "id", "text")
+    links = cut(groups.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_confirmed_links(shingle, percent), "a long, b long"))
     found = connected_components(links)
 
+    strays = _stray_links(source, met, sigs, found, shingle, percent, least)
+    if strays is not None:
+        found = connected_components(links.unionByName(strays))
+
     reach = classes.join(found, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
     return (
         signed.select("id", "n_shingles", "set_a", "set_b")

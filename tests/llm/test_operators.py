@@ -522,3 +522,32 @@ def test_long_white_space_is_encoded(spark, blank):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(rows, "text", path, ["doc_id"]).collect()} == {i: len(w) for i, w in enumerate(want)}
     assert pack_documents(rows, path).agg(F.sum("length")).first()[0] == sum(map(len, want)) + len(texts)
+
+
+def test_dedup_in_hot_buckets_and_of_strays(spark, monkeypatch):
+    """Small bounds put nearly all buckets on the path of the hot ones; chains of edits leave strays on both sides of the threshold."""
+    from meristem.llm import minhash_dedup as M
+
+    monkeypatch.setattr(M, "BUCKET", 12), monkeypatch.setattr(M, "GROUP", 5), monkeypatch.setattr(M, "BLOCK", 7)
+    rng = np.random.default_rng(12)
+    rows, w = [], [f"w{i}" for i in range(90)]
+    for i in range(260):
+        if i % 40 == 0:
+            w = [f"w{rng.integers(0, 200)}" for _ in range(90)]
+        v = list(w)
+        for j in rng.integers(0, 90, rng.integers(0, 12)):
+            v[j] = f"x{rng.integers(0, 10**6)}"
+        if i % 9 == 0:
+            w = v
+        rows.append((int(rng.integers(0, 10**6)) * 1000 + i, " ".join(v)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=2).collect()}
+    sets = {i: sets_of(t, 2) for i, t in rows}
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    linked = {i: [j for j in ids if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in ids}
+    for _ in range(100):
+        new = {i: min(label[j] for j in linked[i]) for i in ids}
+        if new == label:
+            break
+        label = new
+    assert got == label and 7 < len(set(label.values())) < 200
