@@ -2,15 +2,22 @@
 
 A delta row is signed: +1 adds a document's count, -1 takes one back; a revision is the old count with
 -1 and the new one with +1. A batch is summed to (source, lang, tokenizer) before it is written, and is
-committed once under its id: replaying it changes nothing. Totals are the sums of the committed batches.
+committed once under its id: replaying it changes nothing. Totals are the sums of the last snapshot and
+of the batches committed since; every SNAPSHOT_EVERY batches a new snapshot takes theirs in.
 """
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
+SNAPSHOT_EVERY = 16
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -30,35 +37,85 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 class TokenRollup:
     """Rollups in a folder that all executors share.
 
+    folder/data has the sums, each attempt in a folder of its own; folder/batches one small file for each
+    committed batch, and folder/snapshots one for each snapshot, that say which attempts count. Such a
+    file is created only if there is none of its name, so of two writers of one batch one commits, and
+    what an unfinished attempt has left is never read.
+
     Null sources, languages and tokenizer versions are groups of their own; a null count adds a document and no tokens.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, snapshot_every: int = SNAPSHOT_EVERY):
+        self.spark, self.folder, self.snapshot_every = spark, folder.rstrip("/"), snapshot_every
+        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+
+    def _create(self, kind: str, name: str, what: dict) -> bool:
+        """Whether the file was made; false if there is one already."""
+        try:
+            out = self._fs.create(self._path(kind, name), False)
+        except Py4JJavaError:
+            if self._fs.exists(self._path(kind, name)):
+                return False
+            raise
+        out.write(bytearray(json.dumps(what).encode()))
+        out.close()
+        return True
+
+    def _read(self, kind: str, name: str) -> dict:
+        stream = self._fs.open(self._path(kind, name))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
 
-    def _exists(self, name: str) -> bool:
-        return self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"))
+    def _names(self, kind: str) -> list[str]:
+        if not self._fs.exists(self._path(kind)):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(kind)))
+
+    def _written(self, sums: DataFrame) -> str:
+        data = f"data/{uuid.uuid4().hex}"
+        sums.where("n_docs <> 0 or n_tokens <> 0").coalesce(8).write.parquet(f"{self.folder}/{data}")
+        return data
+
+    def _state(self) -> tuple[dict, list[str]]:
+        """The last snapshot and the names of the batches that it does not have."""
+        snapshots = self._names("snapshots")
+        last = self._read("snapshots", snapshots[-1]) if snapshots else {"data": None, "batches": []}
+        return last, sorted(set(self._names("batches")) - set(last["batches"]))
 
     def committed(self, batch_id: str) -> bool:
-        return self._exists(f"batch_id={batch_id}/_SUCCESS")
+        return self._fs.exists(self._path("batches", urllib.parse.quote(batch_id, safe="")))
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
-        """Writes deltas(source, lang, tokenizer, n_tokens, sign) as one batch; false if it was committed before. An unfinished attempt is overwritten."""
+        """Commits deltas(source, lang, tokenizer, n_tokens, sign) as one batch; false if it was committed before, by this writer or another."""
         if self.committed(batch_id):
             return False
         sums = deltas.groupBy(*KEYS).agg(
             F.sum(F.col("sign").cast("long")).alias("n_docs"), F.coalesce(F.sum(F.col("sign").cast("long") * F.col("n_tokens")), F.lit(0)).cast("long").alias("n_tokens")
         )
-        sums.where("n_docs <> 0 or n_tokens <> 0").coalesce(8).write.mode("overwrite").parquet(f"{self.folder}/batch_id={batch_id}")
-        return True
+        done = self._create("batches", urllib.parse.quote(batch_id, safe=""), {"data": self._written(sums)})
+        if done and len(self._state()[1]) >= self.snapshot_every:
+            self.snapshot()
+        return done
+
+    def snapshot(self) -> None:
+        """Takes all committed batches into one table of totals. Of two writers' snapshots of one number the first stays; both are right."""
+        last, since = self._state()
+        if since:
+            data = self._written(self._sums(last, since))
+            self._create("snapshots", f"{len(self._names('snapshots')):09d}", {"data": data, "batches": sorted({*last["batches"], *since})})
+
+    def _sums(self, last: dict, since: list[str]) -> DataFrame:
+        data = [last["data"], *(self._read("batches", b)["data"] for b in since)]
+        rows = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.folder}/{d}" for d in data if d])
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
-        """Sums over the committed batches; groups that have come to nothing are left out. Without batches, no rows."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch_id=*/_SUCCESS")
-        found = [str(s.getPath().getParent()) for s in (self._fs.globStatus(path) or [])]
-        if not found:
+        """Sums over all committed batches; groups that have come to nothing are left out. Without batches, no rows."""
+        last, since = self._state()
+        if not since and last["data"] is None:
             return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(*found)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        return self._sums(last, since).where("n_docs <> 0 or n_tokens <> 0")
