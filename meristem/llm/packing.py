@@ -29,12 +29,16 @@ GROUP = 1 << 15
 
 @dataclass(frozen=True)
 class Capacity:
-    """Limits of a sequence, and the weights of its three residuals in the choice of a bin."""
+    """Limits of a sequence, and the weights of its three residuals in the choice of a bin.
+
+    With the defaults only the tokens can run out: pieces have a token at least, and their squares' sum
+    is at most their sum's square. All three residuals weigh in the choice.
+    """
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     choice: str = "norm"
 
 
