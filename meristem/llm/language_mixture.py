@@ -20,7 +20,8 @@ from ._session import extended
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MOST_LANGUAGES = 500
+MOST_NUMBERS = 1 << 23  # in the table of probabilities
+MOST_LANGUAGES = 1 << 16
 _U = np.uint64
 _LOWER = np.arange(0x250, dtype=np.uint32)
 for _c in range(0x250):
@@ -29,6 +30,14 @@ for _c in range(0x250):
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def buckets_for(languages: int) -> int:
+    """BUCKETS, halved until a table of so many languages has no more than MOST_NUMBERS."""
+    n = BUCKETS
+    while n * languages > MOST_NUMBERS:
+        n //= 2
+    return n
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-gram buckets of a block, the text that each belongs to, and whether each text has a letter.
 
@@ -93,48 +102,58 @@ def mixture(likelihood: np.ndarray, counts: np.ndarray, rounds: int = 40, penalt
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their n-gram probabilities (BUCKETS, languages), over all texts where train holds and the language is not null.
+    """Languages and their n-gram probabilities (buckets, languages), over all texts where train holds and the language is not null.
 
-    Tasks keep one vector of counts per language that they meet; at most BUCKETS rows per language reach the driver.
+    Tasks keep one vector of counts per language that they meet; MOST_NUMBERS counts at most reach the
+    driver, as the buckets are folded for many languages. More than MOST_LANGUAGES names are no set of
+    languages and raise an error.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not langs:
+        return langs, np.full((BUCKETS, 0), 0.5)
+    buckets = buckets_for(len(langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
+            names = np.array(batch.column(0).to_pylist(), object)
             for row, end, data, offsets in T.text_blocks(batch.column(1)):
                 code, owner, _ = grams(data, offsets)
-                for lang in set(langs[row:end]):
-                    mine = (langs[row:end] == lang)[owner] if len(owner) else np.zeros(0, bool)
-                    total[lang] = total.get(lang, 0) + np.bincount(code[mine], minlength=BUCKETS)
+                for lang in set(names[row:end]):
+                    mine = (names[row:end] == lang)[owner] if len(owner) else np.zeros(0, bool)
+                    total[lang] = total.get(lang, 0) + np.bincount(code[mine] % buckets, minlength=buckets)
         for lang, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
-    langs = sorted(found["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; a model of more than {MOST_LANGUAGES} is too large for every task")
-    table = np.full((BUCKETS, len(langs)), 0.5)
-    table[found["bucket"].to_numpy(int), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)] += found["n"].to_numpy()
-    return langs, table / table.sum(axis=0, keepdims=True) if langs else table
+    found = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    column = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    table = np.full((buckets, len(langs)), 0.5)
+    if found.num_rows:
+        table[found.column("bucket").to_numpy(), column[names.indices.to_numpy()]] += found.column("n").to_numpy()
+    return langs, table / table.sum(axis=0, keepdims=True)
 
 
 def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id_col, lang_pred, score, languages) for every row: the main language, its proportion, and the set with proportions.
 
     A text that is null or has no letter gives 'und' with score 0 and an empty set, as does any text
-    where nothing was learned. Repeated rows each get a row. Other columns are not read.
+    where nothing was learned. Of languages with equal proportions the first by name is the main one.
+    Repeated rows each get a row, null ids too. Other columns are not read. An empty table gives no
+    rows. A text is held whole by its task, at some 100 bytes a byte, however long it is.
     """
     langs, table = learn(docs, train, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # BUCKETS * MOST_LANGUAGES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # MOST_NUMBERS at most
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     schema = extended(rows.drop("_text").schema, "lang_pred string, score double, languages map<string,double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probability = shared.value
+        buckets = len(probability)
         for batch in batches:
             for row, end, data, offsets in T.text_blocks(batch.column(1)):
                 code, owner, has = grams(data, offsets)
@@ -142,16 +161,16 @@ def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", t
                 code, bounds = code[order], np.searchsorted(owner[order], np.arange(end - row + 1))
                 pred, score, sets = [], [], []
                 for i in range(end - row):
-                    own = code[bounds[i] : bounds[i + 1]]
+                    own = code[bounds[i] : bounds[i + 1]] % buckets
                     if not has[i] or not len(own) or not langs:
                         pred.append("und"), score.append(0.0), sets.append([])
                         continue
-                    if len(own) < BUCKETS // 4:
+                    if len(own) < buckets // 4:
                         own.sort()
                         cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                         bucket, counts = own[cut], np.diff(np.append(cut, len(own)))
                     else:
-                        counts = np.bincount(own, minlength=BUCKETS)
+                        counts = np.bincount(own, minlength=buckets)
                         bucket = np.flatnonzero(counts)
                         counts = counts[bucket]
                     share = mixture(probability[bucket].astype(float), counts.astype(float))

@@ -18,7 +18,7 @@ from meristem.llm.language_model import score_texts
 from meristem.llm.minhash_dedup import estimate, minhash_dedup, minima, pack_bits
 from meristem.llm.mixing import mix_sources
 from meristem.llm.mtree_topk import MTree, exact_topk, integer_vectors
-from meristem.llm.packing import Capacity, best_fit, pack_documents
+from meristem.llm.packing import Capacity, best_fit, pack_documents, pieces
 from meristem.llm.quality_qda import fit, quality_scores
 from meristem.llm.quality_rules import apply_rules, cascade, method_rules, order_rules, with_measures
 from meristem.llm.rollups import TokenRollup, deletes, inserts, revisions
@@ -551,3 +551,36 @@ def test_dedup_in_hot_buckets_and_of_strays(spark, monkeypatch):
             break
         label = new
     assert got == label and 7 < len(set(label.values())) < 200
+
+
+def test_residuals_weigh_at_the_registered_parameters(docs):
+    """Documents and attention change which bins are chosen, and not how many there are."""
+    lengths = pieces(docs, vocabulary_path()).toPandas()["length"].to_numpy()
+    bins, _ = best_fit(lengths, Capacity())
+    plain, _ = best_fit(lengths, Capacity(weights=(1.0, 0.0, 0.0)))
+    assert (bins != plain).any() and bins.max() == plain.max()
+
+
+def test_rollups_of_two_writers_and_snapshots(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "en", "t", 5)], "source string, lang string, tokenizer string, n_tokens long")
+    one, two = (TokenRollup(spark, str(tmp_path / "r"), snapshot_every=3) for _ in range(2))
+    late = inserts(rows)
+    two.committed = lambda batch_id: False  # it looked before the other had committed
+    assert one.commit("x/1 %", late) and not two.commit("x/1 %", late)
+    for k in range(7):
+        assert one.commit(str(k), inserts(rows)) and not two.commit(str(k), inserts(rows))
+    assert [tuple(r) for r in two.totals().collect()] == [("a", "en", "t", 8, 40)]
+    snapshots = sorted(p.name for p in (tmp_path / "r" / "snapshots").iterdir() if not p.name.startswith("."))
+    assert len(snapshots) == 2 and len(one._state()[1]) == 2
+    one.commit("all back", deletes(rows).crossJoin(spark.range(8)).drop("id"))
+    assert one.totals().count() == 0
+
+
+def test_many_languages_fold_the_buckets(spark):
+    from meristem.llm import language_mixture as M
+
+    assert M.buckets_for(4) == M.BUCKETS and M.buckets_for(7000) * 7000 <= M.MOST_NUMBERS
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(f"{letters[i % 26]}{letters[i // 26]}{x}" for x in letters * 3), f"l{i:03d}") for i in range(600)]
+    got = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).select("doc_id", "lang_pred").collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:03d}" for r in got) > 570
