@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,10 +16,13 @@ for _b in range(256):
 
 
 class EliasFano:
-    """A strictly rising sequence of non-negative numbers: low bits packed, high bits in unary with zeros that end buckets."""
+    """A rising sequence of non-negative numbers: low bits packed, high bits in unary with zeros that end buckets.
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
+    zeros and ones have the zeros and ones before each word of the high bits, so that both can be selected.
+    """
+
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.bits, self.low, self.high, self.zeros, self.ones = n, bits, low, high, zeros, ones
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> EliasFano:
@@ -42,26 +42,25 @@ class EliasFano:
         flags = np.zeros((n + buckets + 63) // 64 * 64 + 64, np.uint8)
         flags[top + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little").view(_U)
-        zeros = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))))
-        return EliasFano(n, bits, low, high, zeros)
-
-    def _select_zero(self, k: np.ndarray) -> np.ndarray:
-        """Places of the k-th zeros (from 0)."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = k - self.zeros[word]
-        bits = ~self.high[word]
-        place = word * 64
-        live = np.ones(len(k), bool)
-        out = np.zeros(len(k), np.int64)
-        for byte in range(8):
-            b = (bits >> _U(8 * byte)).astype(np.uint8)
-            c = np.bitwise_count(b)
-            here = live & (rest < c)
-            if here.any():
-                out[here] = place[here] + 8 * byte + _SELECT[b[here], rest[here]]
-                live &= ~here
-            rest = np.where(live, rest - c, rest)
-        return out
+        set_ = np.bitwise_count(high).astype(np.int64)
+        narrow = np.uint32 if len(flags) < 1 << 32 else np.uint64
+        zeros, ones = (np.concatenate(([0], np.cumsum(c))).astype(narrow) for c in (64 - set_, set_))
+        return EliasFano(n, bits, low, high, zeros, ones)
+
+    @staticmethod
+    def _select(high: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        """Places of the k-th zeros or ones (from 0), with those before each word."""
+        k = k.astype(before.dtype)
+        word = np.searchsorted(before, k, side="right") - 1
+        rest = (k - before[word]).astype(np.int64)
+        bits = ~high[word] if flip else high[word]
+        # the byte that has it, by running counts of the ones in a word's bytes
+        counts = np.bitwise_count(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8))
+        upto = np.cumsum(counts, axis=1, dtype=np.int16)
+        byte = (upto <= rest[:, None]).sum(axis=1)
+        at = np.arange(len(k))
+        rest -= np.where(byte > 0, upto[at, byte - 1], 0)
+        return word * 64 + 8 * byte + _SELECT[(bits >> (_U(8) * byte.astype(_U))).astype(np.uint8), rest]
 
     def _low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -72,18 +71,27 @@ class EliasFano:
         over = np.where(shift > 0, self.low[word + 1] << ((_U(64) - shift) & _U(63)), _U(0))
         return (first | over) & _U((1 << self.bits) - 1)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Indexes of values, -1 for those that are not in the sequence, by successor search in each value's bucket."""
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The values at indexes."""
+        top = self._select(self.high, self.ones, i, False) - i
+        return (top.astype(_U) << _U(self.bits)) | self._low_at(i)
+
+    def find(self, values: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Indexes of values, each within its own range of indexes where ranges are given; -1 for those that are not there.
+
+        The bucket of a value's high bits is selected and cut down to the range, and the successor of its low bits searched there.
+        """
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
         top = (values >> _U(self.bits)).astype(np.int64)
-        inside = np.flatnonzero(top < self.zeros[-1] - 64)  # the last zeros are padding
+        inside = np.flatnonzero(top < int(self.zeros[-1]) - 64)  # the last zeros are padding
         top, part = top[inside], values[inside] & _U((1 << self.bits) - 1)
-        end = self._select_zero(top) - top
-        at = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)) - (top - 1), 0)
-        # successor by halving: a frequent context's successors can fill a bucket
-        stop = end.copy()
+        stop = self._select(self.high, self.zeros, top, True) - top
+        at = np.where(top > 0, self._select(self.high, self.zeros, np.maximum(top - 1, 0), True) - (top - 1), 0)
+        if start is not None:
+            at, stop = np.maximum(at, start[inside]), np.minimum(stop, end[inside])
+        last = stop.copy()
         live = np.flatnonzero(at < stop)
         while len(live):
             middle = (at[live] + stop[live]) >> 1
@@ -91,18 +99,19 @@ class EliasFano:
             at[live[less]] = middle[less] + 1
             stop[live[~less]] = middle[~less]
             live = live[at[live] < stop[live]]
-        some = np.flatnonzero(at < end)
+        some = np.flatnonzero(at < last)
         some = some[self._low_at(at[some]) == part[some]]
         out[inside[some]] = at[some]
         return out
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {"shape": np.array([self.n, self.bits], np.int64), "low": self.low, "high": self.high, "zeros": self.zeros}
+    def arrays(self, prefix: str = "") -> dict[str, np.ndarray]:
+        own = {"shape": np.array([self.n, self.bits], np.int64), "low": self.low, "high": self.high, "zeros": self.zeros, "ones": self.ones}
+        return {prefix + k: v for k, v in own.items()}
 
     @staticmethod
-    def of(arrays: dict[str, np.ndarray]) -> EliasFano:
-        n, bits = arrays["shape"].tolist()
-        return EliasFano(n, bits, arrays["low"], arrays["high"], arrays["zeros"])
+    def of(arrays: dict[str, np.ndarray], prefix: str = "") -> EliasFano:
+        n, bits = arrays[prefix + "shape"].tolist()
+        return EliasFano(n, bits, *(arrays[prefix + k] for k in ("low", "high", "zeros", "ones")))
 
 
 def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -124,17 +133,13 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The file's arrays, mapped into memory; from a store that is no file system, by way of an unlinked local copy."""
+    """The file's arrays, mapped into memory; from a store that is no file system they are read into memory."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-    local, copy = f"{path}/{name}", None
-    if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-        handle, copy = tempfile.mkstemp()
-        with fs.open_input_stream(local) as source, os.fdopen(handle, "wb") as target:
-            shutil.copyfileobj(source, target)
-        local = copy
-    data = np.asarray(np.memmap(local, np.uint8, "r"))
-    if copy:
-        os.unlink(copy)
+    if isinstance(fs, pyarrow.fs.LocalFileSystem):
+        data = np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r"))
+    else:
+        with fs.open_input_file(f"{path}/{name}") as f:
+            data = np.frombuffer(f.read_buffer(), np.uint8)
     size = int.from_bytes(data[:8].tobytes(), "little")
     spec = json.loads(data[8 : 8 + size].tobytes())
     base = -(-(8 + size) // 64) * 64

@@ -1,16 +1,22 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Words are 64-bit hashes. The trie is cut into shards by the first word's hash; a shard has a level per
-order. A level's keys are (node of the context in its level) * vocabulary + word: rising numbers, in
-which a context's successors lie together, kept as an Elias-Fano sequence with 16-bit quantised
-log10 probabilities and back-off weights. Tasks map the levels from the shared folder into memory.
+Words are 64-bit hashes, and their ids the places of these among all. A level of the trie has the words
+of its n-grams, those with one context together and in order: an Elias-Fano sequence of word ids on
+which each context's range starts from where the range before has ended, so that it rises throughout,
+and a second one of pointers to where the ranges start. An n-gram is looked up by its context's node:
+two pointers give the range, and the successor of the word id is searched in it alone. Beside them lie
+the discounted probabilities and the weights that contexts leave to shorter ones, as 16-bit quantised
+logarithms. Tasks map the levels from the shared folder into memory.
+
+The trie is cut into shards by the first word's hash. A word with more than a shard's share of all
+tokens has shards of its own, by the second word, so that no shard grows with one word. There are
+about twice as many as the input has partitions.
 
 The first level has every word with its count, so the add-one base is exact. Longer n-grams are kept
 from a number of occurrences on (least; 1 keeps all, as op7 does), counted over all training texts; since
 a frequent n-gram's parts are frequent too, each pass counts only n-grams whose parts were kept, and
-loses none. Probabilities are
-interpolated with absolute discounting, and what a context's kept successors leave goes to the shorter
-context, so each context's probabilities sum to 1.
+loses none. Probabilities are interpolated with absolute discounting, and what a context's kept
+successors leave goes to the shorter context, so each context's probabilities sum to 1.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import functools
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ from ._session import extended, shared_dir
 from .elias_fano import EliasFano, map_arrays, write_arrays
 
 ORDER, LEAST, DISCOUNT = 3, 2, 0.75
-MOST_SHARD_BITS = 10
+MOST_SHARD_BITS = 14
 HELD_KEYS = 4_000_000  # that a task holds before it passes them on
 STEPS = 4096  # quantisation steps per unit of log10
 BLOCK = 2 << 20
@@ -62,30 +68,69 @@ def sum_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[new], np.add.reduceat(counts, new)
 
 
-def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * STEPS), 0, 65535).astype(np.uint16)
+_POWERS = 10.0 ** (-np.arange(65536) / STEPS)
+
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    """log10 of probabilities in 65536 steps, down to 1e-16."""
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-16)) * STEPS), 0, 65535).astype(np.uint16)
 
 
 @dataclass(frozen=True)
 class Shape:
-    """What tasks need to find their way: folder, shard bits, first word id of each shard, and sums over the training texts."""
+    """What tasks need to find their way: folder, shard bits, sums over the training texts, and where shards start.
+
+    first: the first word id of each of level 1's shards; nodes: by level (from 2), the first node of each
+    shard; hot: ids of the words with shards of their own, their first such shard, number of shards,
+    count, and the weight that they leave to the shorter context.
+    """
 
     folder: str
     bits: int
-    first: tuple[int, ...]
+    first: np.ndarray
     tokens: int
-    levels: int
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    nodes: tuple[np.ndarray, ...] = ()
     least: int = LEAST
 
     @property
     def words(self) -> int:
-        return self.first[-1]
+        return int(self.first[-1])
+
+    @property
+    def levels(self) -> int:
+        return len(self.nodes) + 1
+
+    @property
+    def shards(self) -> int:
+        """Of levels from 2 on."""
+        return (1 << self.bits) + int(self.hot[2].sum())
+
+    def contexts(self, level: int) -> np.ndarray:
+        """The first context of each shard of a level. Level 2's are the words, and after them one for each shard of a hot word."""
+        if level == 2:
+            return np.concatenate([self.first, self.words + 1 + np.arange(self.shards - (1 << self.bits))])
+        return self.nodes[level - 3]
+
+    def is_hot(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which word ids are hot, and their places in hot."""
+        at = np.searchsorted(self.hot[0], ids)
+        at = np.minimum(at, max(0, len(self.hot[0]) - 1))
+        return (self.hot[0][at] == ids if len(self.hot[0]) else np.zeros(len(ids), bool)), at
 
+    def bigram_contexts(self, ids: np.ndarray, following: np.ndarray) -> np.ndarray:
+        hot, at = self.is_hot(ids)
+        out = ids.copy()
+        out[hot] = self.words + self.hot[1][at[hot]] - (1 << self.bits) + following[hot] % self.hot[2][at[hot]]
+        return out
 
-@functools.lru_cache(maxsize=8192)
-def _level(folder: str, level: int, shard: int) -> tuple[EliasFano, dict[str, np.ndarray]]:
+
+@functools.lru_cache(maxsize=1 << 16)
+def _level(folder: str, level: int, shard: int) -> dict:
     arrays = map_arrays(folder, f"level{level}-{shard:05d}")
-    return EliasFano.of(arrays), arrays
+    if level == 1:
+        return arrays | {"ids": EliasFano.of(arrays)}
+    return arrays | {"pointers": EliasFano.of(arrays, "pointer_"), "words": EliasFano.of(arrays, "word_")}
 
 
 def _ids(shape: Shape, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,45 +142,69 @@ def _ids(shape: Shape, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = bounds[s], bounds[s + 1]
         if a == b or shape.first[s] == shape.first[s + 1]:
             continue
-        sequence, arrays = _level(shape.folder, 1, s)
-        at = sequence.find((hashes[a:b] << _U(shape.bits)) >> _U(shape.bits))
+        level = _level(shape.folder, 1, s)
+        at = level["ids"].find((hashes[a:b] << _U(shape.bits)) >> _U(shape.bits))
         hit = at >= 0
         ids[a:b][hit] = at[hit] + shape.first[s]
-        counts[a:b][hit] = _count_at(arrays, at[hit])
+        counts[a:b][hit] = _count_at(level, at[hit])
     return ids, counts
 
 
-def _count_at(arrays: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Counts are bytes; those over 254 are in a short list by index."""
+def _counts(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes; those over 254 in a short list by index."""
+    big = np.flatnonzero(counts >= 255)
+    return {"count": np.minimum(counts, 255).astype(np.uint8), "big_at": big, "big_count": counts[big]}
+
+
+def _count_at(arrays: dict, at: np.ndarray) -> np.ndarray:
     c = arrays["count"][at].astype(np.int64)
     big = np.flatnonzero(c == 255)
     c[big] = arrays["big_count"][np.searchsorted(arrays["big_at"], at[big])]
     return c
 
 
-def _counts_of_ids(shape: Shape, ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), np.int64)
-    shard = np.searchsorted(shape.first, ids, side="right") - 1
-    for s in np.unique(shard):
-        own = shard == s
-        out[own] = _count_at(_level(shape.folder, 1, int(s))[1], ids[own] - shape.first[s])
+def _successors(level: dict, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places of words after rising contexts of one shard (-1: not kept): each context's range from its pointers, and the word's successor within it."""
+    new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
+    own = context[new]
+    start = level["pointers"].access(own).astype(np.int64)
+    end = level["pointers"].access(own + 1).astype(np.int64)
+    base = np.zeros(len(own), _U)
+    base[start > 0] = level["words"].access(start[start > 0] - 1)
+    return level["words"].find(base[of] + word.astype(_U) + _U(1), start[of], end[of])
+
+
+def _nodes(shape: Shape, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Nodes of a level (-1: not kept) by context and word; each distinct n-gram is searched once, in order."""
+    out = np.full(len(context), -1, np.int64)
+    keys = context.astype(_U) * _U(shape.words) + word.astype(_U)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(keys)))
+    context, word = context[order[new]], word[order[new]]
+    found = np.full(len(new), -1, np.int64)
+    first, nodes = shape.contexts(level), shape.nodes[level - 2]
+    bounds = np.searchsorted(context, first)
+    for s in np.flatnonzero((bounds[1:] > bounds[:-1]) & (nodes[1:] > nodes[:-1])):
+        a, b = bounds[s], bounds[s + 1]
+        at = _successors(_level(shape.folder, level, int(s)), context[a:b] - first[s], word[a:b])
+        found[a:b] = np.where(at >= 0, at + nodes[s], -1)
+    out[order] = np.repeat(found, size)
     return out
 
 
-def _nodes(shape: Shape, level: int, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Local indexes of keys in a level (-1: not kept); each distinct key is searched once, in order."""
-    out = np.full(len(keys), -1, np.int64)
-    order = np.lexsort((keys, shard))
-    keys, shard = keys[order], shard[order]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1]))) if len(keys) else np.zeros(0, bool)
-    place = np.cumsum(new) - 1
-    unique, of = keys[new], shard[new]
-    found = np.full(len(unique), -1, np.int64)
-    bounds = np.searchsorted(of, np.arange((1 << shape.bits) + 1))
-    for s in range(1 << shape.bits):
-        if bounds[s] < bounds[s + 1]:
-            found[bounds[s] : bounds[s + 1]] = _level(shape.folder, level, s)[0].find(unique[bounds[s] : bounds[s + 1]])
-    out[order] = found[place]
+def _values(shape: Shape, level: int, name: str, at: np.ndarray, first: np.ndarray, missing: float) -> np.ndarray:
+    """Dequantised values of a level's array at global indexes; shards without n-grams have the value for missing ones."""
+    out = np.full(len(at), missing)
+    shard = np.searchsorted(first, at, side="right") - 1
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(len(first)))
+    nodes = shape.nodes[level - 2][: len(first)]
+    for s in np.flatnonzero((bounds[1:] > bounds[:-1]) & (nodes[1:] > nodes[:-1])):
+        i = order[bounds[s] : bounds[s + 1]]
+        out[i] = _POWERS[_level(shape.folder, level, int(s))[name][at[i] - first[s]]]
     return out
 
 
@@ -147,7 +216,6 @@ class Tokens:
     lead: np.ndarray
     ids: np.ndarray
     counts: np.ndarray
-    shard: np.ndarray
 
 
 def _sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,19 +238,17 @@ def _tokens(shape: Shape, data: np.ndarray, offsets: np.ndarray) -> Tokens:
     hashes, owner, lead = _sequence(data, offsets)
     unique, inverse = np.unique(hashes, return_inverse=True)
     ids, counts = _ids(shape, unique)
-    return Tokens(owner, lead, ids[inverse], counts[inverse], (hashes >> _U(64 - shape.bits)).astype(np.int64))
+    return Tokens(owner, lead, ids[inverse], counts[inverse])
 
 
 def _climb(shape: Shape, t: Tokens, top: int) -> list[np.ndarray]:
     """For each level up to top: the node of the n-gram that ends at each token, -1 where it was not kept."""
-    local = np.where(t.ids >= 0, t.ids - np.array(shape.first)[t.shard], -1)
-    nodes = [local]
+    nodes = [t.ids]
     for level in range(2, top + 1):
         node = np.full(len(t.ids), -1, np.int64)
         i = np.flatnonzero(_candidates(shape, t, nodes, level))
         if len(i):
-            shard = t.shard[i - level + 1]
-            node[i] = _nodes(shape, level, shard, _keys(shape, t, nodes, level, i))
+            node[i] = _nodes(shape, level, _contexts(shape, t, nodes, level, i), t.ids[i])
         nodes.append(node)
     return nodes
 
@@ -193,18 +259,24 @@ def _candidates(shape: Shape, t: Tokens, nodes: list[np.ndarray], level: int) ->
     out = np.zeros(len(t.ids), bool)
     if len(out) >= level:
         if level == 2:
-            out[1:] = frequent[1:] & frequent[:-1] & ~t.lead[1:]
+            out[1:] = frequent[1:] & frequent[:-1]
         else:
             out[1:] = (nodes[-1][:-1] >= 0) & (nodes[-1][1:] >= 0)
-            lead = t.lead.copy()
-            for k in range(1, level - 1):
-                lead[k:] |= t.lead[:-k]
-            out &= ~lead
+        out &= _within(t, level)
     return out
 
 
-def _keys(shape: Shape, t: Tokens, nodes: list[np.ndarray], level: int, i: np.ndarray) -> np.ndarray:
-    return nodes[level - 2][i - 1].astype(_U) * _U(shape.words) + t.ids[i].astype(_U)
+def _within(t: Tokens, level: int) -> np.ndarray:
+    """Tokens with level - 1 others of their text before them."""
+    lead = t.lead.copy()
+    for k in range(1, level - 1):
+        lead[k:] |= t.lead[:-k]
+    return ~lead
+
+
+def _contexts(shape: Shape, t: Tokens, nodes: list[np.ndarray], level: int, i: np.ndarray) -> np.ndarray:
+    before = nodes[level - 2][i - 1]
+    return shape.bigram_contexts(before, t.ids[i]) if level == 2 else before
 
 
 def _training(docs: DataFrame, train: Column) -> DataFrame:
@@ -213,6 +285,7 @@ def _training(docs: DataFrame, train: Column) -> DataFrame:
 
 def _counted(texts: DataFrame, bits: int, level: int, shape: Shape | None) -> DataFrame:
     """(shard, blob) of the n-grams that end in each text, counted by task."""
+    shards = shape.shards if shape else 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -223,8 +296,8 @@ def _counted(texts: DataFrame, bits: int, level: int, shape: Shape | None) -> Da
             counts = np.concatenate([h[2] for h in held])
             order = np.argsort(shard, kind="stable")
             shard, keys, counts = shard[order], keys[order], counts[order]
-            bounds = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            some = [s for s in range(1 << bits) if bounds[s] < bounds[s + 1]]
+            bounds = np.searchsorted(shard, np.arange(shards + 1))
+            some = np.flatnonzero(bounds[1:] > bounds[:-1])
             blobs = [pack_keys(*sum_counts(keys[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]])) for s in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
@@ -239,7 +312,9 @@ def _counted(texts: DataFrame, bits: int, level: int, shape: Shape | None) -> Da
                     t = _tokens(shape, data, offsets)
                     nodes = _climb(shape, t, level - 1)
                     i = np.flatnonzero(_candidates(shape, t, nodes, level))
-                    keys, shard, counts = _keys(shape, t, nodes, level, i), t.shard[i - level + 1], np.ones(len(i), np.int64)
+                    context, first = _contexts(shape, t, nodes, level, i), shape.contexts(level)
+                    shard = np.searchsorted(first, context, side="right") - 1
+                    keys, counts = (context - first[shard]).astype(_U) * _U(shape.words) + t.ids[i].astype(_U), np.ones(len(i), np.int64)
                 held.append((shard, keys, counts))
                 size += len(keys)
                 if size >= HELD_KEYS:
@@ -263,108 +338,107 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _write_level(folder: str, bits: int, level: int, shape: Shape | None):
+    """Writes a shard's level from its blobs; (shard, its n-grams, its tokens, the share that its last context's successors take)."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         keys, counts = _merged(table)
-        tokens = int(counts.sum())
+        tokens, taken = int(counts.sum()), np.zeros(1)
         if level == 1:
-            sequence = EliasFano.build(keys, 1 << (64 - bits))
-            big = np.flatnonzero(counts >= 255)
-            extra = {"count": np.minimum(counts, 255).astype(np.uint8), "big_at": big, "big_count": counts[big]}
+            arrays = EliasFano.build(keys, 1 << (64 - bits)).arrays() | _counts(counts)
         else:
             often = counts >= shape.least
             keys, counts = keys[often], counts[often]
-            parents = _parent_size(shape, level, shard)
-            sequence = EliasFano.build(keys, max(1, parents * shape.words))
-            parent, word = (keys // _U(shape.words)).astype(np.int64), (keys % _U(shape.words)).astype(np.int64)
-            total = _parent_counts(shape, level, shard, parent)
-            share = (counts - DISCOUNT) / total
-            rest = 1 - np.bincount(parent, share, parents)
-            p = share + rest[parent] * 10.0 ** _shorter(shape, level, shard, parent, word)
-            extra = {"prob": quantise(np.log10(np.minimum(p, 1))), "rest": quantise(np.log10(np.maximum(rest, 1e-15)))}
+            parent, word = (keys // _U(shape.words)).astype(np.int64), keys % _U(shape.words)
+            first = shape.contexts(level)
+            parents = int(first[shard + 1] - first[shard])
+            share = (counts - DISCOUNT) / _context_counts(shape, level, shard, parent)
+            taken = np.bincount(parent, share, parents)
+            size = np.bincount(parent, minlength=parents)
+            upto = np.concatenate(([0], np.cumsum(size)))
+            last = np.zeros(parents, _U)
+            last[size > 0] = word[upto[1:][size > 0] - 1] + _U(1)
+            base = np.cumsum(last) - last
+            total = int(last.sum())
+            arrays = EliasFano.build(upto, len(keys) + 1).arrays("pointer_") | EliasFano.build(base[parent] + word + _U(1), total + 1).arrays("word_")
+            arrays |= {"share": quantise(share), "rest": quantise(1 - taken)}
             if level < ORDER:
-                extra |= {"n": counts.astype(np.uint32), "key": keys}
-        write_arrays(folder, f"level{level}-{shard:05d}", sequence.arrays() | extra)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+                arrays |= _counts(counts)
+        write_arrays(folder, f"level{level}-{shard:05d}", arrays)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "taken": pa.array([float(taken[-1])])})
 
     return run
 
 
-def _parent_size(shape: Shape, level: int, shard: int) -> int:
-    return shape.first[shard + 1] - shape.first[shard] if level == 2 else _level(shape.folder, level - 1, shard)[0].n
+def _context_counts(shape: Shape, level: int, shard: int, parent: np.ndarray) -> np.ndarray:
+    if level == 2 and shard >= 1 << shape.bits:
+        return shape.hot[3][np.searchsorted(shape.hot[1], shard, side="right") - 1]
+    return _count_at(_level(shape.folder, level - 1, shard), parent)
 
 
-def _parent_counts(shape: Shape, level: int, shard: int, parent: np.ndarray) -> np.ndarray:
-    arrays = _level(shape.folder, level - 1, shard)[1]
-    return _count_at(arrays, parent) if level == 2 else arrays["n"][parent].astype(np.int64)
+def _base(shape: Shape, counts: np.ndarray) -> np.ndarray:
+    return (counts + 1) / (shape.tokens + shape.words + 1)
 
 
-def _base(shape: Shape, counts: np.ndarray) -> np.ndarray:
-    return np.log10((counts + 1) / (shape.tokens + shape.words + 1))
-
-
-def _shorter(shape: Shape, level: int, shard: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 probability of each word after the context without its first word."""
-    if level == 2:
-        return _base(shape, _counts_of_ids(shape, word))
-    # level 3: the context's last word is in the bigram's key
-    last = (_level(shape.folder, 2, shard)[1]["key"][parent] % _U(shape.words)).astype(np.int64)
-    of = np.searchsorted(shape.first, last, side="right") - 1
-    node = _nodes(shape, 2, of, (last - np.array(shape.first)[of]).astype(_U) * _U(shape.words) + word.astype(_U))
-    out = np.zeros(len(word))
-    for s in np.unique(of):
-        own = of == s
-        out[own] = -_level(shape.folder, 2, int(s))[1]["prob"][node[own]].astype(float) / STEPS
-    return out
+def _starts(sizes: dict[int, int], shards: int) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum([sizes.get(s, 0) for s in range(shards)]))).astype(np.int64)
+
+
+def _hot_words(shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with more than a shard's share of the tokens: at most as many as there are shards, with twice as many shards of their own at most."""
+    share = max(1, shape.tokens >> shape.bits)
+    ids, counts = [], []
+    for s in range(1 << shape.bits):
+        if shape.first[s] < shape.first[s + 1]:
+            level = _level(shape.folder, 1, s)
+            over = level["big_count"] > share
+            ids.append(level["big_at"][over] + shape.first[s]), counts.append(level["big_count"][over])
+    ids, counts = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (ids, counts))
+    shards = -(-counts // share)
+    return ids, (1 << shape.bits) + np.cumsum(shards) - shards, shards, counts, np.ones(len(ids))
 
 
 def train_model(docs: DataFrame, train: Column, least: int = LEAST) -> Shape:
-    """Builds the trie over docs(text) where train holds; null texts are empty. Only sums by shard reach the driver."""
+    """Builds the trie over docs(text) where train holds; null texts are empty. Only sums by shard and the hot words reach the driver."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = folder.replace("file:", "", 1)
     texts = _training(docs, train)
-    bits = min(MOST_SHARD_BITS, max(2, math.ceil(math.log2(max(1, texts.rdd.getNumPartitions())))))
+    bits = min(MOST_SHARD_BITS, max(2, 1 + math.ceil(math.log2(max(1, texts.rdd.getNumPartitions())))))
     shape = None
     for level in range(1, ORDER + 1):
-        built = _counted(texts, bits, level, shape).groupBy("shard").applyInArrow(_write_level(folder, bits, level, shape), "shard int, n long, tokens long")
-        sizes = {r["shard"]: r for r in built.collect()}  # one row for each of at most 2**MOST_SHARD_BITS shards
-        for s in range(1 << bits):
-            if s not in sizes:
-                none = {"prob": np.zeros(0, np.uint16), "rest": np.full(shape.first[s + 1] - shape.first[s] if level == 2 else 0, 0, np.uint16)} if level > 1 else {"count": np.zeros(0, np.uint8)}
-                if level == 3:
-                    none["rest"] = np.zeros(_level(folder, 2, s)[0].n, np.uint16)
-                write_arrays(folder, f"level{level}-{s:05d}", EliasFano.build(np.zeros(0, _U), 1).arrays() | none | {"key": np.zeros(0, _U), "n": np.zeros(0, np.uint32), "big_at": np.zeros(0, np.int64), "big_count": np.zeros(0, np.int64)})
+        built = _counted(texts, bits, level, shape).groupBy("shard").applyInArrow(_write_level(folder, bits, level, shape), "shard int, n long, tokens long, taken double")
+        found = {r["shard"]: r for r in built.collect()}  # one row for each shard
+        sizes = {s: r["n"] for s, r in found.items()}
         if level == 1:
-            first = np.concatenate(([0], np.cumsum([sizes[s]["n"] if s in sizes else 0 for s in range(1 << bits)])))
-            shape = Shape(folder, bits, tuple(int(x) for x in first), sum(r["tokens"] for r in sizes.values()), 1, least)
-    return Shape(folder, bits, shape.first, shape.tokens, ORDER, least)
+            none = tuple(np.zeros(0, np.int64) for _ in range(5))
+            shape = Shape(folder, bits, _starts(sizes, 1 << bits), sum(r["tokens"] for r in found.values()), none, (), least)
+            shape = replace(shape, hot=_hot_words(shape))
+        else:
+            if level == 2:
+                ids, shard, n, counts, _ = shape.hot
+                rest = np.array([1 - sum(found[s]["taken"] for s in range(a, a + k) if s in found) for a, k in zip(shard.tolist(), n.tolist(), strict=True)])
+                shape = replace(shape, hot=(ids, shard, n, counts, rest))
+            shape = replace(shape, nodes=(*shape.nodes, _starts(sizes, shape.shards)))
+    return shape
 
 
 def score_tokens(shape: Shape, t: Tokens) -> np.ndarray:
-    """log10 probability of each token given those before it in its text: the longest kept n-gram's, or back-off weights down to it."""
+    """log10 probability of each token given those before it in its text: each level's discounted probability, and what its context leaves to the shorter one's."""
     nodes = _climb(shape, t, shape.levels)
     p = _base(shape, t.counts)
     for level in range(2, shape.levels + 1):
-        node, context = nodes[level - 1], np.concatenate(([-1], nodes[level - 2][:-1]))
-        within = ~t.lead.copy()
-        for k in range(1, level - 1):
-            within[k:] &= ~t.lead[:-k]
-        context[~within] = -1
-        shard = np.concatenate((np.zeros(min(level - 1, len(t.ids)), np.int64), t.shard[: -(level - 1)]))
-        live = np.flatnonzero(context >= 0)
-        order = live[np.argsort(shard[live], kind="stable")]
-        bounds = np.searchsorted(shard[order], np.arange((1 << shape.bits) + 1))
-        for s in range(1 << shape.bits):
-            i = order[bounds[s] : bounds[s + 1]]
-            if not len(i):
-                continue
-            arrays = _level(shape.folder, level, s)[1]
-            hit = node[i] >= 0
-            p[i[hit]] = -arrays["prob"][node[i[hit]]].astype(float) / STEPS
-            p[i[~hit]] -= arrays["rest"][context[i[~hit]]].astype(float) / STEPS
-    return p
+        context = np.concatenate(([-1], nodes[level - 2][:-1]))
+        i = np.flatnonzero((context >= 0) & _within(t, level))
+        left = _values(shape, level, "rest", context[i], shape.first if level == 2 else shape.nodes[level - 3], 1.0)
+        if level == 2:
+            hot, at = shape.is_hot(context[i])
+            left[hot] = shape.hot[4][at[hot]]
+        p[i] *= left
+        hit = i[nodes[level - 1][i] >= 0]
+        p[hit] += _values(shape, level, "share", nodes[level - 1][hit], shape.nodes[level - 2], 0.0)
+    return np.log10(np.maximum(p, 1e-300))
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -372,7 +446,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     A null or empty text is its end alone. Repeated rows each get a row and count each in training.
     Bigrams and trigrams seen fewer than least times in training are dropped; 1 keeps all.
-    Without training texts every token is unknown and both scores are 0. Other columns are not read.
+    Without training texts every token is unknown and both scores are 0. Other columns are not read. An
+    empty table gives no rows. A text is held whole by its task, at some 200 bytes a byte, however long.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     shape = train_model(docs.select(F.col(id_col), F.col(text_col).alias("text")), train, least)
@@ -382,7 +457,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         for batch in batches:
             for row, end, data, offsets in T.text_blocks(batch.column(1), BLOCK):
                 t = _tokens(shape, data, offsets)
-                p, base, n = score_tokens(shape, t), _base(shape, t.counts), end - row
+                p, base, n = score_tokens(shape, t), np.log10(_base(shape, t.counts)), end - row
                 real = ~t.lead
                 owner = t.owner[real]
                 yield pa.RecordBatch.from_arrays(
