@@ -17,7 +17,7 @@ from meristem.llm.language_mixture import grams, identify_languages, mixture
 from meristem.llm.language_model import score_texts
 from meristem.llm.minhash_dedup import estimate, minhash_dedup, minima, pack_bits
 from meristem.llm.mixing import mix_sources
-from meristem.llm.mtree_topk import MTree, exact_topk, integer_vectors
+from meristem.llm.mtree_topk import Page, augmented, exact_topk, integer_vectors, leaves_of
 from meristem.llm.packing import Capacity, best_fit, pack_documents, pieces
 from meristem.llm.quality_qda import fit, quality_scores
 from meristem.llm.quality_rules import apply_rules, cascade, method_rules, order_rules, with_measures
@@ -484,22 +484,76 @@ def test_rules_measures(spark, odd, empty):
 
 def test_cascade_order_changes_no_verdict(docs):
     d = with_measures(docs)
-    ordered = [r for r, _, _ in order_rules(d, method_rules())]
+    ordered = [(r.name, r.of_measures) for r in method_rules() if r.of_measures is not None]
     a, b = (d.where(cascade(x).isNull()).select("doc_id").collect() for x in (ordered, ordered[::-1]))
     assert sorted(a) == sorted(b)
 
 
-def test_mtree_is_exact_and_skips(spark):
+def test_cascade_of_raw_texts_gives_the_same_verdicts(docs, odd, empty):
+    for d in (docs, odd):
+        a = d.transform(apply_rules).select("doc_id", "kept").collect()
+        b = apply_rules(d, measured=False).collect()
+        assert sorted(map(str, a)) == sorted(map(str, b))
+    assert apply_rules(empty, measured=False).count() == 0
+
+
+def test_cascade_stops_at_the_first_that_rejects(spark):
+    """A later rule's condition is not evaluated for a row that is out already; the dearer of two alike rules comes later."""
+    rows = spark.createDataFrame([(1, "x " * 30), (2, "y " * 30)], "doc_id long, text string")
+    fails = F.when(F.col("text").startswith("x"), F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False))
+    assert [r[0] for r in rows.select(cascade([("x", F.col("text").startswith("x")), ("fails", fails)])).collect()] == ["x", None]
+    texts = spark.range(400).selectExpr("concat_ws(' ', transform(sequence(1, 3000), x -> concat('w', (x * id) % 977))) as _text").cache()
+    cheap, dear = F.length("_text") % 2 == 0, F.length(F.array_join(F.array_sort(F.split("_text", " ")), "")) % 2 == 1
+    names = [name for name, _, _ in order_rules(texts, [("dear", dear), ("cheap", cheap), ("never", F.length("_text") < 0)])]
+    assert names == ["cheap", "dear", "never"]
+
+
+def clustered(n, dims=16):
     rng = np.random.default_rng(9)
-    centres = rng.integers(-800, 800, (12, 16))
-    v = centres[rng.integers(0, 12, 3000)] + rng.integers(-40, 40, (3000, 16))
+    v = rng.integers(-800, 800, (12, dims))[rng.integers(0, 12, n)] + rng.integers(-40, 40, (n, dims))
     v[50:90] = v[50]
-    tree = MTree(np.arange(3000), v, int((v**2).sum(1).max()))
+    return v
+
+
+def test_mtree_page_is_exact_and_skips():
+    v = clustered(3000)
+    largest = float((v**2).sum(1).max())
+    points = augmented(v, largest)
+    branch = points[7]
+    leaf, to_leaf, at = leaves_of(points)
+    page = Page(np.arange(3000), v, leaf, to_leaf, np.sqrt(((points[at] - branch) ** 2).sum(1)), branch, largest)
     for q in range(0, 3000, 300):
         s = v @ v[q]
         want = sorted(((-int(s[i]), i) for i in range(3000) if i != q))[:10]
-        assert tree.search(v[q], 10, skip=q) == [(-a, b) for a, b in want]
-    assert tree.computed < 0.9 * 10 * 3000
+        scores, found = page.search(v[q], 10, skip=q)
+        assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == want
+        scores, found = page.search(v[q], 10, skip=q, least=-want[4][0])
+        assert list(zip((-scores).tolist(), found.tolist(), strict=True))[:5] == want[:5]
+    assert page.computed < 0.4 * 20 * 3000
+
+
+def test_topk_over_many_pages(spark, monkeypatch):
+    """Several branches and pages, a vector that a third of the rows have, and all rounds; pages are ruled out by the bound."""
+    from meristem.llm import mtree_topk as M
+
+    monkeypatch.setattr(M, "BRANCH", 150), monkeypatch.setattr(M, "QUERIES", 7)
+    v = clustered(1800)
+    v[600:1200] = v[600]
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(5000 + i, x[:3]) for i, x in enumerate(v[:20].tolist())]
+    got = {}
+    for r in exact_topk(spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    for q in [*range(0, 1800, 100), 5000]:
+        same = [(i, np.array(x)) for i, x in rows if len(x) == (3 if q >= 5000 else 16) and i != q]
+        own = np.array(dict(rows)[q])
+        assert got.pop(q) == sorted((-int(x @ own), i) for i, x in same)[:10]
+    assert not got
+    frame = spark.createDataFrame(rows[:1800], "vec_id long, v array<long>").selectExpr("16 as dim", "vec_id", "v", "vec_id % 100 = 0 as asked")
+    tree = M.Tree(frame, frame.selectExpr("16 as dim").groupBy("dim").agg(F.count("*").alias("n")).withColumn("largest", F.lit(int((v**2).sum(1).max()))).collect())
+    M._build(frame, tree)
+    tenth = [(16, q, v[q].tolist(), int(np.sort(v @ v[q])[-11])) for q in range(0, 1800, 100)]
+    asked = spark.createDataFrame(tenth, "dim int, query_id long, q array<long>, least long")
+    assert M._wanted(asked, tree, 0, None).count() < 0.75 * 18 * len(tree.pages[16])
 
 
 def test_topk_edges(spark):
@@ -509,6 +563,9 @@ def test_topk_edges(spark):
     one, half = 1024 * 1024, 512 * 1024
     assert got == [(0, 1, 5, 5 * one), (0, 2, 6, 5 * one), (0, 3, 100, 3 * half), (100, 1, 0, 3 * half), (100, 2, 5, 3 * half), (100, 3, 6, 3 * half)]
     assert exact_topk(v.where("false"), F.lit(True)).count() == 0
+    huge = integer_vectors(spark.createDataFrame([(0, [1e300, 1.0]), (100, [1.0, -1e18]), (1, [1.0, 2.0]), (200, [3e5, 3e5])], "vec_id long, embedding array<double>"))
+    assert [(r["vec_id"], r["v"]) for r in huge.orderBy("vec_id").collect()] == [(1, [1024, 2048]), (200, [307200000, 307200000])]
+    assert [tuple(r) for r in exact_topk(huge, F.col("vec_id") % 100 == 0).collect()] == [(200, 1, 1, 307200000 * 3072)]
 
 
 @pytest.mark.parametrize("blank", [" ", "\n", "\t \n　\x85"])
