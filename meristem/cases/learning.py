@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..operators import learning as M
 from .base import case, colour, mask, r6, table
 
-FEATURES = [f"f{i}" for i in range(4)]
+DIMS = 64
+FEATURES = [f"f{i}" for i in range(DIMS)]
 
 
 def vectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(4)])
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(DIMS)])
 
 
-VECTORS = "v as (select vec_id, label::varchar as label, " + ", ".join(f"embedding[{i + 1}]::double as f{i}" for i in range(4)) + " from embeddings)"
+VECTORS = "v as (select vec_id, label::varchar as label, " + ", ".join(f"embedding[{i + 1}]::double as f{i}" for i in range(DIMS)) + " from embeddings)"
 
 
 def split(spark, d):
@@ -36,7 +37,7 @@ def _pca(spark, d):
     return r6(M.pca(vectors(spark, d), FEATURES)[0].select("vec_id", "PC1", "PC2"), 4)
 
 
-_DIST = "sqrt(" + " + ".join(f"power(q.f{i} - t.f{i}, 2)" for i in range(4)) + ")"
+_DIST = "sqrt(" + " + ".join(f"power(q.f{i} - t.f{i}, 2)" for i in range(DIMS)) + ")"
 
 
 @case("ml_knn_classifier", f"with {VECTORS}, s as (select vec_id from embeddings order by md5('42|' || vec_id) limit (select ceil(count(*) * 0.25)::bigint from embeddings)), n as (select q.vec_id, t.label from v q, v t where q.vec_id in (from s) and t.vec_id not in (from s) qualify row_number() over (partition by q.vec_id order by {_DIST}, t.vec_id) <= 5), c as (select vec_id, label, count(*) as k from n group by 1, 2) select vec_id, label as prediction from c qualify row_number() over (partition by vec_id order by k desc, label) = 1")
@@ -51,11 +52,11 @@ def _ols(spark, d):
     return spark.createDataFrame([(round(c["l_quantity"], 4), round(c["intercept"], 3))], "slope double, intercept double")
 
 
-_CENTRE = ", ".join(f"avg(f{i}) as c{i}" for i in range(4))
-_OWN = "sqrt(" + " + ".join(f"power(f{i} - c{i}, 2)" for i in range(4)) + ")"
+_CENTRE = ", ".join(f"avg(f{i}) as c{i}" for i in range(DIMS))
+_OWN = "sqrt(" + " + ".join(f"power(f{i} - c{i}, 2)" for i in range(DIMS)) + ")"
 
 
-@case("ml_cluster_validity", f"with {VECTORS}, c as (select label, count(*) as n, {_CENTRE} from v group by 1), g as (select {', '.join(f'avg(f{i}) as g{i}' for i in range(4))} from v), w as (select label, sum(power({_OWN}, 2)) as w, avg({_OWN}) as s, max({_OWN}) as m from v join c using (label) group by 1), p as (select a.label, max((wa.s + wb.s) / d) as r, min(d) as least from (select a.label, b.label as o, sqrt({' + '.join(f'power(a.c{i} - b.c{i}, 2)' for i in range(4))}) as d from c a join c b on a.label <> b.label) a join w wa on wa.label = a.label join w wb on wb.label = a.o group by 1) select round(sum(n * ({' + '.join(f'power(c{i} - g{i}, 2)' for i in range(4))})) / (count(*) - 1) / (sum(w.w) / (sum(n) - count(*))), 4) as calinski_harabasz, round(avg(r), 4) as davies_bouldin, round(min(least) / (2 * max(w.m)), 4) as dunn from c join w using (label) join p using (label), g")
+@case("ml_cluster_validity", f"with {VECTORS}, c as (select label, count(*) as n, {_CENTRE} from v group by 1), g as (select {', '.join(f'avg(f{i}) as g{i}' for i in range(DIMS))} from v), w as (select label, sum(power({_OWN}, 2)) as w, avg({_OWN}) as s, max({_OWN}) as m from v join c using (label) group by 1), p as (select a.label, max((wa.s + wb.s) / d) as r, min(d) as least from (select a.label, b.label as o, sqrt({' + '.join(f'power(a.c{i} - b.c{i}, 2)' for i in range(DIMS))}) as d from c a join c b on a.label <> b.label) a join w wa on wa.label = a.label join w wb on wb.label = a.o group by 1) select round(sum(n * ({' + '.join(f'power(c{i} - g{i}, 2)' for i in range(DIMS))})) / (count(*) - 1) / (sum(w.w) / (sum(n) - count(*))), 4) as calinski_harabasz, round(avg(r), 4) as davies_bouldin, round(min(least) / (2 * max(w.m)), 4) as dunn from c join w using (label) join p using (label), g")
 def _validity(spark, d):
     return r6(M.cluster_validity(vectors(spark, d), "label", FEATURES), 4)
 
@@ -89,13 +90,12 @@ def _line(spark, d):
     return out.select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
 
 
-_D8 = "sqrt(" + " + ".join(f"power(q.embedding[{i + 1}]::double - t.embedding[{i + 1}]::double, 2)" for i in range(8)) + ")"
-
-
-@case("feat_matcher", f"with p as (select q.vec_id as q, t.vec_id as t, {_D8} as d from embeddings q, embeddings t where q.vec_id % 2 = 0 and t.vec_id % 2 = 1), r as (select *, row_number() over (partition by q order by d, t) as r, lead(d) over (partition by q order by d, t) as d2 from p) select q, t, round(d, 6) as d1 from r where r = 1 and d < 0.9 * d2")
+@case("feat_matcher", """with p as (select q.vec_id as q, t.vec_id as t, list_distance(q.embedding::double[], t.embedding::double[]) as d from embeddings q, embeddings t where q.vec_id <> t.vec_id),
+  r as (select *, row_number() over (partition by q order by d, t) as r, lead(d) over (partition by q order by d, t) as d2 from p) select q, t, round(d, 6) as d1 from r where r = 1 and d < 0.9 * d2""")
 def _matcher(spark, d):
+    """Each vector against all others."""
     e = table(spark, d, "embeddings")
-    return r6(M.match_descriptors(e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("d")), e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("t"), F.col("embedding").alias("d")), 8, 0.9))
+    return r6(M.match_descriptors(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("d")), e.select(F.col("vec_id").alias("t"), F.col("embedding").alias("d")), 0.9, others=True))
 
 
 @case("cv_kmeans_segmentation")

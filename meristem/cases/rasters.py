@@ -11,6 +11,7 @@ from ..operators import pixels as P
 from ..operators import statistics as A
 from ..operators import stencils as N
 from .base import COLOUR, GRAY, MASK, case, colour, gray, mask, r6
+from .raster_sql import SQL
 
 K = "raster_id, y, x"
 SAT = "greatest(0.0::double, least(255.0, round_even({}, 0)))"
@@ -20,7 +21,7 @@ def px(name: str, build, sql: str | None, source: str = "gray", digits: int = 6)
     """A query over one kind of raster; sql is a SELECT list over it."""
     make = {"gray": gray, "colour": colour, "mask": mask}[source]
     base = {"gray": GRAY, "colour": COLOUR, "mask": MASK}[source]
-    text = None if sql is None else f"with {base} {sql}" if sql.lstrip().startswith((",", "select")) else f"with {base} select {K}, {sql} from {source}"
+    text = SQL.get(name) if sql is None else f"with {base} {sql}" if sql.lstrip().startswith((",", "select")) else f"with {base} select {K}, {sql} from {source}"
     case(name, text)(lambda spark, d: r6(build(make(spark, d)), digits))
 
 
@@ -66,7 +67,7 @@ px("sci_mask_metrics", lambda d: P.mask_metrics(P.threshold(d, 140), P.threshold
 px("sci_line_profile", lambda d: P.line_profile(d, (0, 0), (100, 100), 8), "select raster_id, x as i, v from gray where x = y")
 px("feat_mask_stats", P.mask_stats, "select raster_id, count(*) filter (v > 0) as area_px, round_even(100.0 * count(*) filter (v > 0) / count(*), 4) as area_pct, round(avg(x) filter (v > 0), 6) as centroid_x, round(avg(y) filter (v > 0), 6) as centroid_y, min(x) filter (v > 0) as xmin, min(y) filter (v > 0) as ymin, max(x) filter (v > 0) as xmax, max(y) filter (v > 0) as ymax from mask group by 1", "mask")
 px("image_moments", lambda d: P.image_moments(d).select("raster_id", "m00", "m10", "m01", "cx", "cy"), "select raster_id, sum(v) as m00, sum(x * v) as m10, sum(y * v) as m01, round(sum(x * v) / sum(v), 6) as cx, round(sum(y * v) / sum(v), 6) as cy from gray group by 1")
-px("sci_glcm", lambda d: P.glcm(d).select("raster_id", "contrast", "energy"), ", q as (select raster_id, y, x, floor(v / 255 * 7) as i from gray), p as (select a.raster_id, a.i, b.i as j from q a join q b on a.raster_id = b.raster_id and a.y = b.y and b.x = a.x + 1), s as (select raster_id, i, j from p union all select raster_id, j, i from p), c as (select raster_id, i, j, count(*) / 112.0::double as w from s group by 1, 2, 3) select raster_id, round(sum(w * power(i - j, 2)), 6) as contrast, round(sum(w * w), 6) as energy from c group by 1")
+px("sci_glcm", P.glcm, ", q as (select raster_id, y, x, floor(v / 255 * 7)::bigint as i from gray), p as (select a.raster_id, a.i, b.i as j from q a join q b on a.raster_id = b.raster_id and a.y = b.y and b.x = a.x + 1), s as (select raster_id, i, j from p union all select raster_id, j, i from p), c as (select raster_id, i, j, count(*) as n from s group by 1, 2, 3), m as (select raster_id, sum(n * (i - j) * (i - j)) / 112 as contrast, sum(n::double / (1 + abs(i - j))) / 112 as homogeneity, sum(n * n) / 12544 as energy, -sum(n / 112 * log2(n / 112)) as entropy, sum(n * i) / 112 as mi, sum(n * j) / 112 as mj, sum(n * i * i) / 112 as ii, sum(n * j * j) / 112 as jj, sum(n * i * j) / 112 as ij from c group by 1) select raster_id, round(contrast, 6) as contrast, round(homogeneity, 6) as homogeneity, round(energy, 6) as energy, round(entropy, 6) as entropy, round(case when sqrt((ii - mi * mi) * (jj - mj * mj)) > 1e-12 then (ij - mi * mj) / sqrt((ii - mi * mi) * (jj - mj * mj)) else 1.0::double end, 6) as correlation from m")
 px("feat_spectral_index", lambda d: P.spectral_index(P.channel_split(d, "b"), P.channel_split(d, "g")), "round((b - g) / (b + g + 1e-6), 6) as index, case when (b - g) / (b + g + 1e-6) > 0 then 255.0::double else 0.0 end as v", "colour")
 px("feat_ndwi", lambda d: P.ndwi(P.channel_split(d, "b"), P.channel_split(d, "g")), "select raster_id, round_even(100.0 * count(*) filter (b > g) / count(*), 4) as coverage from colour group by 1", "colour")
 px("geo_spectral_indices", lambda d: P.spectral_indices(d.select("raster_id", "y", "x", F.col("r").alias("nir"), F.col("g").alias("red"), F.col("b").alias("green"), F.col("b").alias("blue"), F.col("g").alias("swir"))).select("raster_id", "y", "x", "ndvi"), "round((r - g) / nullif(r + g, 0), 6) as ndvi", "colour")
@@ -110,7 +111,7 @@ px("filter_laplacian", N.laplacian, near_sql(LAP, "round(sum(b.v / 255 * k.k), 6
 px("plugin_sobel", N.sobel, None)
 px("plugin_gradient", lambda d: N.gradient(d).select("raster_id", "y", "x", F.col("dx").alias("v")), near_sql([(i, j, float(N.SOBEL_X[i + 1, j + 1])) for i in (-1, 0, 1) for j in (-1, 0, 1)], "sum(b.v * k.k)"))
 px("filter_gabor", N.gabor, None)
-px("feat_gabor_bank", lambda d: N.gabor_bank(d, 2), None)
+px("feat_gabor_bank", lambda d: N.gabor_bank(d, 2), None, digits=3)
 px("filter_dog", N.difference_of_gaussians, None)
 px("filter_local_stats", lambda d: N.local_stats(d, 3, "var"), near_sql(BOX, "round(greatest(0, avg(b.v * b.v) - power(avg(b.v), 2)), 4)"), digits=4)
 px("cv_adaptive_threshold", lambda d: N.adaptive_threshold(d, 3), near_sql(BOX, "case when any_value(a.v) > " + SAT.format("avg(b.v)") + " - 2 then 255.0::double else 0.0 end"))
@@ -120,14 +121,14 @@ px("filter_directional_morphology", lambda d: N.directional_morphology(d, "x", "
 px("mask_outline", lambda d: N.outline(d, 3), None, "mask")
 px("feat_water_refine", lambda d: N.water_refine(d), None, "mask")
 px("cv_lbp", N.local_binary_pattern, near_sql([(-1, -1, 1.0), (-1, 0, 2.0), (-1, 1, 4.0), (0, 1, 8.0), (1, 1, 16.0), (1, 0, 32.0), (1, -1, 64.0), (0, -1, 128.0)], "sum(case when b.v >= a.v then k.k else 0 end)"))
-px("feat_structure_tensor", N.structure_tensor, None)
-px("feat_harris", N.harris, None)
-px("feat_hog", N.hog, None)
+px("feat_structure_tensor", lambda d: N.structure_tensor(d).withColumn("harris", F.col("harris") / 1e6), None, digits=2)
+px("feat_harris", lambda d: N.harris(d).withColumn("v", F.col("v") / 1e6), None, digits=2)
+px("feat_hog", N.hog, None, digits=4)
 px("sci_focus_metric", N.focus_metric, near_sql(LAP, "sum(b.v * k.k)").replace(", k(dy", ", f as (with k(dy", 1) + ") select raster_id, round(var_pop(v), 4) as score from f group by 1", digits=4)
-px("sci_noise_estimate", N.noise_estimate, None)
+px("sci_noise_estimate", N.noise_estimate, None, digits=4)
 px("cv_ssim", lambda d: N.ssim(d, P.brightness_contrast(d, 5, 0)), None)
 px("cv_shadow_highlight", N.shadow_highlight, None)
-px("pbr_material_gen", N.material_maps, None)
+px("pbr_material_gen", N.material_maps, None, digits=3)
 px("gen_gray_scott", lambda d: N.gray_scott(d.select("raster_id", "y", "x", F.lit(1.0).alias("u"), (F.col("v") / 255).alias("v"))), None)
 px("remove_vignette", N.remove_vignette, None)
 px("feat_clahe", N.local_equalise, None)
@@ -146,6 +147,12 @@ case("mask_filter_area", _CC + ", o as (select raster_id, id from c join n using
 case("mask_select_by_marker", _CC + ", t as (select distinct raster_id, root from c where id // 8 = 0), o as (select c.raster_id, id from c join t using (raster_id, root)) select m.raster_id, m.y, m.x, case when o.id is null then 0.0::double else 255.0 end as v from mask m left join o on o.raster_id = m.raster_id and o.id = m.y * 8 + m.x")(lambda spark, d: L.select_by_marker(mask(spark, d), mask(spark, d).where("y = 0")))
 
 
+def _measures(d, *more):
+    """Region measures without those that are noise where a region's axes are equal, or that need intensities."""
+    cols = ["raster_id", "label", "area", "eq_diameter", "cy", "cx", "ymin", "ymax", "xmin", "xmax", "extent", "perimeter", "circularity"]
+    return d.select(*cols, F.round("major_axis", 4).alias("major_axis"), *more)
+
+
 def _labels(spark, d):
     """Label maps of four grey ranges."""
     return gray(spark, d).select("raster_id", "y", "x", F.floor(F.col("v") / 64).cast("int").alias("label"))
@@ -163,9 +170,9 @@ case("sci_region_color_stats", f"with {COLOUR}, l as (select *, floor(b / 64)::i
 case("sci_cluster_heatmap", LABELS + _AREA + " select raster_id, y, x, area::double as v from labels join a using (raster_id, label)")(lambda spark, d: P.cluster_heatmap(_labels(spark, d), L.areas(_labels(spark, d)), "area"))
 case("sci_zone_stats", LABELS + ", r as (select raster_id, label, count(*) as area, floor(avg(y) + 0.5)::int as y, floor(avg(x) + 0.5)::int as x from labels where label > 0 group by 1, 2) select r.raster_id, case when r.x < 4 then 'left' else 'right' end as zone, count(*) as count, round(avg(area), 6) as mean_area, sum(area)::bigint as total_area from r group by 1, 2")(lambda spark, d: r6(A.zone_stats(_labels(spark, d), _labels(spark, d).select("raster_id", "y", "x", F.when(F.col("x") < 4, "left").otherwise("right").alias("zone")))))
 for _n, _f in {
-    "fill_holes": L.fill_holes, "util_fill_holes": L.fill_all_holes, "mask_region_sealer": L.region_sealer, "filter_morphology_smart": L.smart_morphology, "feat_shape_gate": lambda d: L.shape_gate(d, 2, 0.3),
-    "filter_blob_filter": lambda d: L.blob_filter(d, 3), "obj_extractor": lambda d: L.object_extractor(d, 3), "sci_hausdorff": lambda d: L.hausdorff(d, P.invert(d)), "sci_boundary_f1": lambda d: L.boundary_f1(d, N.dilate(d)),
-    "feat_seeds_from_boundaries": L.seeds, "feat_watershed": lambda d: L.watershed(L.connected(N.erode(d)), d, 8), "feat_find_contours": lambda d: L.find_contours(d).drop("pts"), "mask_to_svg": L.mask_to_svg,
+    "fill_holes": L.fill_holes, "util_fill_holes": L.fill_all_holes, "mask_region_sealer": L.region_sealer, "filter_morphology_smart": L.smart_morphology, "feat_shape_gate": lambda d: _measures(L.shape_gate(d, 2, 0.3), "aspect", "kept"),
+    "filter_blob_filter": lambda d: L.blob_filter(d, 3), "obj_extractor": lambda d: _measures(L.object_extractor(d, 3)), "sci_hausdorff": lambda d: L.hausdorff(d, P.invert(d)), "sci_boundary_f1": lambda d: L.boundary_f1(d, N.dilate(d)),
+    "feat_seeds_from_boundaries": L.seeds, "feat_watershed": lambda d: L.watershed(L.connected(N.erode(d)), d, 8), "feat_find_contours": lambda d: L.find_contours(d).select("raster_id", "label", "area", "perimeter", "circularity", "cy", "cx"), "mask_to_svg": L.mask_to_svg,
     "mask_depth_bands": lambda d: L.depth_bands(d, d.where("x between 3 and 4")),
 }.items():
     px(_n, _f, None, "mask")
@@ -177,7 +184,7 @@ px("feat_peak_markers", L.peak_markers, None)
 px("sci_general_segmenter", L.general_segmenter, None)
 case("export_crops", f"with {GRAY} select raster_id, 1 as crop_id, y - 2 as y, x - 1 as x, v from gray where y between 2 and 4 and x between 1 and 6")(lambda spark, d: L.export_crops(gray(spark, d), gray(spark, d).select("raster_id").distinct().selectExpr("raster_id", "1 as crop_id", "2 as ymin", "4 as ymax", "1 as xmin", "6 as xmax")))
 case("sci_export_particles", LABELS + ", b as (select raster_id, label, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from labels where label > 0 group by 1, 2) select g.raster_id, b.label as crop_id, g.y - y0 as y, g.x - x0 as x, g.v from gray g join b on g.raster_id = b.raster_id and g.y between y0 and y1 and g.x between x0 and x1")(lambda spark, d: L.export_particles(gray(spark, d), _labels(spark, d)))
-case("merge_points")(lambda spark, d: L.merge_points(mask(spark, d).where("v > 0").selectExpr("raster_id", "y * 8 + x as point_id", "x", "y"), 1.2))
+case("merge_points", SQL["merge_points"])(lambda spark, d: r6(L.merge_points(mask(spark, d).where("v > 0").selectExpr("raster_id", "y * 8 + x as point_id", "x", "y"), 1.2)))
 case("sci_hist_compare", f"with {GRAY}, h as (select raster_id, floor(v * 16 / 256)::int as bin, count(*) / 64.0::double as p from gray group by 1, 2), i as (select raster_id, floor((255 - v) * 16 / 256)::int as bin, count(*) / 64.0::double as q from gray group by 1, 2) select raster_id, round(sum(coalesce(power(coalesce(p, 0) - coalesce(q, 0), 2) / nullif(coalesce(p, 0) + coalesce(q, 0), 0), 0)) / 2, 6) as distance from h full join i using (raster_id, bin) group by 1")(lambda spark, d: r6(A.histogram_distance(gray(spark, d), P.invert(gray(spark, d)), ["raster_id"], "chi2", 16)))
 
 # Geometry
@@ -192,16 +199,18 @@ px("plugin_offset", lambda d: M.offset(d, 2, 0), "select raster_id, y, x, case w
 px("geom_warp_affine", lambda d: M.warp_affine(d, [[1, 0, 1], [0, 1, 0]]), "select raster_id, y, x, case when x >= 1 then lag(v) over (partition by raster_id, y order by x) else 0.0::double end as v from gray")
 px("geom_perspective", lambda d: M.perspective(d, [(2, 2), (5, 2), (5, 5), (2, 5)], 4, 4), "select raster_id, y - 2 as y, x - 2 as x, v from gray where x between 2 and 5 and y between 2 and 5")
 px("cv_undistort", lambda d: M.undistort(d), "v")
-px("geom_obb", M.oriented_box, None, "mask")
+px("geom_obb", M.oriented_box, None, "mask", 4)
 px("geom_fit_shape", lambda d: M.fit_shape(d.where("v > 0")), "select raster_id, min(x) - 0.0::double as xmin, min(y) - 0.0::double as ymin, max(x) + 0.0::double as xmax, max(y) + 0.0::double as ymax from mask where v > 0 group by 1", "mask")
 px("util_roi_polygon", lambda d: M.roi_polygon(d, [(0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75)]), "case when x between 2 and 5 and y between 2 and 5 then 255.0::double else 0.0 end as v")
 px("feat_fill_contours", lambda d: M.fill_contours(d, [[(0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5)]]), "case when x < 4 and y < 4 then 255.0::double else 0.0 end as v")
 px("util_coord_to_mask", lambda d: M.boxes_to_mask(d, d.select("raster_id").distinct().selectExpr("raster_id", "1 as ymin", "3 as ymax", "2 as xmin", "4 as xmax")), "case when y between 1 and 3 and x between 2 and 4 then 255.0::double else 0.0 end as v")
 px("points_to_mask", lambda d: M.points_to_mask(d, d.where("x = 3 and y = 3").select("raster_id", "y", "x"), 2), "case when power(x - 3, 2) + power(y - 3, 2) <= 4 then 255.0::double else 0.0 end as v")
 px("transform_eye_crop", lambda d: M.eye_crop(d, d.select("raster_id").distinct().selectExpr("raster_id", "'left' as eye", "3.5D as cx", "3.5D as cy", "3.5D as half", "0D as angle")), "select raster_id, 'left' as eye, y, x, v from gray")
-px("sci_fft", lambda d: M.fft(d).where("y = 4 and x = 4").select("raster_id", "magnitude"), "select raster_id, round(sum(v), 4) as magnitude from gray group by 1", digits=4)
+_TURN = "2 * pi() * ((u.y + 4) % 8 * g.y + (u.x + 4) % 8 * g.x) / 8"
+_PLACES = "(select a.i as y, b.i as x from (select unnest(range(8)) as i) a, (select unnest(range(8)) as i) b) u"
+px("sci_fft", lambda d: M.fft(d).select("raster_id", "y", "x", "re", "im", "magnitude"), f", f as (select raster_id, u.y::int as y, u.x::int as x, sum(v * cos({_TURN})) as re, -sum(v * sin({_TURN})) as im from gray g, {_PLACES} group by 1, 2, 3) select {K}, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im, round(sqrt(re * re + im * im), 4) as magnitude from f", digits=4)
 px("sci_ifft", lambda d: M.ifft(M.fft(d)), "v", digits=4)
-px("sci_dct", lambda d: M.dct(d).where("y = 0 and x = 0").select("raster_id", "v"), "select raster_id, round(sum(v) / 8, 4) as v from gray group by 1", digits=4)
+px("sci_dct", M.dct, f", f as (select raster_id, u.y::int as y, u.x::int as x, sum(v * cos(pi() * (2 * g.y + 1) * u.y / 16) * cos(pi() * (2 * g.x + 1) * u.x / 16)) * sqrt(case when u.y = 0 then 0.125 else 0.25 end) * sqrt(case when u.x = 0 then 0.125 else 0.25 end) as v from gray g, {_PLACES} group by raster_id, u.y, u.x) select {K}, round(v, 4) + 0.0 as v from f", digits=4)
 px("draw_overlay", lambda d: G.draw_overlay(d.where("x = 0 and y = 0").select("raster_id", G.draw_point(F.col("x"), F.col("y")).alias("draw"))).select("raster_id", "layer"), "select raster_id, 0 as layer from gray where x = 0 and y = 0")
 px("viz_compare_grid", lambda d: G.compare_grid(d, P.invert(d)), f"select {K}, v, 0 as panel from gray union all select {K}, 255 - v, 1 from gray")
 px("sci_index_painter", lambda d: G.index_painter(d, d.where("v > 140").selectExpr("raster_id", "y", "x", "1 as order", "3 as class")), "case when v > 140 then 3 else 0 end as label")

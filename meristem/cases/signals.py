@@ -36,7 +36,9 @@ _x = [-3, -2, -1, 0, 1, 2, 3]
 _filter("plugin_filter_savgol", lambda d: S.savitzky_golay(d, *ARGS), _weighted_sql([c / 21 for c in (-2, 3, 6, 7, 6, 3, -2)]))
 _g = [math.exp(-(x**2) / (2 * 1.5**2)) for x in _x]
 _filter("plugin_filter_gaussian", lambda d: S.gaussian_filter(d, *ARGS), _weighted_sql([w / sum(_g) for w in _g]))
-_filter("plugin_filter_loess", lambda d: S.loess(d, *ARGS), None)
+_tri = [(1 - (i / 9) ** 3) ** 3 for i in range(9)]
+_sw, _sx, _sxx = (sum(k * (-i) ** p for i, k in enumerate(_tri)) for p in (0, 1, 2))
+_filter("plugin_filter_loess", lambda d: S.loess(d, *ARGS), _weighted_sql([(k * (_sxx - _sx * -i)) / (_sw * _sxx - _sx * _sx) for i, k in enumerate(_tri)][::-1]))
 _filter("plugin_filter_particle", lambda d: S.particle_filter(d, *ARGS), None)
 
 case("plugin_filter_ema", _fold_sql("v", "0.2::double * v + 0.8::double * s", "s"))(lambda spark, d: r6(S.exponential_average(events(spark, d), *ARGS).select("user_id", "event_id", "filtered")))
@@ -120,8 +122,9 @@ def _accumulate(spark, d):
 
 @case("geo_raster_noise")
 def _noise(spark, d):
-    f = frames(spark, d).where("tick = 0")
-    return S.raster_noise(f, 5.0).agg(F.round(F.avg("v"), 1).alias("mean"), F.count("*").alias("n"))
+    """All pixels of all frames, each with its noise."""
+    f = frames(spark, d).withColumn("raster_id", F.col("tick") * 20 + F.col("raster_id"))
+    return r6(S.raster_noise(f, 5.0).select("raster_id", "y", "x", "v"))
 
 
 @case("bg_sub_knn", f"with {FRAMES} select raster_id, tick, y, x, case when len(list_filter(coalesce(list(v) over (partition by raster_id, y, x order by tick rows between 5 preceding and 1 preceding), []), lambda p: abs(p - v) <= 20)) < 2 then 255 else 0 end as mask from frames")
@@ -142,14 +145,26 @@ def _bg(spark, d):
     return S.background_removed(frames(spark, d)).select("raster_id", "tick", "y", "x", "v")
 
 
-@case("plugin_evm_color")
+_H, _L = (1 - math.exp(-2 * math.pi * c / 30) for c in (3.0, 0.4))
+
+
+def _band_sql(source: str) -> str:
+    """Each pixel's difference of two low-pass filters over its frames so far."""
+    return f"""f as (select raster_id, tick, y, x, v, list_reduce(list_transform(list(v) over (partition by raster_id, y, x order by tick rows unbounded preceding), lambda e: {{'h': e, 'l': e, 'e': e}}),
+      lambda p, e: {{'h': p.h + {_H!r}::double * (e.e - p.h), 'l': p.l + {_L!r}::double * (e.e - p.l), 'e': e.e}}) as s from {source})"""
+
+
+@case("plugin_evm_color", f"with {FRAMES}, {_band_sql('frames')} select raster_id, tick, y, x, round(v + 10 * (s.h - s.l), 6) as v, round(s.h - s.l, 6) as signal from f")
 def _evm(spark, d):
-    return S.magnify_change(frames(spark, d))
+    return r6(S.magnify_change(frames(spark, d)))
+
+
+_MEAN3 = "m as (select a.raster_id, a.tick, a.y, a.x, avg(b.v) as low, any_value(a.v) - avg(b.v) as v from frames a cross join (select unnest([-1, 0, 1]) as dy) cross join (select unnest([-1, 0, 1]) as dx) join frames b on b.raster_id = a.raster_id and b.tick = a.tick and b.y = 7 - abs(7 - abs(a.y + dy)) and b.x = 7 - abs(7 - abs(a.x + dx)) group by 1, 2, 3, 4)"
 
 
-@case("plugin_evm_motion")
+@case("plugin_evm_motion", f"with {FRAMES}, {_MEAN3}, {_band_sql('m')} select raster_id, tick, y, x, round(low + f.v + 10 * (s.h - s.l), 6) as v from f join m using (raster_id, tick, y, x)")
 def _evm_motion(spark, d):
-    return S.magnify_motion(frames(spark, d))
+    return r6(S.magnify_motion(frames(spark, d)))
 
 
 @case("tracker_sort")

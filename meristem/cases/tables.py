@@ -269,9 +269,15 @@ def _robust(spark, sf_dir):
     return r6(A.robust_stats(events(spark, sf_dir), V, U))
 
 
-@case("sci_m_estimator")
+_ROUNDS = "".join(
+    f", m{i} as (select user_id, s, sum(case when abs(value - m) <= 1.345 * s then value else value * 1.345 * s / abs(value - m) end) / sum(case when abs(value - m) <= 1.345 * s then 1 else 1.345 * s / abs(value - m) end) as m from events join m{i - 1} using (user_id) group by 1, 2)"
+    for i in range(1, 11)
+)
+
+
+@case("sci_m_estimator", _MAD + ", m0 as (select user_id, greatest(1.4826 * mad, 1e-12) as s, median as m from d)" + _ROUNDS + " select user_id, round(any_value(m), 4) as estimate, round(avg(value), 4) as ls_estimate from events join m10 using (user_id) group by 1")
 def _m_estimator(spark, sf_dir):
-    return A.m_estimator(events(spark, sf_dir), V, U)
+    return r6(A.m_estimator(events(spark, sf_dir), V, U), 4)
 
 
 @case("list_natural_break", "with c as (select user_id, value as x, count(*) as n from events group by 1, 2), w as (select user_id, x, sum(n) over a as n0, sum(x * n) over a as s0, sum(n) over b as nn, sum(x * n) over b as ss, lead(x) over (partition by user_id order by x) as nx from c window a as (partition by user_id order by x rows unbounded preceding), b as (partition by user_id)), t as (select *, round_even(n0 * (nn - n0) * power(s0 / n0 - (ss - s0) / (nn - n0), 2), 6) as bv from w where nx is not null) select user_id, round((x + nx) / 2, 6) as threshold, (nn - n0)::bigint as count_above, n0::bigint as count_below from t qualify row_number() over (partition by user_id order by bv desc, x) = 1")

@@ -141,7 +141,7 @@ def oriented_box(mask: DataFrame) -> DataFrame:
     """Per raster the box along the principal axes of the set pixels: centre, angle in degrees, length and width."""
     on = mask.where("v > 0")
     m = on.groupBy("raster_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("_xx"), F.var_pop("y").alias("_yy"), F.covar_pop("x", "y").alias("_xy"))
-    m = m.withColumn("_a", F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy")) / 2)
+    m = m.withColumn("_a", F.atan2(2 * F.round("_xy", 9), F.round(F.col("_xx") - F.col("_yy"), 9)) / 2)  # equal axes give one angle
     d = on.join(m, "raster_id")
     u = (F.col("x") - F.col("cx")) * F.cos("_a") + (F.col("y") - F.col("cy")) * F.sin("_a")
     v = (F.col("y") - F.col("cy")) * F.cos("_a") - (F.col("x") - F.col("cx")) * F.sin("_a")

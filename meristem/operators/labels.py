@@ -300,7 +300,7 @@ def depth_bands(outer: DataFrame, inner: DataFrame, bands: int = 3) -> DataFrame
 @operator("feat_peak_markers")
 def peak_markers(df: DataFrame, sigma_size: int = 3, min_distance: int = 0) -> DataFrame:
     """Local maxima of the smoothed raster that rise over the local minimum by 2 % of the range; of two nearer than min_distance the weaker goes, if no stronger one removes its rival first (one pass)."""
-    s = gaussian_blur(df, sigma_size) if sigma_size > 1 else df
+    s = gaussian_blur(df, sigma_size).withColumn("v", F.round("v", 6)) if sigma_size > 1 else df  # plateaus stay level however the sums are ordered
     top, low = dilate(s, 3).withColumnRenamed("v", "_t"), erode(s, 3).withColumnRenamed("v", "_l")
     span = s.groupBy("raster_id").agg((F.max("v") - F.min("v")).alias("_s"))
     peaks = s.join(top, KEY).join(low, KEY).join(span, "raster_id").where("v = _t and v > _l + 0.02 * _s").select(*KEY, F.lit(255.0).alias("v"))

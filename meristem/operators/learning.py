@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
@@ -84,18 +85,58 @@ def distance(a: list[Column], b: list[Column], metric: str = "euclidean") -> Col
     return F.sqrt(sum((x * x for x in d), F.lit(0.0)))
 
 
+NEAR_BLOCK = 4096
+
+
+def _far(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of a few queries to a block of rows."""
+    d = np.abs(q[:, None] - t[None])
+    return d.sum(axis=2) if metric == "manhattan" else d.max(axis=2) if metric == "chebyshev" else np.sqrt((d * d).sum(axis=2))
+
+
+def nearest(queries: DataFrame, train: DataFrame, k: int, metric: str = "euclidean", others: bool = False) -> DataFrame:
+    """(q, t, d, r): the k nearest rows of train(t, v array<double>) to each of queries(q, v), by distance and then t; of those with t <> q if others.
+
+    Both sides are dealt into blocks of about NEAR_BLOCK rows, as many as they need; a task meets one block
+    of each and passes on k rows a query, so rows move once for each block of the other side, and no pair
+    leaves its task that is not among its block's nearest.
+    """
+    n_q, n_t = (max(1, -(-d.count() // NEAR_BLOCK)) for d in (queries, train))
+    parts = lambda n: F.explode(F.expr(f"sequence(0, {n - 1})"))
+    q = queries.select(F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int").alias("a"), parts(n_t).alias("b"), "q", "v")
+    t = train.select(parts(n_q).alias("_a"), F.pmod(F.xxhash64("t"), F.lit(n_t)).cast("int").alias("_b"), "t", "v")
+    types = {c: d.schema[c].dataType.simpleString() for d, c in ((queries, "q"), (train, "t"))}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [left.column("q").slice(0, 0), right.column("t").slice(0, 0), pa.array([], pa.float64())]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("t")
+            x, y = (np.stack(c.to_pylist()).astype(float) for c in (left.column("v"), right.column("v")))
+            names = np.array(right.column("t").to_pylist(), object)
+            rows, cols, far = [], [], []
+            step = max(1, (1 << 22) // y.size)
+            for s in range(0, len(x), step):
+                d = _far(x[s : s + step], y, metric)
+                if others:
+                    d[np.array(left.column("q").slice(s, step).to_pylist(), object)[:, None] == names[None]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                rows.append(np.repeat(np.arange(s, s + len(d)), best.shape[1])), cols.append(best.ravel()), far.append(np.take_along_axis(d, best, axis=1).ravel())
+            found = [left.column("q").take(pa.array(np.concatenate(rows))), right.column("t").take(pa.array(np.concatenate(cols))), pa.array(np.concatenate(far))]
+        return pa.table(found, names=["q", "t", "d"])
+
+    near = q.groupBy("a", "b").cogroup(t.groupBy("_a", "_b")).applyInArrow(run, f"q {types['q']}, t {types['t']}, d double")
+    near = near.where(F.col("d") < float("inf"))
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where(F.col("r") <= k)
+
+
 @operator("ml_knn_classifier")
-def knn_classify(train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform", blocks: int = 8) -> DataFrame:
-    """test rows with prediction by vote of the k nearest train rows (ties: smaller key; equal votes: smaller class). Training rows are dealt into blocks; each gives its own k, which are merged, so no task meets all pairs."""
-    t = train.select(F.col(key).alias("__tk"), F.col(target).alias("__y"), *[F.col(f).cast("double").alias(f"__t_{f}") for f in features], F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b"))
-    q = test.select(F.col(key).alias("__qk"), *[F.col(f).cast("double").alias(f) for f in features], F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("__b"))
-    far = distance([F.col(f) for f in features], [F.col(f"__t_{f}") for f in features], metric)
-    near = q.join(t, "__b").select("__qk", "__b", "__y", "__tk", far.alias("__d"))
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("__d", "__tk"))
-    near = near.withColumn("__r", first("__qk", "__b")).where(F.col("__r") <= k).withColumn("__r", first("__qk")).where(F.col("__r") <= k)
-    near = near.withColumn("__exact", F.min("__d").over(Window.partitionBy("__qk")) == 0)
-    vote = F.lit(1.0) if weights == "uniform" else F.when(F.col("__exact"), (F.col("__d") == 0).cast("double")).otherwise(1 / F.col("__d"))
-    votes = near.groupBy("__qk", "__y").agg(F.bround(F.sum(vote), 9).alias("__v"))
+def knn_classify(train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform") -> DataFrame:
+    """test rows with prediction by vote of the k nearest train rows (ties: smaller key; equal votes: smaller class)."""
+    v = F.array(*[F.col(f).cast("double") for f in features]).alias("v")
+    near = nearest(test.select(F.col(key).alias("q"), v), train.select(F.col(key).alias("t"), v), k, metric)
+    near = near.join(train.select(F.col(key).alias("t"), F.col(target).alias("__y")), "t").withColumn("__exact", F.min("d").over(Window.partitionBy("q")) == 0)
+    vote = F.lit(1.0) if weights == "uniform" else F.when(F.col("__exact"), (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
+    votes = near.groupBy(F.col("q").alias("__qk"), "__y").agg(F.bround(F.sum(vote), 9).alias("__v"))
     won = votes.withColumn("__n", F.row_number().over(Window.partitionBy("__qk").orderBy(F.desc("__v"), "__y"))).where("__n = 1").select("__qk", F.col("__y").alias("prediction"))
     return test.join(won, F.col(key) == F.col("__qk")).drop("__qk")
 
@@ -206,16 +247,12 @@ def robust_line(df: DataFrame, x: str, y: str, mode: str = "l2", group_size: int
 
 
 @operator("feat_matcher")
-def match_descriptors(queries: DataFrame, train: DataFrame, dims: int, ratio: float = 0.75, blocks: int = 4) -> DataFrame:
-    """queries(q, d array) and train(t, d array) to (q, t, d1) whose nearest is under ratio times the second nearest. Training rows are dealt into blocks; each gives its two nearest, which are merged."""
-    at = lambda c, n: [F.get(F.col(c), F.lit(i)).cast("double").alias(f"{n}{i}") for i in range(dims)]
-    a = queries.select("q", *at("d", "a"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("_b"))
-    b = train.select("t", *at("d", "b"), F.pmod(F.xxhash64("t"), F.lit(blocks)).alias("_b"))
-    d = a.join(b, "_b").select("q", "_b", "t", distance([F.col(f"a{i}") for i in range(dims)], [F.col(f"b{i}") for i in range(dims)]).alias("d1"))
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("d1", "t"))
-    two = d.withColumn("r", first("q", "_b")).where("r <= 2").withColumn("r", first("q")).where("r <= 2")
-    second = F.lead("d1").over(Window.partitionBy("q").orderBy("r"))
-    return two.withColumn("d2", second).where((F.col("r") == 1) & (F.col("d1") < ratio * F.col("d2"))).select("q", "t", "d1")
+def match_descriptors(queries: DataFrame, train: DataFrame, ratio: float = 0.75, others: bool = False) -> DataFrame:
+    """queries(q, d array) and train(t, d array) to (q, t, d1) whose nearest is under ratio times the second nearest; t <> q if others."""
+    v = F.transform("d", lambda x: x.cast("double")).alias("v")
+    two = nearest(queries.select("q", v), train.select("t", v), 2, others=others)
+    second = F.lead("d").over(Window.partitionBy("q").orderBy("r"))
+    return two.withColumn("d2", second).where((F.col("r") == 1) & (F.col("d") < ratio * F.col("d2"))).select("q", "t", F.col("d").alias("d1"))
 
 
 @operator("cv_kmeans_segmentation")

@@ -435,12 +435,17 @@ def glcm(df: DataFrame, levels: int = 8, distance: int = 1, angle: float = 0.0,
     pairs = q.join(moved, KEY).groupBy("raster_id", "i", "j").agg(F.count("*").alias("n"))
     if symmetric:
         pairs = pairs.unionByName(pairs.select("raster_id", F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy("raster_id", "i", "j").agg(F.sum("n").alias("n"))
-    p = pairs.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("raster_id")))
-    i, j, w = F.col("i"), F.col("j"), F.col("p")
-    s = p.groupBy("raster_id").agg(
-        F.sum(w * (i - j) * (i - j)).alias("contrast"), F.sum(w / (1 + F.abs(i - j))).alias("homogeneity"), F.sum(w * w).alias("energy"), (-F.sum(w * F.log2(w))).alias("entropy"),
-        F.sum(w * i).alias("mi"), F.sum(w * j).alias("mj"), F.sum(w * i * i).alias("ii"), F.sum(w * j * j).alias("jj"), F.sum(w * i * j).alias("ij"),
-    )
+    # sums of whole numbers, divided once, so that no order of adding shows
+    i, j, n = F.col("i"), F.col("j"), F.col("n")
+    s = pairs.groupBy("raster_id").agg(
+        F.sum("n").alias("t"), F.sum(n * (i - j) * (i - j)).alias("contrast"), F.sum(n * n).alias("energy"), F.array_sort(F.collect_list("n")).alias("counts"),
+        F.sum(n * i).alias("mi"), F.sum(n * j).alias("mj"), F.sum(n * i * i).alias("ii"), F.sum(n * j * j).alias("jj"), F.sum(n * i * j).alias("ij"),
+        *[F.sum(F.when(F.abs(i - j) == d, n).otherwise(0)).alias(f"_d{d}") for d in range(levels)],
+    )  # at most levels * levels counts
+    t = F.col("t")
+    near = sum((F.col(f"_d{d}") / (1 + d) for d in range(levels)), F.lit(0.0)) / t
+    entropy = F.aggregate("counts", F.lit(0.0), lambda a, c: a - c / t * F.log2(c / t))
+    s = s.select("raster_id", (F.col("contrast") / t).alias("contrast"), near.alias("homogeneity"), (F.col("energy") / (t * t)).alias("energy"), entropy.alias("entropy"), *[(F.col(c) / t).alias(c) for c in ("mi", "mj", "ii", "jj", "ij")])
     spread = F.sqrt((F.col("ii") - F.col("mi") * F.col("mi")) * (F.col("jj") - F.col("mj") * F.col("mj")))
     return s.select("raster_id", "contrast", "homogeneity", "energy", "entropy", F.when(spread > 1e-12, (F.col("ij") - F.col("mi") * F.col("mj")) / spread).otherwise(1.0).alias("correlation"))
 

@@ -1,19 +1,22 @@
 """Signal and stateful operators over ordered rows.
 
 A signal is a value column in the order of `order` within `by` (a stream). Windowed filters are window
-functions. Recursive filters fold over each stream's values: the stream is gathered into one ordered
-array, so a stream should fit in a task; for endless streams use meristem.streaming, which keeps the
-same state between batches.
+functions. Recursive filters fold over each stream's values as they pass by in order: a task reads its
+streams batch by batch and holds one state, however long a stream is. A stream is one task's work, as
+each state needs the one before; for endless streams use meristem.streaming, which keeps the same state
+between batches.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..registry import operator
 
@@ -77,18 +80,32 @@ def loess(df: DataFrame, value: str, order: str, by: list[str], span: int = 9) -
     return df.withColumn("filtered", F.when(_place(by, order) >= span, at_zero).otherwise(F.col(value)))
 
 
-def fold(df: DataFrame, value: str, order: str, by: list[str], first: Callable[[Column], Column], step: Callable[[Column, Column], Column], out: Callable[[Column], Column]) -> DataFrame:
-    """(by, order, value, filtered): a left fold over each stream, with the state after each value."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    start = F.struct(first(F.get("s", F.lit(0))["v"]).alias("state"), F.array(out(first(F.get("s", F.lit(0))["v"]))).alias("all"))
+def fold(df: DataFrame, value: str, order: str, by: list[str], first: Callable, step: Callable, out: Callable) -> DataFrame:
+    """(by, order, value, filtered): a left fold over each stream, with out(state) after each value.
 
-    def go(acc: Column, x: Column) -> Column:
-        new = step(acc["state"], x["v"])
-        return F.struct(new.alias("state"), F.concat(acc["all"], F.array(out(new))).alias("all"))
-
-    done = rows.select(*by, "s", F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), start, go, lambda a: a["all"]).alias("f"))
-    pairs = F.explode(F.arrays_zip("s", "f")).alias("z")
-    return done.select(*by, pairs).select(*by, F.col("z.s.o").alias(order), F.col("z.s.v").alias(value), F.col("z.f").alias("filtered"))
+    first(v) is a stream's state after its first value, step(state, v) that after another. A null value
+    leaves the state as it is. Of rows with equal keys and order the smaller value goes first.
+    """
+    names = list(dict.fromkeys([*by, order])) + [value]
+    rows = df.select(*names[:-1], F.col(value).cast("double").alias(value))
+    schema = StructType([*rows.schema.fields, StructField("filtered", DoubleType())])
+    places = list(range(len(by)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, state = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in places), strict=True)) if by else [()] * batch.num_rows
+            filtered = []
+            for key, v in zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if key != stream:
+                    stream, state = key, None
+                if v is not None:
+                    state = first(v) if state is None else step(state, v)
+                filtered.append(None if state is None else out(state))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filtered, pa.float64())], names=schema.names)
+
+    dealt = rows.repartition(*by) if by else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
 @operator("plugin_filter_ema")
@@ -110,12 +127,12 @@ def kalman(df: DataFrame, value: str, order: str, by: list[str], q: float = 10,
     """One-dimensional Kalman filter of a constant; process noise q / 1000, measurement noise r / 100."""
     q, r = q / 1000, r / 100
 
-    def step(s: Column, v: Column) -> Column:
-        p = s["p"] + q
+    def step(s: tuple[float, float], v: float) -> tuple[float, float]:
+        x, p = s[0], s[1] + q
         k = p / (p + r)
-        return F.struct((s["x"] + k * (v - s["x"])).alias("x"), ((1 - k) * p).alias("p"))
+        return x + k * (v - x), (1 - k) * p
 
-    return fold(df, value, order, by, lambda v: F.struct(v.alias("x"), F.lit(1.0).alias("p")), step, lambda s: s["x"])
+    return fold(df, value, order, by, lambda v: (v, 1.0), step, lambda s: s[0])
 
 
 @operator("plugin_filter_holt")
@@ -123,33 +140,26 @@ def holt(df: DataFrame, value: str, order: str, by: list[str], alpha: float = 30
     """Level and trend smoothing, both in percent."""
     a, b = alpha / 100, beta / 100
 
-    def step(s: Column, v: Column) -> Column:
-        level = a * v + (1 - a) * (s["l"] + s["t"])
-        return F.struct(level.alias("l"), (b * (level - s["l"]) + (1 - b) * s["t"]).alias("t"))
+    def step(s: tuple[float, float], v: float) -> tuple[float, float]:
+        level = a * v + (1 - a) * (s[0] + s[1])
+        return level, b * (level - s[0]) + (1 - b) * s[1]
 
-    return fold(df, value, order, by, lambda v: F.struct(v.alias("l"), F.lit(0.0).alias("t")), step, lambda s: s["l"])
+    return fold(df, value, order, by, lambda v: (v, 0.0), step, lambda s: s[0])
 
 
 @operator("plugin_filter_particle")
 def particle_filter(df: DataFrame, value: str, order: str, by: list[str], particles: int = 100, process_std: float = 10, measure_std: float = 50, seed: int = 42) -> DataFrame:
-    """Random-walk particle filter with systematic resampling; deviations in hundredths. Seeded by stream, so results repeat."""
-    import pandas as pd
-
-    names, q, r = [*by, order, value], process_std / 100, max(measure_std / 100, 1e-9)
-    rows = df.select(*by, order, F.col(value).cast("double").alias(value))
+    """Random-walk particle filter with systematic resampling; deviations in hundredths. Seeded anew for each stream, so results repeat."""
+    q, r = process_std / 100, max(measure_std / 100, 1e-9)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        rng, out, x = np.random.default_rng(seed), [], None
-        for v in rows[value]:
-            x = np.full(particles, v) if x is None else x + rng.normal(0, q, particles)
-            w = np.exp(-0.5 * ((x - v) / r) ** 2) + 1e-300
-            w /= w.sum()
-            out.append(float(w @ x))
-            x = x[np.minimum(np.searchsorted(np.cumsum(w), (rng.random() + np.arange(particles)) / particles), particles - 1)]
-        return rows[names].assign(filtered=out)
+    def weighed(rng: np.random.Generator, x: np.ndarray, v: float) -> tuple[np.random.Generator, np.ndarray, float]:
+        w = np.exp(-0.5 * ((x - v) / r) ** 2) + 1e-300
+        w /= w.sum()
+        estimate = float(w @ x)
+        return rng, x[np.minimum(np.searchsorted(np.cumsum(w), (rng.random() + np.arange(particles)) / particles), particles - 1)], estimate
 
-    return rows.groupBy(*by).applyInPandas(run, f"{rows.drop('filtered').schema.simpleString()[7:-1]},filtered:double")
+    first = lambda v: weighed(np.random.default_rng(seed), np.full(particles, v), v)
+    return fold(df, value, order, by, first, lambda s, v: weighed(s[0], s[1] + s[0].normal(0, q, particles), v), lambda s: s[2])
 
 
 # Gates and memories
@@ -376,8 +386,8 @@ def background_removed(frames: DataFrame, history: int = 10, threshold: float =
 def magnify_change(frames: DataFrame, alpha: float = 10.0, low_cutoff: float = 0.4, high_cutoff: float = 3.0, fps: float = 30.0) -> DataFrame:
     """Each pixel plus alpha times its temporal band (the difference of two first-order low-pass filters)."""
     r = [1 - math.exp(-2 * math.pi * c / fps) for c in (high_cutoff, low_cutoff)]
-    step = lambda s, v: F.struct((s["h"] + r[0] * (v - s["h"])).alias("h"), (s["l"] + r[1] * (v - s["l"])).alias("l"))
-    out = fold(frames, "v", "tick", ["raster_id", "y", "x"], lambda v: F.struct(v.alias("h"), v.alias("l")), step, lambda s: s["h"] - s["l"])
+    step = lambda s, v: (s[0] + r[0] * (v - s[0]), s[1] + r[1] * (v - s[1]))
+    out = fold(frames, "v", "tick", ["raster_id", "y", "x"], lambda v: (v, v), step, lambda s: s[0] - s[1])
     return out.withColumn("v", F.col("v") + alpha * F.col("filtered")).withColumnRenamed("filtered", "signal")
 
 

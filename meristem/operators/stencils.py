@@ -297,7 +297,7 @@ def hog(df: DataFrame, orientations: int = 8, cell: int = 4) -> DataFrame:
     """(raster_id, cy, cx, bin, weight): gradient magnitudes by unsigned direction in cells."""
     g = gradients(df)
     angle = F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(180.0))
-    at = F.least(F.lit(orientations - 1), F.floor(angle * orientations / 180)).cast("int")
+    at = F.least(F.lit(orientations - 1), F.floor(angle * orientations / 180 + 1e-9)).cast("int")
     return g.groupBy("raster_id", F.floor(F.col("y") / cell).alias("cy"), F.floor(F.col("x") / cell).alias("cx"), at.alias("bin")).agg(F.sum(F.hypot("dx", "dy")).alias("weight"))
 
 

@@ -9,8 +9,6 @@ from meristem import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Iterative ones take seconds each; a few stand for them here, and all have SQL that the driver compares.
-SLOW = {"ml_svm_classifier", "ml_random_forest", "ml_decision_tree", "ml_kmeans", "cv_montecarlo_cluster", "filter_morphology_smart", "feat_water_refine", "mask_region_sealer", "feat_watershed", "tracker_sort"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +35,7 @@ def same(x, y):
     return x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 * max(1.0, abs(x)))
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query_equals_its_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF)
     want = duck.sql(catalog.oracle_sql()[name])
@@ -45,3 +43,13 @@ def test_query_equals_its_sql(spark, duck, name):
     a, b = rows_of(got.collect(), got.columns), rows_of(want.fetchall(), want.columns)
     assert len(a) == len(b)
     assert all(same(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_query_without_sql_runs_and_repeats(spark, name):
+    """What SQL can't express gives rows, and the same ones again; tests/test_library.py has plain versions of some."""
+    q = catalog.queries()[name]
+    first, again = (q(spark, SF) for _ in range(2))
+    a, b = rows_of(first.collect(), first.columns), rows_of(again.collect(), again.columns)
+    assert len(a) == len(b) > 0
+    assert all(same(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
