@@ -27,14 +27,15 @@ WINDOW = 5
 #: Between words; characters that count as symbols.
 BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+BLANK = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """of_text: the condition on a raw text; of_measures: the same on the columns of with_measures, where they decide it."""
+    """of_text: the condition on a raw text and its words; of_measures: the same on the columns of with_measures, where they decide it."""
 
     name: str
-    of_text: Callable[[Column], Column]
+    of_text: Callable[[Column, Column], Column]
     of_measures: Column | None = None
 
 
@@ -83,7 +84,7 @@ def repeated_words(words: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """The lines that have a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.ltrim(x, F.lit(BLANK)) != "")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -118,39 +119,47 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.withColumns({p: F.col("_of_words")[p] for p in parts}).drop("_of_words")
 
 
-def _on_words(condition: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda text: _let(words_of(text), condition)
+def _ends_in_ellipsis(line: Column) -> Column:
+    bare = F.rtrim(line, F.lit(BLANK))
+    return F.endswith(bare, F.lit("...")) | F.endswith(bare, F.lit("\u2026"))
 
 
-def _on_lines(pattern: str, n: int, of: int) -> Callable[[Column], Column]:
-    """More than n of `of` lines match."""
-    return lambda text: _let(lines_of(text), lambda x: of * F.size(F.filter(x, lambda line: F.rlike(line, F.lit(pattern)))) > n * F.size(x))
+def _starts_with_bullet(line: Column) -> Column:
+    return F.substring(F.ltrim(line, F.lit(BLANK)), 1, 1).isin("-", "*", "\u2022")
+
+
+def _marked_lines(text: Column, words: Column) -> Column:
+    """More than 3 of 10 lines end in an ellipsis, or more than 9 of 10 start with a bullet."""
+
+    def condition(x: Column) -> Column:
+        return (10 * F.size(F.filter(x, _ends_in_ellipsis)) > 3 * F.size(x)) | (10 * F.size(F.filter(x, _starts_with_bullet)) > 9 * F.size(x))
+
+    return _let(lines_of(text), condition)
 
 
 def base_rules() -> list[Rule]:
     return [
-        Rule("few_words", _on_words(lambda w: F.size(w) < 10), F.col("n_words") < 10),
-        Rule("repetition", _on_words(lambda w: 100 * repeated_words(w) > 20 * F.size(w)), 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+        Rule("few_words", lambda text, w: F.size(w) < 10, F.col("n_words") < 10),
+        Rule("repetition", lambda text, w: 100 * repeated_words(w) > 20 * F.size(w), 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
     ]
 
 
-def _word_length(w: Column) -> Column:
-    chars = F.length(F.array_join(w, ""))
-    return (chars < 2 * F.size(w)) | (chars > 15 * F.size(w))
+def _word_length(text: Column, words: Column) -> Column:
+    chars = F.length(F.array_join(words, ""))
+    return (chars < 2 * F.size(words)) | (chars > 15 * F.size(words))
 
 
 def method_rules() -> list[Rule]:
     """Rules beyond the base: words too short or long on average, many symbols, many repeated lines, and lines that mostly end in an ellipsis or start with a bullet."""
     return [
-        Rule("word_length", _on_words(_word_length), (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
-        Rule("symbols", lambda text: 2 * symbols(text) > F.size(words_of(text)), 2 * F.col("n_symbols") > F.col("n_words")),
+        Rule("word_length", _word_length, (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
+        Rule("symbols", lambda text, w: 2 * symbols(text) > F.size(w), 2 * F.col("n_symbols") > F.col("n_words")),
         Rule(
             "line_repetition",
-            lambda text: (duplicate_lines(text) >= 3) & (10 * duplicate_lines(text) > F.size(words_of(text))),
+            lambda text, w: _let(duplicate_lines(text), lambda n: (n >= 3) & (10 * n > F.size(w))),
             (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > F.col("n_words")),
         ),
-        Rule("ellipsis_lines", _on_lines(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", 3, 10)),
-        Rule("bullet_lines", _on_lines(r"^[\x20\x09-\x0D]*[-*\u2022]", 9, 10)),
+        Rule("marked_lines", _marked_lines),
     ]
 
 
@@ -201,10 +210,13 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     rules = method_rules() if rules is None else rules
     if not measured:
-        conditions = {r.name: r.of_text(F.col("_text")) for r in [*base_rules(), *rules]}
-        ordered = order_rules(drawn_sample(rows.select("_text"), sample_rows), list(conditions.items()))
-        return rows.select(F.col(id_col), cascade([(name, conditions[name]) for name, _, _ in ordered]).isNull().alias("kept"))
-    conditions = {r.name: r.of_text(F.col("_text")) if r.of_measures is None else r.of_measures for r in rules}
+        rules = [*base_rules(), *rules]
+        sample = cut(drawn_sample(rows.select("_text"), sample_rows).withColumn("_words", words_of(F.col("_text"))))
+        by_name = {r.name: r for r in rules}
+        ordered = [by_name[name] for name, _, _ in order_rules(sample, [(r.name, r.of_text(F.col("_text"), F.col("_words"))) for r in rules])]
+        verdict = _let(words_of(F.col("_text")), lambda w: cascade([(r.name, r.of_text(F.col("_text"), w)) for r in ordered]))
+        return rows.select(F.col(id_col), verdict.isNull().alias("kept"))
+    conditions = {r.name: r.of_text(F.col("_text"), words_of(F.col("_text"))) if r.of_measures is None else r.of_measures for r in rules}
     sample = cut(with_measures(drawn_sample(rows.select("_text"), sample_rows), "_text"))
     few_words, repetition = (r.of_measures for r in base_rules())
     ordered = order_rules(sample.where(~(few_words | repetition)), list(conditions.items()))
