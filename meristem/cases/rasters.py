@@ -172,7 +172,7 @@ case("sci_zone_stats", LABELS + ", r as (select raster_id, label, count(*) as ar
 for _n, _f in {
     "fill_holes": L.fill_holes, "util_fill_holes": L.fill_all_holes, "mask_region_sealer": L.region_sealer, "filter_morphology_smart": L.smart_morphology, "feat_shape_gate": lambda d: _measures(L.shape_gate(d, 2, 0.3), "aspect", "kept"),
     "filter_blob_filter": lambda d: L.blob_filter(d, 3), "obj_extractor": lambda d: _measures(L.object_extractor(d, 3)), "sci_hausdorff": lambda d: L.hausdorff(d, P.invert(d)), "sci_boundary_f1": lambda d: L.boundary_f1(d, N.dilate(d)),
-    "feat_seeds_from_boundaries": L.seeds, "feat_watershed": lambda d: L.watershed(L.connected(N.erode(d)), d, 8), "feat_find_contours": lambda d: L.find_contours(d).select("raster_id", "label", "area", "perimeter", "circularity", "cy", "cx"), "mask_to_svg": L.mask_to_svg,
+    "feat_seeds_from_boundaries": L.seeds, "feat_watershed": lambda d: L.watershed(L.connected(N.erode(d)), d), "feat_find_contours": lambda d: L.find_contours(d).select("raster_id", "label", "area", "perimeter", "circularity", "cy", "cx"), "mask_to_svg": L.mask_to_svg,
     "mask_depth_bands": lambda d: L.depth_bands(d, d.where("x between 3 and 4")),
 }.items():
     px(_n, _f, None, "mask")

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import operator
 from ..session import cut
 from .components import connected_components
+from .neighbours import RING, around, spaced
 from .pixels import KEY, size_of
-from .stencils import box_mean, dilate, erode, gaussian_blur, morphology, stencil
+from .stencils import box_mean, dilate, erode, gaussian_blur, morphology
 
 
 def runs(mask: DataFrame) -> DataFrame:
@@ -299,7 +300,7 @@ def depth_bands(outer: DataFrame, inner: DataFrame, bands: int = 3) -> DataFrame
 
 @operator("feat_peak_markers")
 def peak_markers(df: DataFrame, sigma_size: int = 3, min_distance: int = 0) -> DataFrame:
-    """Local maxima of the smoothed raster that rise over the local minimum by 2 % of the range; of two nearer than min_distance the weaker goes, if no stronger one removes its rival first (one pass)."""
+    """Local maxima of the smoothed raster that rise over the local minimum by 2 % of the range; the strongest stays, those nearer than min_distance to it go, and so on among the rest."""
     s = gaussian_blur(df, sigma_size).withColumn("v", F.round("v", 6)) if sigma_size > 1 else df  # plateaus stay level however the sums are ordered
     top, low = dilate(s, 3).withColumnRenamed("v", "_t"), erode(s, 3).withColumnRenamed("v", "_l")
     span = s.groupBy("raster_id").agg((F.max("v") - F.min("v")).alias("_s"))
@@ -308,10 +309,8 @@ def peak_markers(df: DataFrame, sigma_size: int = 3, min_distance: int = 0) -> D
     marks = marks.join(s, KEY, "left").select("raster_id", "label", "cy", "cx", F.coalesce("v", F.lit(0.0)).alias("strength"))
     if min_distance <= 0:
         return marks
-    other = marks.select("raster_id", F.col("label").alias("_n"), F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), F.col("strength").alias("_s"))
-    stronger = (F.col("_s") > F.col("strength")) | ((F.col("_s") == F.col("strength")) & (F.col("_n") < F.col("label")))
-    near = F.hypot(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx")) < min_distance
-    return marks.join(other, (marks["raster_id"] == other["raster_id"]) & stronger & near, "leftanti")
+    kept = spaced(marks.select("raster_id", F.col("label").alias("id"), F.col("cy").alias("y"), F.col("cx").alias("x"), "strength"), min_distance)
+    return marks.join(kept.select("raster_id", F.col("id").alias("label")), ["raster_id", "label"], "leftsemi")
 
 
 @operator("feat_seeds_from_boundaries")
@@ -323,18 +322,27 @@ def seeds(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 @operator("feat_watershed")
-def watershed(markers: DataFrame, mask: DataFrame, rounds: int = 64) -> DataFrame:
-    """Grows labels over a mask by one ring of pixels a round until nothing changes or rounds are over; where labels meet the smallest wins. Growth is by distance, not by grey level. Lineage is cut each round."""
+def watershed(markers: DataFrame, mask: DataFrame, gray: DataFrame | None = None) -> DataFrame:
+    """Labels that flood the mask from the markers: a pixel goes to the marker from which it is reached over the lowest grey level, then in fewer steps, then with the smaller label. Without gray all pixels lie equally high.
+
+    In a round pixels that have changed offer their label to their eight neighbours, until none changes,
+    so a round's work follows the flood's edge. Lineage is cut each round.
+    """
     area = mask.where("v > 0").select(*KEY)
-    grown = cut(area.join(markers.where("label > 0"), KEY, "left").select(*KEY, "label"))
-    k = np.ones((3, 3))
-    for _ in range(rounds):
-        near = stencil(grown.withColumn("v", F.col("label").cast("double")), k, _n=F.min("v"))
-        new = cut(grown.join(near, KEY, "left").select(*KEY, F.coalesce("label", F.col("_n").cast("int")).alias("label"), (F.col("label").isNull() & F.col("_n").isNotNull()).alias("_new")))
-        if new.where("_new").isEmpty():
+    area = area.join(gray.select(*KEY, F.col("v").alias("_g")), KEY, "left") if gray is not None else area.withColumn("_g", F.lit(0.0))
+    start = F.when(F.col("label") > 0, F.struct(F.col("_g").alias("cost"), F.lit(0).alias("steps"), F.col("label").cast("int").alias("label")))
+    state = cut(area.join(markers.select(*KEY, "label"), KEY, "left").select(*KEY, "_g", start.alias("s"), (F.col("label") > 0).alias("new")))
+    o = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING])).alias("o")
+    while True:
+        edge = state.where("new").select(*KEY, "s", o)
+        if edge.isEmpty():
             break
-        grown = new.drop("_new")
-    return mask.select(*KEY).join(grown, KEY, "left").fillna(0, ["label"])
+        sent = edge.select("raster_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.struct("s.cost", (F.col("s.steps") + 1).alias("steps"), "s.label").alias("s"))
+        best = sent.groupBy(*KEY).agg(F.min("s").alias("_s"))
+        offered = F.when(F.col("_s").isNotNull(), F.struct(F.greatest("_s.cost", "_g").alias("cost"), F.col("_s.steps").alias("steps"), F.col("_s.label").alias("label")))
+        d = state.drop("new").join(best, KEY, "left").withColumn("_o", offered)
+        state = cut(d.select(*KEY, "_g", F.least("s", "_o").alias("s"), F.coalesce(F.col("s").isNull() & F.col("_o").isNotNull() | (F.col("_o") < F.col("s")), F.lit(False)).alias("new")))
+    return mask.select(*KEY).join(state.select(*KEY, "s.label"), KEY, "left").fillna(0, ["label"])
 
 
 @operator("sci_general_segmenter")
@@ -346,15 +354,42 @@ def general_segmenter(gray: DataFrame, smoothing: int = 3, min_size: int = 2) ->
     return marker_filter(connected(m), min_size)
 
 
+def _traced(border: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The outer border's pixels clockwise from the first in row order, by the next set pixel around each one, beginning after the unset one that it was reached from."""
+    start = min(border)
+    path, at, back = [], start, 6  # RING's place of the unset pixel to the left
+    first = None
+    while True:
+        for k in range(1, 9):
+            i = (back + k) % 8
+            if (to := (at[0] + RING[i][0], at[1] + RING[i][1])) in border:
+                break
+        else:
+            return [start]
+        if (at, i) == first:
+            return path
+        first = first or (at, i)
+        path.append(at)
+        unset = RING[(i - 1) % 8]
+        back = RING.index((at[0] + unset[0] - to[0], at[1] + unset[1] - to[1]))
+        at = to
+
+
 @operator("feat_find_contours")
 def find_contours(mask: DataFrame) -> DataFrame:
-    """Each component's border pixels in order of their angle about the centroid, with area, border length and circularity. The order is that of a contour for shapes that are star-shaped about the centroid."""
-    labels = component_labels(mask)
+    """Each component's outer border as pts in order along it (a pixel that the border passes twice is there twice), with area, border length and circularity. A component's border pixels, and not its area, meet in one task, as they do in its row."""
+    labels = cut(component_labels(mask))
     props = region_props(labels).select("raster_id", "label", "area", "cy", "cx", "perimeter", "circularity", "eccentricity")
-    b = boundary(mask).join(labels, KEY).join(props, ["raster_id", "label"])
-    angle = F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
-    pts = F.transform(F.array_sort(F.collect_list(F.struct(angle.alias("a"), "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return b.groupBy("raster_id", "label", "area", "perimeter", "circularity", "eccentricity", "cy", "cx").agg(pts.alias("pts"))
+    n = around(labels, "label", RING[::2])
+    border = n.where(" or ".join(f"n{i} is null" for i in range(4))).select("raster_id", "label", "y", "x")
+
+    def trace(rows: pd.DataFrame) -> pd.DataFrame:
+        path = _traced(set(zip(rows["y"].tolist(), rows["x"].tolist(), strict=True)))
+        return pd.DataFrame({"raster_id": rows["raster_id"].iloc[:1], "label": rows["label"].iloc[:1], "pts": [[{"x": x, "y": y} for y, x in path]]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in border.schema}
+    pts = border.groupBy("raster_id", "label").applyInPandas(trace, f"raster_id {kinds['raster_id']}, label {kinds['label']}, pts array<struct<x:{kinds['x']},y:{kinds['y']}>>")
+    return props.join(pts, ["raster_id", "label"])
 
 
 @operator("mask_to_svg")
