@@ -52,15 +52,17 @@ class EliasFano:
         """Places of the k-th zeros or ones (from 0), with those before each word."""
         k = k.astype(before.dtype)
         word = np.searchsorted(before, k, side="right") - 1
-        rest = (k - before[word]).astype(np.int64)
+        rest = (k - before[word]).astype(_U)
         bits = ~high[word] if flip else high[word]
-        # the byte that has it, by running counts of the ones in a word's bytes
-        counts = np.bitwise_count(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8))
-        upto = np.cumsum(counts, axis=1, dtype=np.int16)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        at = np.arange(len(k))
-        rest -= np.where(byte > 0, upto[at, byte - 1], 0)
-        return word * 64 + 8 * byte + _SELECT[(bits >> (_U(8) * byte.astype(_U))).astype(np.uint8), rest]
+        # in each byte of a word: the ones up to and with that byte
+        upto = bits - ((bits >> _U(1)) & _U(0x5555555555555555))
+        upto = (upto & _U(0x3333333333333333)) + ((upto >> _U(2)) & _U(0x3333333333333333))
+        upto = ((upto + (upto >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _U(0x0101010101010101)
+        # a byte's top bit stays set where no more than the wanted number have come by it
+        passed = ((rest * _U(0x0101010101010101)) | _U(0x8080808080808080)) - upto
+        shift = np.bitwise_count(passed & _U(0x8080808080808080)).astype(_U) << _U(3)
+        rest -= ((upto << _U(8)) >> shift) & _U(0xFF)
+        return word * 64 + shift.astype(np.int64) + _SELECT[((bits >> shift) & _U(0xFF)).astype(np.uint8), rest.astype(np.uint8)]
 
     def _low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -79,13 +81,19 @@ class EliasFano:
     def find(self, values: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Indexes of values, each within its own range of indexes where ranges are given; -1 for those that are not there.
 
-        The bucket of a value's high bits is selected and cut down to the range, and the successor of its low bits searched there.
+        A range of one is looked at. Else the bucket of a value's high bits is selected and cut down to
+        the range, and the successor of its low bits searched there.
         """
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
+        several = np.ones(len(values), bool)
+        if start is not None:
+            one = np.flatnonzero(end - start == 1)
+            out[one] = np.where(self.access(start[one]) == values[one], start[one], -1)
+            several = end - start > 1
         top = (values >> _U(self.bits)).astype(np.int64)
-        inside = np.flatnonzero(top < int(self.zeros[-1]) - 64)  # the last zeros are padding
+        inside = np.flatnonzero(several & (top < int(self.zeros[-1]) - 64))  # the last zeros are padding
         top, part = top[inside], values[inside] & _U((1 << self.bits) - 1)
         stop = self._select(self.high, self.zeros, top, True) - top
         at = np.where(top > 0, self._select(self.high, self.zeros, np.maximum(top - 1, 0), True) - (top - 1), 0)

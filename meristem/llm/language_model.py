@@ -121,7 +121,7 @@ class Shape:
     def bigram_contexts(self, ids: np.ndarray, following: np.ndarray) -> np.ndarray:
         hot, at = self.is_hot(ids)
         out = ids.copy()
-        out[hot] = self.words + self.hot[1][at[hot]] - (1 << self.bits) + following[hot] % self.hot[2][at[hot]]
+        out[hot] = self.words + self.hot[1][at[hot]] - (1 << self.bits) + np.maximum(following[hot], 0) % self.hot[2][at[hot]]
         return out
 
 
@@ -163,49 +163,39 @@ def _count_at(arrays: dict, at: np.ndarray) -> np.ndarray:
     return c
 
 
-def _successors(level: dict, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Places of words after rising contexts of one shard (-1: not kept): each context's range from its pointers, and the word's successor within it."""
+def _successors(level: dict, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words after rising contexts of one shard (-1: not kept), each searched in its context's range alone; and what the contexts leave to shorter ones."""
     new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
     of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
     own = context[new]
-    start = level["pointers"].access(own).astype(np.int64)
-    end = level["pointers"].access(own + 1).astype(np.int64)
+    ends = level["pointers"].access(np.concatenate([own, own + 1])).astype(np.int64)
+    start, end = ends[: len(own)], ends[len(own) :]
     base = np.zeros(len(own), _U)
     base[start > 0] = level["words"].access(start[start > 0] - 1)
-    return level["words"].find(base[of] + word.astype(_U) + _U(1), start[of], end[of])
+    return level["words"].find(base[of] + word.astype(_U) + _U(1), start[of], end[of]), _POWERS[level["rest"][own]][of]
 
 
-def _nodes(shape: Shape, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Nodes of a level (-1: not kept) by context and word; each distinct n-gram is searched once, in order."""
-    out = np.full(len(context), -1, np.int64)
-    keys = context.astype(_U) * _U(shape.words) + word.astype(_U)
+def _lookup(shape: Shape, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of a level (-1: not kept), discounted probabilities (0) and contexts' weights (1) by context and word; a word of -1 is unknown. Each distinct n-gram is searched once, in order."""
+    width = _U(shape.words + 1)
+    keys = context.astype(_U) * width + np.where(word < 0, shape.words, word).astype(_U)
     order = np.argsort(keys)
     keys = keys[order]
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.append(new, len(keys)))
-    context, word = context[order[new]], word[order[new]]
-    found = np.full(len(new), -1, np.int64)
+    context, word = (keys[new] // width).astype(np.int64), (keys[new] % width).astype(np.int64)
+    node, share, rest = np.full(len(new), -1, np.int64), np.zeros(len(new)), np.ones(len(new))
     first, nodes = shape.contexts(level), shape.nodes[level - 2]
     bounds = np.searchsorted(context, first)
     for s in np.flatnonzero((bounds[1:] > bounds[:-1]) & (nodes[1:] > nodes[:-1])):
         a, b = bounds[s], bounds[s + 1]
-        at = _successors(_level(shape.folder, level, int(s)), context[a:b] - first[s], word[a:b])
-        found[a:b] = np.where(at >= 0, at + nodes[s], -1)
-    out[order] = np.repeat(found, size)
-    return out
-
-
-def _values(shape: Shape, level: int, name: str, at: np.ndarray, first: np.ndarray, missing: float) -> np.ndarray:
-    """Dequantised values of a level's array at global indexes; shards without n-grams have the value for missing ones."""
-    out = np.full(len(at), missing)
-    shard = np.searchsorted(first, at, side="right") - 1
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(len(first)))
-    nodes = shape.nodes[level - 2][: len(first)]
-    for s in np.flatnonzero((bounds[1:] > bounds[:-1]) & (nodes[1:] > nodes[:-1])):
-        i = order[bounds[s] : bounds[s + 1]]
-        out[i] = _POWERS[_level(shape.folder, level, int(s))[name][at[i] - first[s]]]
-    return out
+        arrays = _level(shape.folder, level, int(s))
+        at, rest[a:b] = _successors(arrays, context[a:b] - first[s], word[a:b])
+        hit = np.flatnonzero(at >= 0)
+        node[a + hit], share[a + hit] = at[hit] + nodes[s], _POWERS[arrays["share"][at[hit]]]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(new)), size)
+    return node[back], share[back], rest[back]
 
 
 @dataclass
@@ -241,29 +231,32 @@ def _tokens(shape: Shape, data: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(owner, lead, ids[inverse], counts[inverse])
 
 
-def _climb(shape: Shape, t: Tokens, top: int) -> list[np.ndarray]:
-    """For each level up to top: the node of the n-gram that ends at each token, -1 where it was not kept."""
-    nodes = [t.ids]
+def _climb(shape: Shape, t: Tokens, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the node of the n-gram of order top that ends there (-1 where it was not kept), and its probability by levels up to top: each level's discounted one, and what its context leaves to the shorter one's."""
+    node, p = t.ids, _base(shape, t.counts)
     for level in range(2, top + 1):
+        context = np.concatenate(([-1], node[:-1]))
+        i = np.flatnonzero((context >= 0) & _within(t, level))
         node = np.full(len(t.ids), -1, np.int64)
-        i = np.flatnonzero(_candidates(shape, t, nodes, level))
         if len(i):
-            node[i] = _nodes(shape, level, _contexts(shape, t, nodes, level, i), t.ids[i])
-        nodes.append(node)
-    return nodes
+            before = context[i]
+            node[i], share, rest = _lookup(shape, level, shape.bigram_contexts(before, t.ids[i]) if level == 2 else before, t.ids[i])
+            if level == 2:
+                hot, at = shape.is_hot(before)
+                rest[hot] = shape.hot[4][at[hot]]
+            p[i] = share + rest * p[i]
+    return node, p
 
 
-def _candidates(shape: Shape, t: Tokens, nodes: list[np.ndarray], level: int) -> np.ndarray:
-    """Tokens at which an n-gram of this level ends whose parts were all kept."""
-    frequent = t.counts >= shape.least
-    out = np.zeros(len(t.ids), bool)
-    if len(out) >= level:
-        if level == 2:
-            out[1:] = frequent[1:] & frequent[:-1]
-        else:
-            out[1:] = (nodes[-1][:-1] >= 0) & (nodes[-1][1:] >= 0)
-        out &= _within(t, level)
-    return out
+def _grams(shape: Shape, t: Tokens, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of the n-grams of a level whose parts were all kept."""
+    if level == 2:
+        frequent = t.counts >= shape.least
+        i = np.flatnonzero(frequent & np.concatenate(([False], frequent[:-1])) & _within(t, level))
+        return shape.bigram_contexts(t.ids[i - 1], t.ids[i]), t.ids[i]
+    node, _ = _climb(shape, t, level - 1)
+    i = np.flatnonzero((node >= 0) & np.concatenate(([False], node[:-1] >= 0)) & _within(t, level))
+    return node[i - 1], t.ids[i]
 
 
 def _within(t: Tokens, level: int) -> np.ndarray:
@@ -274,11 +267,6 @@ def _within(t: Tokens, level: int) -> np.ndarray:
     return ~lead
 
 
-def _contexts(shape: Shape, t: Tokens, nodes: list[np.ndarray], level: int, i: np.ndarray) -> np.ndarray:
-    before = nodes[level - 2][i - 1]
-    return shape.bigram_contexts(before, t.ids[i]) if level == 2 else before
-
-
 def _training(docs: DataFrame, train: Column) -> DataFrame:
     return docs.where(train).select(F.col("text").cast("string").alias("text"))
 
@@ -310,11 +298,10 @@ def _counted(texts: DataFrame, bits: int, level: int, shape: Shape | None) -> Da
                     keys = (keys << _U(bits)) >> _U(bits)
                 else:
                     t = _tokens(shape, data, offsets)
-                    nodes = _climb(shape, t, level - 1)
-                    i = np.flatnonzero(_candidates(shape, t, nodes, level))
-                    context, first = _contexts(shape, t, nodes, level, i), shape.contexts(level)
+                    context, word = _grams(shape, t, level)
+                    first = shape.contexts(level)
                     shard = np.searchsorted(first, context, side="right") - 1
-                    keys, counts = (context - first[shard]).astype(_U) * _U(shape.words) + t.ids[i].astype(_U), np.ones(len(i), np.int64)
+                    keys, counts = (context - first[shard]).astype(_U) * _U(shape.words) + word.astype(_U), np.ones(len(word), np.int64)
                 held.append((shard, keys, counts))
                 size += len(keys)
                 if size >= HELD_KEYS:
@@ -425,20 +412,8 @@ def train_model(docs: DataFrame, train: Column, least: int = LEAST) -> Shape:
 
 
 def score_tokens(shape: Shape, t: Tokens) -> np.ndarray:
-    """log10 probability of each token given those before it in its text: each level's discounted probability, and what its context leaves to the shorter one's."""
-    nodes = _climb(shape, t, shape.levels)
-    p = _base(shape, t.counts)
-    for level in range(2, shape.levels + 1):
-        context = np.concatenate(([-1], nodes[level - 2][:-1]))
-        i = np.flatnonzero((context >= 0) & _within(t, level))
-        left = _values(shape, level, "rest", context[i], shape.first if level == 2 else shape.nodes[level - 3], 1.0)
-        if level == 2:
-            hot, at = shape.is_hot(context[i])
-            left[hot] = shape.hot[4][at[hot]]
-        p[i] *= left
-        hit = i[nodes[level - 1][i] >= 0]
-        p[hit] += _values(shape, level, "share", nodes[level - 1][hit], shape.nodes[level - 2], 0.0)
-    return np.log10(np.maximum(p, 1e-300))
+    """log10 probability of each token given those before it in its text."""
+    return np.log10(np.maximum(_climb(shape, t, shape.levels)[1], 1e-300))
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
