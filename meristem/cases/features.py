@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators import labels as L
 from ..operators import pixels as P
 from .base import FRAMES, GRAY, MASK, case, frames, gray, mask, r6
+from .rasters import _OTSU
 from .raster_sql import BOX, cells, components, gradients, near
 
 K = "raster_id, y, x"
@@ -35,15 +37,36 @@ def _canny() -> str:
 
 case("filter_canny", _canny())(lambda spark, d: r6(X.canny(gray(spark, d), 200, 500)))
 
-_LINES = f"""with {MASK}, t as (select unnest(range(12)) as t), v as (select {K}, t, floor(round(x * cos(radians(t * 15)) + y * sin(radians(t * 15)), 6) + 0.5)::int as r from mask, t where v > 0),
-  c as (select raster_id, t as y, r as x, count(*) as votes from v group by 1, 2, 3), {_ring('n', 'c', 'votes', ((0, -1), (-1, 0), (0, 1), (1, 0)))},
-  p as (select raster_id, y as t, x as r, c as votes from n where c >= 6 and c > coalesce(n0, 0) and c > coalesce(n1, 0) and c >= coalesce(n2, 0) and c >= coalesce(n3, 0)),
-  s as (select v.*, votes, round(y * cos(radians(v.t * 15)) - x * sin(radians(v.t * 15)), 6) as s from v join p using (raster_id, t, r)),
-  b as (select *, coalesce((s - lag(s) over (partition by raster_id, t, r order by s, y, x) > 2)::int, 0) as cut from s),
-  q as (select *, sum(cut) over (partition by raster_id, t, r order by s, y, x) as part from b),
-  e as (select raster_id, t, r, votes, part, min({{'s': s, 'y': y, 'x': x}}) as a, max({{'s': s, 'y': y, 'x': x}}) as z from q group by all)
-  select raster_id, t * 15.0::double as theta, r * 1.0::double as rho, votes, a.x as x1, a.y as y1, z.x as x2, z.y as y2 from e where z.s - a.s >= 3"""
-case("feat_hough_lines", _LINES)(lambda spark, d: r6(X.hough_lines(mask(spark, d), 1.0, 15.0, 6, 3, 2)))
+
+
+def _segments(source: str, condition: str, threshold: int, length: float, gap: float) -> str:
+    """Common tables of the accumulator at 15 degrees, its peaks, and the segments seg along them."""
+    return f"""ht as (select unnest(range(12)) as t), hv as (select {K}, t, floor(round(x * cos(radians(t * 15)) + y * sin(radians(t * 15)), 6) + 0.5)::int as r from {source}, ht where {condition}),
+  hc as (select raster_id, t as y, r as x, count(*) as votes from hv group by 1, 2, 3), {_ring('hn', 'hc', 'votes', ((0, -1), (-1, 0), (0, 1), (1, 0)))},
+  hp as (select raster_id, y as t, x as r, c as votes from hn where c >= {threshold} and c > coalesce(n0, 0) and c > coalesce(n1, 0) and c >= coalesce(n2, 0) and c >= coalesce(n3, 0)),
+  hs as (select hv.*, votes, round(y * cos(radians(hv.t * 15)) - x * sin(radians(hv.t * 15)), 6) as s from hv join hp using (raster_id, t, r)),
+  hb as (select *, coalesce((s - lag(s) over (partition by raster_id, t, r order by s, y, x) > {gap})::int, 0) as cut from hs),
+  hq as (select *, sum(cut) over (partition by raster_id, t, r order by s, y, x) as part from hb),
+  he as (select raster_id, t, r, votes, part, min({{'s': s, 'y': y, 'x': x}}) as a, max({{'s': s, 'y': y, 'x': x}}) as z from hq group by all),
+  seg as (select raster_id, t * 15.0::double as theta, r * 1.0::double as rho, votes, a.x as x1, a.y as y1, z.x as x2, z.y as y2 from he where z.s - a.s >= {length})"""
+
+
+def _near_segments(name: str, segments: str, thickness: float) -> str:
+    """Common table of the pixels within half the thickness of a segment."""
+    t = "greatest(0.0, least(1.0, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1))::double / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0)))"
+    return f"{name} as (select distinct g.raster_id, g.y, g.x from gray g join {segments} using (raster_id) where round(power(x - x1 - {t} * (x2 - x1), 2) + power(y - y1 - {t} * (y2 - y1), 2), 9) <= {thickness * thickness / 4!r}::double)"
+
+
+_DARK = f"{GRAY}{_OTSU}"
+case("feat_hough_lines", f"with {MASK}, {_segments('mask', 'v > 0', 6, 3, 2)} select * from seg")(lambda spark, d: r6(X.hough_lines(mask(spark, d), 1.0, 15.0, 6, 3, 2)))
+case("filter_linearity", f"with {_DARK}, k as (select {K} from gray join o using (raster_id) where v <= level), {_segments('k', 'true', 6, 4, 2)}, {_near_segments('z', 'seg', 1)} select g.raster_id, g.y, g.x, case when z.raster_id is null then 0.0::double else 255.0 end as v from gray g left join z using ({K})")(
+    lambda spark, d: r6(X.linearity(gray(spark, d), 4, 6, 1, 15.0))
+)
+_LONGER = "seg2 as (select raster_id, floor(round(x1 - ex, 6) + 0.5) as x1, floor(round(y1 - ey, 6) + 0.5) as y1, floor(round(x2 + ex, 6) + 0.5) as x2, floor(round(y2 + ey, 6) + 0.5) as y2 from (select *, (x2 - x1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as ex, (y2 - y1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as ey, abs((round(degrees(atan2(y2 - y1, x2 - x1)), 6) + 360) % 180 - 90) as off from seg) where least(off, 180 - off) <= 20)"
+case("filter_linear_direction", f"with {_DARK}, k as (select {K} from gray join o using (raster_id) where v > level), {_segments('k', 'true', 5, 4, 2)}, {_LONGER}, {_near_segments('z', 'seg2', 1)} select g.raster_id, g.y, g.x, case when k.raster_id is not null and z.raster_id is null then 255.0::double else 0.0 end as v from gray g left join k using ({K}) left join z using ({K})")(
+    lambda spark, d: r6(X.linear_direction(gray(spark, d), 90.0, 20, 4, 1.0, 1, True, 5, 15.0))
+)
+case("geom_approx_poly")(lambda spark, d: X.approx_poly(L.find_contours(mask(spark, d)), 5.0).select("raster_id", "label", F.size("pts").alias("corners"), "pts"))
 
 _PICK = "('0x' || substr(md5('42|' || raster_id || '|' || i || '|{}'), 1, 12))::bigint % n_points"
 _RANSAC = f"""with {MASK}, p as (select {K}, row_number() over (partition by raster_id order by y, x) - 1 as i from mask where v > 0), n as (select raster_id, count(*) as n_points from p group by 1),

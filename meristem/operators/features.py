@@ -19,7 +19,7 @@ from ..registry import operator
 from ..session import cut
 from .labels import component_labels, distance_transform, fill_holes, filter_area
 from .neighbours import RING, around, spaced
-from .pixels import KEY, size_of, with_raster_stats
+from .pixels import KEY, size_of, threshold_adv, with_raster_stats
 from .stencils import box_mean, dilate, gradients, stencil
 
 #: The circle of 16 pixels at radius 3, clockwise from above.
@@ -105,6 +105,81 @@ def hough_lines(mask: DataFrame, rho: float = 1.0, theta_deg: float = 1.0, thres
     return s.select("raster_id", (F.col("t") * theta_deg).alias("theta"), (F.col("r") * rho).alias("rho"), "votes", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
 
 
+def near_segments(like: DataFrame, segments: DataFrame, thickness: float) -> DataFrame:
+    """255 at the pixels of `like` within half the thickness of a segment (x1, y1, x2, y2) of their raster, 0 elsewhere. A segment meets only the rows that it reaches."""
+    r = thickness / 2
+    rows = F.explode(F.sequence(F.floor(F.least("y1", "y2") - r).cast("int"), F.ceil(F.greatest("y1", "y2") + r).cast("int"))).alias("y")
+    d = like.select(*KEY).join(segments.select("raster_id", rows, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]), ["raster_id", "y"])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    far = F.pow(F.col("x") - F.col("x1") - t * dx, F.lit(2)) + F.pow(F.col("y") - F.col("y1") - t * dy, F.lit(2))
+    on = d.where(F.round(far, 9) <= r * r).select(*KEY).distinct()
+    return like.select(*KEY).join(on.withColumn("v", F.lit(255.0)), KEY, "left").fillna(0.0, ["v"])
+
+
+@operator("filter_linearity")
+def linearity(gray: DataFrame, min_length: float = 25, threshold: int = 50, thickness: float = 3, theta_deg: float = 1.0) -> DataFrame:
+    """Mask of the straight segments of what Otsu's level finds dark, drawn with a thickness. Gaps up to half of min_length are bridged."""
+    dark = threshold_adv(gray, "otsu_inv").select(*KEY, "v")
+    return near_segments(gray, hough_lines(dark, 1.0, theta_deg, threshold, min_length, min_length / 2), thickness)
+
+
+@operator("filter_linear_direction")
+def linear_direction(gray: DataFrame, angle: float = 0.0, tolerance: float = 10, min_length: float = 20, extend: float = 0.0, thickness: float = 5, remove: bool = True, threshold: int = 30, theta_deg: float = 1.0) -> DataFrame:
+    """Segments of what Otsu's level finds bright whose direction is within the tolerance of an angle in degrees, made longer at both ends: taken out of that mask, or alone."""
+    bright = cut(threshold_adv(gray, "otsu").select(*KEY, "v"))
+    s = hough_lines(bright, 1.0, theta_deg, threshold, min_length, min_length / 2)
+    dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
+    off = F.abs(F.pmod(F.round(F.degrees(F.atan2(dy, dx)), 6), F.lit(180.0)) - angle)
+    s = s.where(F.least(off, 180 - off) <= tolerance).withColumn("_ex", dx / F.hypot(dx, dy) * extend).withColumn("_ey", dy / F.hypot(dx, dy) * extend)
+    at = lambda c, e: F.floor(F.round(F.col(c) + e, 6) + 0.5).alias(c)
+    s = s.select("raster_id", at("x1", -F.col("_ex")), at("y1", -F.col("_ey")), at("x2", F.col("_ex")), at("y2", F.col("_ey")))
+    lines = near_segments(gray, s, thickness)
+    if not remove:
+        return lines
+    return bright.join(lines.withColumnRenamed("v", "_l"), KEY).select(*KEY, F.greatest(F.lit(0.0), F.col("v") - F.col("_l")).alias("v"))
+
+
+def _simplified(points: list[tuple[float, float]], epsilon: float, closed: bool) -> list[int]:
+    """Places of the points that stay when runs within epsilon of their chord are dropped."""
+    n = len(points)
+    p = np.array(points, float)
+    if n < 3:
+        return list(range(n))
+    half = int(((p - p[0]) ** 2).sum(1).argmax()) if closed else n - 1
+    ring = np.vstack([p, p[:1]]) if closed else p
+    kept, todo = {0, half}, [(0, half), (half, n)] if closed else [(0, n - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        chord, rest = ring[b] - ring[a], ring[a + 1 : b] - ring[a]
+        length = math.hypot(*chord)
+        far = np.abs(rest[:, 0] * chord[1] - rest[:, 1] * chord[0]) / length if length else np.hypot(rest[:, 0], rest[:, 1])
+        i = int(far.argmax())
+        if far[i] > epsilon:
+            kept.add(a + 1 + i)
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return sorted(kept)
+
+
+@operator("geom_approx_poly")
+def approx_poly(contours: DataFrame, epsilon_pct: float = 2.0, closed: bool = True) -> DataFrame:
+    """contours(..., pts array<struct<x, y>>) with pts simplified: corners stay that stand off the chord by more than a share of the perimeter (in percent). A contour is one row, and is worked on where it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for pts in batch["pts"]:
+                p = [(float(q["x"]), float(q["y"])) for q in (pts if pts is not None else [])]
+                around_ = sum(math.dist(a, b) for a, b in zip(p, p[1:] + p[:1], strict=True))
+                out.append([pts[i] for i in _simplified(p, epsilon_pct / 100 * around_, closed)])
+            batch["pts"] = out
+            yield batch
+
+    return contours.mapInPandas(run, contours.schema)
+
+
 @operator("feat_hough_circles")
 def hough_circles(df: DataFrame, min_radius: int = 2, max_radius: int = 4, threshold: int = 4, min_distance: float = 3, low: float = 50, high: float = 150) -> DataFrame:
     """(raster_id, cy, cx, radius, votes): centres and radii that edge pixels vote for along their gradients, both ways; cells with threshold votes, apart by min_distance, most votes first."""

@@ -133,3 +133,13 @@ def test_nearest_over_blocks(spark, monkeypatch, metric):
     d = np.abs(v[:, None] - v[None])
     d = {"euclidean": np.sqrt((d * d).sum(2)), "manhattan": d.sum(2), "chebyshev": d.max(2)}[metric]
     assert got == {i: [j for _, j in sorted((d[i, j], j) for j in range(150) if j != i)[:4]] for i in range(150)}
+
+
+def test_approx_poly_keeps_the_corners(spark):
+    a = np.zeros((24, 30))
+    a[3:20, 4:26] = 255
+    c = L.find_contours(raster(spark, [a]))
+    pts = X.approx_poly(c, 2.0).first()["pts"]
+    assert {(p["y"], p["x"]) for p in pts} == {(3, 4), (3, 25), (19, 25), (19, 4)}
+    n = len(c.first()["pts"])
+    assert len(X.approx_poly(c, 0.0).first()["pts"]) == 4 and n == 2 * (16 + 21)
