@@ -57,7 +57,7 @@ def budgets(leaves: DataFrame, total: int, epochs: int, weights: DataFrame | Non
             leaves = leaves.withColumn(f"_w_{level}", F.lit(1.0))
         else:
             own = weights.where(F.col("level") == level).groupBy(F.col("name").alias("_name")).agg(F.max(F.col("weight").cast("double")).alias(f"_w_{level}"))
-            leaves = leaves.join(own, F.col(level).eqNullSafe(F.col("_name")), "left").drop("_name").fillna(1.0, [f"_w_{level}"])
+            leaves = leaves.join(own, F.col(level).eqNullSafe(F.col("_name")), "left").drop("_name").withColumn(f"_w_{level}", F.coalesce(f"_w_{level}", F.lit(1.0)))
             empty = F.isnan(f"_w_{level}") | (F.col(f"_w_{level}") <= 0)
             leaves = leaves.withColumn("capacity", F.when(empty, 0).otherwise(F.col("capacity"))).withColumn(f"_w_{level}", F.when(empty, 1.0).otherwise(F.col(f"_w_{level}")))
     budget = None

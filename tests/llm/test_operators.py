@@ -641,3 +641,26 @@ def test_many_languages_fold_the_buckets(spark):
     rows = [(i, " ".join(f"{letters[i % 26]}{letters[i // 26]}{x}" for x in letters * 3), f"l{i:03d}") for i in range(600)]
     got = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).select("doc_id", "lang_pred").collect()
     assert sum(r["lang_pred"] == f"l{r['doc_id']:03d}" for r in got) > 570
+
+
+def test_mixing_with_empty_weights_and_carried_rows(spark, docs):
+    """A subtree of weight 0 takes nothing and its share goes to its siblings; rows that are carried have the verdicts of rows that are not."""
+    source = F.col("source")
+    some = docs.first()["source"]
+    weights = spark.createDataFrame([("source", some, 0.0), ("lang", "en", float("nan"))], "level string, name string, weight double")
+    plain = mix_sources(docs, F.lit("all"), share=0.4, epochs=1, weights=weights).toPandas()
+    out = (plain["source"] == some) | (plain["lang"] == "en")
+    assert out.any() and (plain[out]["taken"] == 0).all()
+    assert abs(plain["taken"].sum() - min(int(plain["n_tokens"].sum() * 0.4), plain[~out]["n_tokens"].sum())) <= len(plain.groupby(["lang", "source"]))
+    carried = mix_sources(docs, source, share=0.7, epochs=2, carry=F.struct("doc_id", "text")).select("carried.doc_id", "taken", "last_tokens").collect()
+    bare = mix_sources(docs, source, share=0.7, epochs=2).select("doc_id", "taken", "last_tokens").collect()
+    assert sorted(carried) == sorted(bare)
+
+
+def test_ids_without_a_value_are_not_held_out(spark, tmp_path):
+    rows = [(None, "a b c d", "en"), (1, "a b c d", "en"), (2, None, "fr"), (3, "e f g", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (Q.op4_quality, Q.op5_language, Q.op7_lm_scores, Q.op9_toxicity):
+        got = query(spark, str(tmp_path)).select("doc_id", "held_out").collect()
+        assert len(got) == 4 and all(r["held_out"] is not None for r in got) and not [r for r in got if r["doc_id"] is None and r["held_out"]]
