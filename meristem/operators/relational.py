@@ -12,6 +12,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.expressions import compile_expression
 from ..registry import operator
+from ..session import cut
 
 
 def resolve(df: DataFrame, name: str) -> str:
@@ -257,15 +258,10 @@ def _describe(c: Column) -> list[Column]:
     return [F.count(v).alias("count"), F.bround(F.avg(v), 4).alias("mean"), std.alias("std"), F.bround(F.min(v), 4).alias("min"), *q, F.bround(F.max(v), 4).alias("max")]
 
 
-def average_rank(name: str) -> Column:
-    """Rank with ties at their mean; one sort for the ranks and one count per value."""
-    return F.rank().over(Window.orderBy(name)) + (F.count("*").over(Window.partitionBy(name)) - 1) / 2
-
-
 def ranked(df: DataFrame, name: str) -> DataFrame:
     """Adds {name}__rank, the average rank: values are counted, the distinct ones are ranked over range-partitioned pieces, and joined back."""
     counts = df.groupBy(name).agg(F.count("*").alias("__n"))
-    pieces = counts.repartitionByRange(name).withColumn("__p", F.spark_partition_id())
+    pieces = cut(counts.repartitionByRange(name).withColumn("__p", F.spark_partition_id()))  # written, so that both readers see the same pieces
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("__p").agg(F.sum("__n").alias("__s")).withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0))).select("__p", "__o")
     inside = Window.partitionBy("__p").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
