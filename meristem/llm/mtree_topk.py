@@ -98,8 +98,8 @@ class Page:
         return scores, found
 
 
-def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, v array<long>) with floor(scale * x).
+def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, *keep: str) -> DataFrame:
+    """(vec_id, v array<long>) with floor(scale * x), and the columns keep.
 
     Rows with a null id, no vector, or a null or non-finite component are left out, and those whose
     squared norm is over 2**62 after scaling, as inner products with them may not fit a long.
@@ -107,7 +107,7 @@ def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     scaled = F.transform(F.col(vector_col), lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-4e9)), F.lit(4e9))))
     finite = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.when(finite, scaled).alias("v"))
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.when(finite, scaled).alias("v"), *keep)
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(norm <= LARGEST)
 
 

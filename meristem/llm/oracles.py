@@ -16,6 +16,49 @@ select query_id, row_number() over (partition by query_id order by score desc, v
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
 """
 
+NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from v a join v r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), n as (
+  select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank
+  from p join s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+LEXICAL = f"""
+with d as (
+  select doc_id, {_TERMS.format("text")} as terms from documents where text is not null
+), whole as (
+  select count(*)::bigint as n_docs, sum(len(terms))::bigint as n_terms from d where len(terms) > 0
+), q as (
+  select item_id, term, count(*)::bigint as q from (select item_id, unnest({_TERMS.format("text")}) as term from benchmark) group by all
+), p as (
+  select doc_id, n, term, count(*)::bigint as tf
+  from (select doc_id, len(terms)::bigint as n, unnest(terms) as term from d) where term in (select term from q) group by all
+), w as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, whole group by term, n_docs
+), s as (
+  select item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::bigint as score
+  from q join p using (term) join w using (term), whole group by item_id, doc_id
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from s where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""
+
 RULES = rf"""
 with w as (
   select doc_id, coalesce(text, '') as t, {WORDS} as w from documents

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from ._session import cut, shared_dir
+from .bpe_prefixes import decode_ids, encode_texts
+from .hard_negatives import hard_negatives
 from .language_mixture import identify_languages
 from .language_model import score_texts
+from .lexical_topk import lexical_topk
 from .minhash_dedup import minhash_dedup
 from .mixing import mix_sources
 from .mtree_topk import exact_topk, integer_vectors
@@ -116,6 +119,25 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the five nearest rows of every hundredth vector's label; every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to, as counts and digests."""
+    path = vocabulary_path("word_bpe_49k.json")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return decode_ids(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces and sequences that corpus_pipeline.run leaves of all documents."""
     import corpus_pipeline
@@ -126,10 +148,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_best_fit_packing, op3_mixing, op4_quality, op5_language,
-        op6_minhash_dedup, op7_lm_scores, op8_quality_rules, op9_toxicity, op10_exact_topk, pipeline,
+        op6_minhash_dedup, op7_lm_scores, op8_quality_rules, op9_toxicity, op10_exact_topk,
+        op11_hard_negatives, op12_lexical_topk, op13_bpe, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": oracles.MIXING, "op6_minhash_dedup": oracles.DEDUP, "op8_quality_rules": oracles.RULES, "op10_exact_topk": oracles.TOPK}
+    return {"op3_mixing": oracles.MIXING, "op6_minhash_dedup": oracles.DEDUP, "op8_quality_rules": oracles.RULES, "op10_exact_topk": oracles.TOPK,
+            "op11_hard_negatives": oracles.NEGATIVES, "op12_lexical_topk": oracles.LEXICAL}
