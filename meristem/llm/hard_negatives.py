@@ -244,8 +244,9 @@ def hard_negatives(table: DataFrame, anchors: Column, label: Column, positives:
         near = _ranked(_searched(searched, block, nearest_of_label, block.num_rows, positives), positives).toArrow()  # `positives` rows for each of them
         low, high = np.full((block.num_rows, positives), _FAR), np.full((block.num_rows, positives), -_FAR)
         group, place, score = (near.column(c).to_numpy() for c in ("group", "rank", "score"))
-        low[group, place - 1] = -(-window[0] * score // 100)
-        high[group, place - 1] = window[1] * score // 100
+        hundreds, rest = score // 100, score % 100  # as window * score may not fit a long
+        low[group, place - 1] = window[0] * hundreds - (-window[0] * rest) // 100
+        high[group, place - 1] = window[1] * hundreds + window[1] * rest // 100
         hits = _ranked(_searched(searched, block, negatives_in_windows, block.num_rows * positives, negatives, (low, high)), negatives)
         pairs = pa.table({"group": pa.array(group * positives + place - 1, pa.int64()), "anchor_id": block.column("vec_id").take(pa.array(group)), "positive_id": near.column("vec_id"), "positive_score": near.column("score")})
         out = hits.join(F.broadcast(spark.createDataFrame(pairs)), "group")
