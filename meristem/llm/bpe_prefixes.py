@@ -33,7 +33,7 @@ from ._session import extended
 from .tokens import _byte_alphabet
 
 LONG = 512  # atoms of a word that is encoded by itself
-KEPT = 250_000  # words, and chunks, that a worker keeps; it keeps 8 * KEPT of their ids
+KEPT = 150_000  # words, and chunks, that a worker keeps; it keeps 8 * KEPT of their ids
 MEMO_BITS = 19  # pairs of tokens whose answers are kept, as a power of two
 SLICE = 1 << 20  # characters of a text that are handled at a time
 FINAL = 256  # what a word's last byte has more than others
@@ -478,20 +478,22 @@ def _worker_encoder(path: str, shared) -> Encoder:
     return _encoders[path]
 
 
-def encode_texts(rows: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode_texts(rows: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds the token ids (array<int>) of whole texts as the tokenizers library gives them without special tokens of its own, truncation or padding.
+    With decoded_col, also what decode_ids makes of them, in the same pass.
 
     A null or empty text, or one of white space only, has no ids. Strings of added tokens in a text are
     those tokens. A text is handled in slices, so a worker's memory follows the longest text's ids.
-    Repeated rows are encoded each; an empty table stays empty. A column named ids_col is replaced; all
-    other columns are kept as they are. The vocabulary goes to the workers: its size is that of the file.
+    Repeated rows are encoded each; an empty table stays empty. A column named ids_col or
+    decoded_col is replaced; all other columns, or of them only those of keep, are kept as they are. The vocabulary goes to the workers: its size is that of the file.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(path))
-    kept = [c for c in rows.columns if c.lower() != ids_col.lower()]
+    added = [ids_col, *([decoded_col] if decoded_col else [])]
+    kept = [c for c in (rows.columns if keep is None else keep) if c.lower() not in {a.lower() for a in added}]
     quoted = [F.col("`" + c.replace("`", "``") + "`") for c in kept]
     source = rows.select(*quoted, F.col("`" + text_col.replace("`", "``") + "`").cast("string").alias("_encoded_text"))
-    out = extended(rows.select(*quoted).schema, f"`{ids_col}` array<int>")
+    out = extended(rows.select(*quoted).schema, f"`{ids_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(path, shared)
@@ -500,12 +502,13 @@ def encode_texts(rows: DataFrame, path: str, text_col: str = "text", ids_col: st
                 ids = encoder.encode_block(part.column(part.num_columns - 1).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=out.names)
+                decoded = [_decoded(column, encoder.vocabulary.spelled)] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column, *decoded], names=out.names)
 
     return source.mapInArrow(run, out)
 
 
-def _bounded(batch: pa.RecordBatch, limit: int = 16 * SLICE) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, limit: int = 2 * SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about limit bytes of text, or one row, so that ids of a part fit a list column."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -515,6 +518,15 @@ def _bounded(batch: pa.RecordBatch, limit: int = 16 * SLICE) -> Iterator[pa.Reco
         at = end
 
 
+def _decoded(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    flat = ids.flatten()
+    valid = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), flat, pa.scalar(None, pa.int32()))
+    counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+    spelled = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int64()), names.take(valid).cast(pa.large_string()))
+    text = pc.binary_join(spelled, pa.scalar(" ", pa.large_string())) if not valid.null_count else pa.array([" ".join(t for t in s if t is not None) for s in spelled.to_pylist()], pa.large_string())
+    return text.cast(pa.string())
+
+
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text of token ids, as the tokenizers library decodes a vocabulary that names no decoder: its tokens' strings, special ones too, with a space between.
 
@@ -530,12 +542,6 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.spelled
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            flat = ids.flatten()
-            valid = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), flat, pa.scalar(None, pa.int32()))
-            counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-            spelled = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int64()), names.take(valid).cast(pa.large_string()))
-            text = pc.binary_join(spelled, pa.scalar(" ", pa.large_string())) if not valid.null_count else pa.array([" ".join(t for t in s if t is not None) for s in spelled.to_pylist()], pa.large_string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text.cast(pa.string())], names=out.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _decoded(batch.column(batch.num_columns - 1), names)], names=out.names)
 
     return source.mapInArrow(run, out)

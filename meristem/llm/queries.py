@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from ._session import cut, shared_dir
-from .bpe_prefixes import decode_ids, encode_texts
+from .bpe_prefixes import encode_texts
 from .hard_negatives import hard_negatives
 from .language_mixture import identify_languages
 from .language_model import score_texts
@@ -133,9 +133,9 @@ def op12_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as counts and digests."""
     path = vocabulary_path("word_bpe_49k.json")
-    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    encoded = encode_texts(table(spark, sf_dir, "documents"), path, decoded_col="decoded", keep=["doc_id"])
     digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
-    return decode_ids(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

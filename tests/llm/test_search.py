@@ -251,6 +251,7 @@ def test_encoding_keeps_rows_and_columns(spark, monkeypatch, library):
     want = [library.encode(t or "", add_special_tokens=False).ids for _, t, _ in rows]
     key = lambda r: (str(r[0]), str(r[1]), r[2])
     assert sorted(((r["doc_id"], r["text"], r["ids"], r["decoded"]) for r in got), key=key) == sorted(((r[0], r[1], w, library.decode(w, skip_special_tokens=False)) for r, w in zip(rows, want, strict=True)), key=key)
+    assert sorted(map(str, B.encode_texts(df, PATH, decoded_col="decoded").collect())) == sorted(map(str, got))
     assert B.decode_ids(B.encode_texts(df.limit(0), PATH), PATH).count() == 0
     some = B.decode_ids(spark.createDataFrame([(1, [320, None, -1, 10**6, 49407])], "a int, ids array<int>"), PATH).first()
     assert some["decoded"] == library.decode([320, 49407], skip_special_tokens=False)
