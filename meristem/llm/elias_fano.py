@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import mmap
 import uuid
 
 import numpy as np
@@ -140,6 +141,14 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     fs.move(draft, f"{path}/{name}")
 
 
+def is_mapped(arrays: dict[str, np.ndarray]) -> bool:
+    """Whether the arrays of map_arrays lie in a mapped file."""
+    base = next(iter(arrays.values()), None)
+    while isinstance(base, np.ndarray) and not isinstance(base, np.memmap):
+        base = base.base
+    return isinstance(base, (np.memmap, mmap.mmap))
+
+
 def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     """The file's arrays, mapped into memory; from a store that is no file system they are read into memory."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)

@@ -21,7 +21,7 @@ successors leave goes to the shorter context, so each context's probabilities su
 
 from __future__ import annotations
 
-import functools
+import collections
 import math
 import uuid
 from collections.abc import Iterator
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._session import extended, shared_dir
-from .elias_fano import EliasFano, map_arrays, write_arrays
+from .elias_fano import EliasFano, is_mapped, map_arrays, write_arrays
 
 ORDER, LEAST, DISCOUNT = 3, 2, 0.75
-MOST_SHARD_BITS = 14
+MOST_SHARD_BITS = 24  # of what the driver holds a few numbers for each
+HELD_BYTES, HELD_LEVELS = 256 << 20, 1 << 14  # of shards that a worker has read into memory, and shards that it has mapped
 HELD_KEYS = 4_000_000  # that a task holds before it passes them on
 STEPS = 4096  # quantisation steps per unit of log10
 BLOCK = 2 << 20
@@ -125,23 +126,32 @@ class Shape:
         return out
 
 
-@functools.lru_cache(maxsize=1 << 16)
+_levels: collections.OrderedDict = collections.OrderedDict()  # by (folder, level, shard): the arrays, and the bytes that they take in memory
+
+
 def _level(folder: str, level: int, shard: int) -> dict:
+    """A shard's arrays. Those used last are kept: of mapped ones HELD_LEVELS, of those that had to be read HELD_BYTES."""
+    key = folder, level, shard
+    if key in _levels:
+        _levels.move_to_end(key)
+        return _levels[key][0]
     arrays = map_arrays(folder, f"level{level}-{shard:05d}")
-    if level == 1:
-        return arrays | {"ids": EliasFano.of(arrays)}
-    return arrays | {"pointers": EliasFano.of(arrays, "pointer_"), "words": EliasFano.of(arrays, "word_")}
+    size = 0 if is_mapped(arrays) else sum(a.nbytes for a in arrays.values())
+    arrays |= {"ids": EliasFano.of(arrays)} if level == 1 else {"pointers": EliasFano.of(arrays, "pointer_"), "words": EliasFano.of(arrays, "word_")}
+    _levels[key] = arrays, size
+    held = sum(s for _, s in _levels.values()) if size else 0
+    while len(_levels) > 1 and (held > HELD_BYTES or len(_levels) > HELD_LEVELS):
+        held -= _levels.popitem(last=False)[1][1]
+    return arrays
 
 
 def _ids(shape: Shape, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Global ids (-1: not in training) and counts of rising hashes, over the shards they fall in."""
     ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
     cuts = np.searchsorted(hashes, np.arange(1, 1 << shape.bits, dtype=_U) << _U(64 - shape.bits))
-    bounds = [0, *cuts.tolist(), len(hashes)]
-    for s in range(1 << shape.bits):
+    bounds = np.concatenate(([0], cuts, [len(hashes)]))
+    for s in np.flatnonzero((bounds[1:] > bounds[:-1]) & (shape.first[1:] > shape.first[:-1])).tolist():
         a, b = bounds[s], bounds[s + 1]
-        if a == b or shape.first[s] == shape.first[s + 1]:
-            continue
         level = _level(shape.folder, 1, s)
         at = level["ids"].find((hashes[a:b] << _U(shape.bits)) >> _U(shape.bits))
         hit = at >= 0
@@ -175,15 +185,26 @@ def _successors(level: dict, context: np.ndarray, word: np.ndarray) -> tuple[np.
     return level["words"].find(base[of] + word.astype(_U) + _U(1), start[of], end[of]), _POWERS[level["rest"][own]][of]
 
 
+def _sorted_grams(context: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by context and word (from 0 to words), and where in it each distinct one starts. Both go into one 64-bit key if they fit."""
+    if not len(word):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if (int(context.max()) + 1) * (words + 1) < 1 << 64:
+        keys = context.astype(_U) * _U(words + 1) + word.astype(_U)
+        order = np.argsort(keys)
+        keys = keys[order]
+        return order, np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    order = np.lexsort((word, context))
+    c, w = context[order], word[order]
+    return order, np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
+
+
 def _lookup(shape: Shape, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes of a level (-1: not kept), discounted probabilities (0) and contexts' weights (1) by context and word; a word of -1 is unknown. Each distinct n-gram is searched once, in order."""
-    width = _U(shape.words + 1)
-    keys = context.astype(_U) * width + np.where(word < 0, shape.words, word).astype(_U)
-    order = np.argsort(keys)
-    keys = keys[order]
-    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(np.append(new, len(keys)))
-    context, word = (keys[new] // width).astype(np.int64), (keys[new] % width).astype(np.int64)
+    word = np.where(word < 0, shape.words, word)
+    order, new = _sorted_grams(context, word, shape.words)
+    size = np.diff(np.append(new, len(order)))
+    context, word = context[order[new]], word[order[new]]
     node, share, rest = np.full(len(new), -1, np.int64), np.zeros(len(new)), np.ones(len(new))
     first, nodes = shape.contexts(level), shape.nodes[level - 2]
     bounds = np.searchsorted(context, first)
@@ -421,6 +442,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     A null or empty text is its end alone. Repeated rows each get a row and count each in training.
     Bigrams and trigrams seen fewer than least times in training are dropped; 1 keeps all.
+    Null ids are kept as they are; whether such a row trains is for train to say (a null condition: no).
+    A worker holds HELD_BYTES of shards at most where they can't be mapped; mapped ones take the node's
+    page cache, as much of the model as there is room for.
     Without training texts every token is unknown and both scores are 0. Other columns are not read. An
     empty table gives no rows. A text is held whole by its task, at some 200 bytes a byte, however long.
     """

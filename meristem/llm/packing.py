@@ -5,7 +5,7 @@ piece lengths, which is what block-diagonal attention computes). Pieces go by de
 the open bin that fits under every constraint and has the smallest weighted norm of what is left
 ("norm"), or the largest weighted dot product of demand and what is left ("dot").
 
-Pieces are dealt by hash into groups of about GROUP pieces; each is packed by one task and leaves a
+Pieces are dealt by their row numbers into groups of about GROUP pieces, whatever their ids; each is packed by one task and leaves a
 few partly filled sequences, a share that shrinks with the group's size and not with the table's.
 """
 
@@ -137,11 +137,15 @@ def _by_dot(lengths: list[int], capacity: Capacity) -> Iterator[tuple[int, int]]
 def pack(parts: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     """Adds sequence_id long and offset long to pieces (doc_id, piece, length and any other columns).
 
-    Repeated rows are separate pieces. A null id is packed like any other. Sequence ids are unique, with gaps.
+    Repeated rows are separate pieces, and null or equal ids are packed like any others: pieces are dealt
+    by the number of their row in the written table. Of equal lengths the smaller id and piece goes first.
+    Sequence ids are unique, with gaps. An empty table stays empty. Pieces are numbers only, so a very
+    long text is as many rows as it has pieces.
     """
     parts = cut(parts)
     groups = max(1, -(-parts.count() // GROUP))
     schema = extended(parts.schema, "sequence_id long, offset long")
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     names = schema.names
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,9 +153,14 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
         bins, offsets = best_fit(rows["length"].to_numpy(np.int64), capacity)
         return rows.assign(sequence_id=bins * groups + int(key[0]), offset=offsets)[names]
 
-    return parts.groupBy(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("_group")).applyInPandas(run, schema)
+    name = "_group" + "_" * max(map(len, parts.columns))  # longer than any column's
+    return parts.withColumn(name, group).groupBy(name).applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: Capacity = Capacity()) -> DataFrame:
-    """Cuts and packs whole documents (doc_id, text); a null or empty text is its end token alone. Other columns are not read."""
+    """Cuts and packs whole documents (doc_id, text); a null or empty text is its end token alone. Other columns are not read.
+
+    Repeated rows are documents of their own, and so are those with equal or null ids. A very long text is
+    encoded whole by its task and cut into pieces. An empty table gives no rows.
+    """
     return pack(pieces(docs, path, capacity), capacity)

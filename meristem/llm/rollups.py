@@ -39,8 +39,10 @@ class TokenRollup:
 
     folder/data has the sums, each attempt in a folder of its own; folder/batches one small file for each
     committed batch, and folder/snapshots one for each snapshot, that say which attempts count. Such a
-    file is created only if there is none of its name, so of two writers of one batch one commits, and
-    what an unfinished attempt has left is never read.
+    file is written and closed under a name of its own, and then renamed to one that must not exist, so
+    it is there whole or not at all; of two writers of one batch one commits, and what an unfinished
+    attempt has left is never read. A file that holds no such thing, however it came there, counts as
+    absent, and the batch can be sent again.
 
     Null sources, languages and tokenizer versions are groups of their own; a null count adds a document and no tokens.
     """
@@ -53,22 +55,37 @@ class TokenRollup:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
 
     def _create(self, kind: str, name: str, what: dict) -> bool:
-        """Whether the file was made; false if there is one already."""
+        """Whether the file was made; false if there is one already. One that can't be read is removed first."""
+        draft, path = self._path("drafts", uuid.uuid4().hex), self._path(kind, name)
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(what).encode()))
+        out.close()
+        if self._fs.exists(path) and self._read(kind, name) is None:
+            self._fs.delete(path, False)
+        self._fs.mkdirs(path.getParent())
+        jvm = self.spark._jvm
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            out = self._fs.create(self._path(kind, name), False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, path, none)
         except Py4JJavaError:
-            if self._fs.exists(self._path(kind, name)):
+            self._fs.delete(draft, False)
+            if self._fs.exists(path):
                 return False
             raise
-        out.write(bytearray(json.dumps(what).encode()))
-        out.close()
         return True
 
-    def _read(self, kind: str, name: str) -> dict:
+    def _read(self, kind: str, name: str) -> dict | None:
+        """What the file says; nothing if it is absent, empty or unfinished."""
+        if not self._fs.exists(self._path(kind, name)):
+            return None
         stream = self._fs.open(self._path(kind, name))
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return json.loads(text)
+        try:
+            what = json.loads(text)
+        except ValueError:
+            return None
+        return what if isinstance(what, dict) and "data" in what else None
 
     def _names(self, kind: str) -> list[str]:
         if not self._fs.exists(self._path(kind)):
@@ -80,14 +97,14 @@ class TokenRollup:
         sums.where("n_docs <> 0 or n_tokens <> 0").coalesce(8).write.parquet(f"{self.folder}/{data}")
         return data
 
-    def _state(self) -> tuple[dict, list[str]]:
-        """The last snapshot and the names of the batches that it does not have."""
-        snapshots = self._names("snapshots")
-        last = self._read("snapshots", snapshots[-1]) if snapshots else {"data": None, "batches": []}
-        return last, sorted(set(self._names("batches")) - set(last["batches"]))
+    def _state(self) -> tuple[dict, dict[str, str]]:
+        """The last snapshot, and the data of the batches that it does not have, by name."""
+        last = next((s for name in reversed(self._names("snapshots")) if (s := self._read("snapshots", name))), {"data": None, "batches": []})
+        since = {b: self._read("batches", b) for b in sorted(set(self._names("batches")) - set(last["batches"]))}
+        return last, {b: what["data"] for b, what in since.items() if what}
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path("batches", urllib.parse.quote(batch_id, safe="")))
+        return self._read("batches", urllib.parse.quote(batch_id, safe="")) is not None
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Commits deltas(source, lang, tokenizer, n_tokens, sign) as one batch; false if it was committed before, by this writer or another."""
@@ -108,8 +125,8 @@ class TokenRollup:
             data = self._written(self._sums(last, since))
             self._create("snapshots", f"{len(self._names('snapshots')):09d}", {"data": data, "batches": sorted({*last["batches"], *since})})
 
-    def _sums(self, last: dict, since: list[str]) -> DataFrame:
-        data = [last["data"], *(self._read("batches", b)["data"] for b in since)]
+    def _sums(self, last: dict, since: dict[str, str]) -> DataFrame:
+        data = [last["data"], *since.values()]
         rows = self.spark.read.schema(_SCHEMA).parquet(*[f"{self.folder}/{d}" for d in data if d])
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 

@@ -664,3 +664,78 @@ def test_ids_without_a_value_are_not_held_out(spark, tmp_path):
     for query in (Q.op4_quality, Q.op5_language, Q.op7_lm_scores, Q.op9_toxicity):
         got = query(spark, str(tmp_path)).select("doc_id", "held_out").collect()
         assert len(got) == 4 and all(r["held_out"] is not None for r in got) and not [r for r in got if r["doc_id"] is None and r["held_out"]]
+
+
+def totals_of(rollup):
+    return {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+
+
+@pytest.mark.parametrize("left", ["", '{"data": "da', "[]"])
+def test_an_unfinished_batch_file_counts_as_absent(spark, tmp_path, left):
+    """A writer that died, or anything else, has left a file that says nothing: totals are read without it, and the batch can be sent."""
+    ddl = "source string, lang string, tokenizer string, n_tokens long"
+    rollup = TokenRollup(spark, str(tmp_path / "r"), snapshot_every=2)
+    assert rollup.commit("a", inserts(spark.createDataFrame([("s", "en", "t", 5)], ddl)))
+    for kind, name in (("batches", "b"), ("snapshots", "000000000")):
+        (tmp_path / "r" / kind).mkdir(exist_ok=True)
+        (tmp_path / "r" / kind / name).write_text(left)
+    again = TokenRollup(spark, str(tmp_path / "r"), snapshot_every=2)
+    assert totals_of(again) == {("s", "en", "t"): (1, 5)} and not again.committed("b")
+    more = inserts(spark.createDataFrame([("s", "en", "t", 7), (None, None, None, None)], ddl))
+    assert again.commit("b", more) and not again.commit("b", more) and not again.commit("a", more)
+    assert totals_of(rollup) == totals_of(again) == {("s", "en", "t"): (2, 12), (None, None, None): (1, 0)}
+    assert not [p for p in (tmp_path / "r" / "drafts").iterdir() if not p.name.startswith(".")]
+
+
+def test_token_counts_on_odd_rows(odd, empty):
+    path = vocabulary_path()
+    clash = odd.withColumn("_text", F.lit("x")).withColumn("n_tokens", F.lit(-1))
+    got = count_tokens(clash, "text", path, ["doc_id", "id"]).collect()
+    texts = {(r["doc_id"], r["id"]): r["text"] for r in odd.collect()}
+    assert sorted((str(r["doc_id"]), r["id"], r["n_tokens"]) for r in got) == sorted((str(r[0]), r[4], len(library(path).encode(r[1] or "", add_special_tokens=False).ids)) for r in ODD)
+    assert len(texts) == len(ODD) - 1 and count_tokens(empty, "text", path, ["doc_id"]).count() == 0
+
+
+def test_packing_splits_rows_without_ids(spark, monkeypatch):
+    """Rows that have no id, or all the same one, are dealt to groups like any others."""
+    from meristem.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 64)
+    for value in (None, 5):
+        parts = spark.createDataFrame([(value, 0, 1 + i % 700, "x") for i in range(1500)], "doc_id long, piece int, length long, _group string").repartition(5)
+        got = packing.pack(parts).collect()
+        groups = -(-1500 // 64)
+        sizes = Counter(r["sequence_id"] % groups for r in got)
+        assert len(got) == 1500 and len(sizes) == groups and max(sizes.values()) < 2 * 64
+        filled = Counter()
+        for r in got:
+            filled[r["sequence_id"]] += r["length"]
+        assert max(filled.values()) <= 1024 and len(filled) < 1.1 * sum(filled.values()) / 1024 + groups
+
+
+def test_ngrams_of_very_many_contexts_stay_apart():
+    """Contexts and words whose product does not fit 64 bits."""
+    context = np.array([20_000_000_001, 20_000_000_000, 20_000_000_000, 3, 1 << 36, 20_000_000_001], np.int64)
+    word = np.array([7, 7, 999_999_999, 1, 0, 7], np.int64)
+    for words in (10**9, 10):
+        order, new = LM._sorted_grams(context, np.minimum(word, words), words)
+        want = sorted(set(zip(context.tolist(), np.minimum(word, words).tolist(), strict=True)))
+        assert [(int(context[order[i]]), int(min(word[order[i]], words))) for i in new] == want
+    assert [len(x) for x in LM._sorted_grams(context[:0], word[:0], 5)] == [0, 0]
+
+
+def test_shards_in_memory_are_bounded(spark, docs, monkeypatch):
+    """Where shards can't be mapped, a worker holds a bounded number of bytes of them, and scores are the same."""
+    shape = LM.train_model(docs, F.lit(True))
+    texts = [r["text"] or "" for r in docs.limit(40).collect()]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    want = LM.score_tokens(shape, LM._tokens(shape, data, offsets))
+    read = LM.map_arrays
+    LM._levels.clear()
+    monkeypatch.setattr(LM, "map_arrays", lambda *a: {k: np.array(v) for k, v in read(*a).items()})
+    monkeypatch.setattr(LM, "HELD_BYTES", 200_000)
+    assert (LM.score_tokens(shape, LM._tokens(shape, data, offsets)) == want).all()
+    held = [s for _, s in LM._levels.values()]
+    assert sum(held) <= max(200_000, *held)
+    LM._levels.clear()
