@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..registry import operator
 from ..session import cut
 from .components import connected_components
+from .distance import distances
 from .neighbours import RING, around, spaced
 from .pixels import KEY, size_of
 from .stencils import box_mean, dilate, erode, gaussian_blur, morphology
@@ -238,15 +239,6 @@ def axis_calibration(points: DataFrame, x_px: tuple[float, float], x_values: tup
     return points.withColumns({"x_value": x, "y_value": y_values[0] + part("y", y_px) * (y_values[1] - y_values[0])})
 
 
-def distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each pixel of a the distance to the nearest pixel of b in its raster. b's pixels are reduced to one place per row and side of each column first: the nearest in each row is beside the column, so a pixel meets at most two places per row."""
-    rows = b.select("raster_id", F.col("y").alias("_y"), F.col("x").alias("_x")).distinct()
-    xs = rows.groupBy("raster_id", "_y").agg(F.array_sort(F.collect_set("_x")).alias("_xs"))
-    gap = F.array_min(F.transform("_xs", lambda p: F.abs(p - F.col("x"))))
-    d = a.select(*KEY).join(xs, "raster_id").select(*KEY, (F.pow(F.col("y") - F.col("_y"), F.lit(2)) + F.pow(gap, F.lit(2))).alias("_d"))
-    return d.groupBy(*KEY).agg(F.sqrt(F.min("_d")).alias("distance"))
-
-
 @operator("feat_distance_transform")
 def distance_transform(mask: DataFrame) -> DataFrame:
     """Euclidean distance of set pixels to the nearest unset one; 0 where unset, null in rasters without one."""
