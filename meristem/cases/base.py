@@ -39,6 +39,12 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("raster_id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), v.alias("v"))
 
 
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey rasters of 64 x 64, each of 64 embeddings' rasters in rows of eight."""
+    n = F.col("raster_id") % 64
+    return gray(spark, sf_dir).select(F.floor(F.col("raster_id") / 64).alias("raster_id"), (F.floor(n / 8) * 8 + F.col("y")).cast("int").alias("y"), ((n % 8) * 8 + F.col("x")).cast("int").alias("x"), "v")
+
+
 def colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     return gray(spark, sf_dir).select("raster_id", "y", "x", v.alias("b"), ((v * 3) % 256).alias("g"), ((v * 7 + 13) % 256).alias("r"))

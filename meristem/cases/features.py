@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators import keypoints as N
 from ..operators import labels as L
 from ..operators import pixels as P
-from .base import FRAMES, GRAY, MASK, case, frames, gray, mask, r6
+from .base import FRAMES, GRAY, MASK, case, frames, gray, mask, mosaic, r6
 from .rasters import _OTSU
 from .raster_sql import BOX, cells, components, gradients, near
 
@@ -120,6 +121,8 @@ def _shifts(rounds: int) -> str:
 
 
 case("cv_mean_shift", _shifts(3))(lambda spark, d: r6(X.mean_shift(gray(spark, d), 2, 30, 3), 4))
+case("feat_sift")(lambda spark, d: r6(N.sift(mosaic(spark, d), octaves=2, contrast=0.02, tile=32), 3))
+case("feat_orb")(lambda spark, d: r6(N.orb(mosaic(spark, d), 40, n_levels=3, threshold=15, tile=32), 3))
 case("cv_skeletonize")(lambda spark, d: X.skeletonize(mask(spark, d))[0])
 case("feat_skeleton")(lambda spark, d: r6(X.skeleton(mask(spark, d))[1]))
 case("feat_hough_circles")(lambda spark, d: X.hough_circles(gray(spark, d)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import keypoints as K
 from ..operators import learning as M
 from ..session import cut
 from .base import case, colour, mask, r6, table
@@ -100,6 +102,21 @@ def _matcher(spark, d):
     return r6(M.match_descriptors(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("d")), e.select(F.col("vec_id").alias("t"), F.col("embedding").alias("d")), 0.9, others=True))
 
 
+@case("feat_matcher_hamming", """with b as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int) as v from embeddings),
+  p as (select q.vec_id as q, t.vec_id as t, list_sum(list_transform(list_zip(q.v, t.v), lambda z: (z[1] <> z[2])::int)) as d from b q, b t where q.vec_id <> t.vec_id),
+  r as (select *, row_number() over (partition by q order by d, t) as r, lead(d) over (partition by q order by d, t) as d2 from p) select q, t, d::double as d1 from r where r = 1 and d < 0.9 * d2""")
+def _binary_matcher(spark, d):
+    """The signs of each vector's components against those of all others, by the number that differ."""
+    e = table(spark, d, "embeddings").select("vec_id", F.array(sign_bits("embedding")).alias("d"))
+    return K.match_binary(e.select(F.col("vec_id").alias("q"), "d"), e.select(F.col("vec_id").alias("t"), "d"), 0.9, others=True, longs=1)
+
+
+def sign_bits(vector: str) -> Column:
+    """64 components' signs as one long."""
+    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.transform(vector, bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
 @case("cv_kmeans_segmentation")
 def _segment(spark, d):
     return M.kmeans_segmentation(colour(spark, d)).select("raster_id", "y", "x", "label")
