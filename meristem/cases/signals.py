@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import signals as S
+from ..operators import tracking as T
 from .base import FRAMES, case, events, frames, r6, table
 
 ARGS = ("value", "event_id", ["user_id"])
@@ -171,7 +172,7 @@ def _evm_motion(spark, d):
 def _track(spark, d):
     e = events(spark, d)
     b = e.select((F.col("user_id") % 10).alias("stream"), F.floor(F.col("event_id") / 200).alias("tick"), F.col("event_id").alias("box_id"), (F.col("event_id") % 7 / 7).alias("xmin"), (F.col("user_id") % 5 / 5).alias("ymin"), F.lit(0.1).alias("width"), F.lit(0.1).alias("height"))
-    return S.track_boxes(b.groupBy("stream", "tick", "xmin", "ymin", "width", "height").agg(F.min("box_id").alias("box_id")).select(*b.columns))
+    return r6(T.track_boxes(b.groupBy("stream", "tick", "xmin", "ymin", "width", "height").agg(F.min("box_id").alias("box_id")).select(*b.columns), iou_threshold=0.1))
 
 
 @case("tracker_visualize", "select user_id % 10 as stream, event_type as track_id, event_id as tick, value + 0.5 as cx, 1.5::double as cy from events qualify row_number() over (partition by user_id % 10, event_type order by event_id desc) <= 4")

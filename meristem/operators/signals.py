@@ -325,34 +325,6 @@ def raster_noise(raster: DataFrame, sigma_abs: float = 1.0, sigma_rel: float = 0
     return raster.withColumn("v", F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), v)) if clip else v)
 
 
-@operator("tracker_sort")
-def track_boxes(boxes: DataFrame, max_age: int = 3, min_hits: int = 1, iou_threshold: float = 0.3) -> DataFrame:
-    """boxes(stream, tick, box_id, xmin, ymin, width, height) to the same with track_id.
-
-    Each box follows the box of an earlier tick, at most max_age ago, with which it overlaps most, if
-    both choose each other: an interval join on ticks and mutual best overlap in windows. Tracks are
-    the chains of such links, named by their first box; those of fewer than min_hits boxes are dropped.
-    """
-    from .components import connected_components
-
-    b = boxes.withColumn("__id", F.xxhash64("stream", "tick", "box_id"))
-    gaps = F.explode(F.sequence(F.lit(1), F.lit(max_age))).alias("gap")
-    sides = ["__id", "stream", "tick", "xmin", "ymin", "width", "height"]
-    later = b.select(*sides, gaps).withColumn("tick", F.col("tick") - F.col("gap"))
-    earlier = b.select("stream", "tick", *[F.col(c).alias(f"_{c}") for c in ("__id", "xmin", "ymin", "width", "height")])
-    over = lambda p, s: F.greatest(F.lit(0.0), F.least(F.col(p) + F.col(s), F.col(f"_{p}") + F.col(f"_{s}")) - F.greatest(F.col(p), F.col(f"_{p}")))
-    inter = over("xmin", "width") * over("ymin", "height")
-    iou = inter / (F.col("width") * F.col("height") + F.col("_width") * F.col("_height") - inter)
-    pairs = later.join(earlier, ["stream", "tick"]).withColumn("iou", iou).where(F.col("iou") >= iou_threshold)
-    best = lambda c, other: F.row_number().over(Window.partitionBy(c).orderBy("gap", F.desc("iou"), other))
-    links = pairs.withColumn("r1", best("__id", "___id")).withColumn("r2", best("___id", "__id")).where("r1 = 1 and r2 = 1")
-    tracks = connected_components(links.select(F.col("__id").alias("a"), F.col("___id").alias("b")))
-    named = b.join(tracks.withColumnRenamed("id", "__id"), "__id", "left").withColumn("__c", F.coalesce("component", "__id"))
-    first = Window.partitionBy("__c")
-    out = named.withColumn("track_id", F.min(F.struct("tick", "box_id")).over(first)).withColumn("__n", F.count("*").over(first))
-    return out.where(F.col("__n") >= min_hits).select(*boxes.columns, F.concat_ws(":", F.col("track_id.tick").cast("string"), F.col("track_id.box_id").cast("string")).alias("track_id"))
-
-
 @operator("tracker_visualize")
 def track_trails(tracks: DataFrame, trail_length: int = 30) -> DataFrame:
     """The last centres of each track."""
