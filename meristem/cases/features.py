@@ -11,6 +11,8 @@ from ..operators import features as X
 from ..operators import keypoints as N
 from ..operators import labels as L
 from ..operators import pixels as P
+from ..operators import prints as R
+from ..operators import segmentation as S
 from .base import FRAMES, GRAY, MASK, case, frames, gray, mask, mosaic, r6
 from .rasters import _OTSU
 from .raster_sql import BOX, cells, components, gradients, near
@@ -123,11 +125,57 @@ def _shifts(rounds: int) -> str:
 case("cv_mean_shift", _shifts(3))(lambda spark, d: r6(X.mean_shift(gray(spark, d), 2, 30, 3), 4))
 case("feat_sift")(lambda spark, d: r6(N.sift(mosaic(spark, d), octaves=2, contrast=0.02, tile=32), 3))
 case("feat_orb")(lambda spark, d: r6(N.orb(mosaic(spark, d), 40, n_levels=3, threshold=15, tile=32), 3))
+case("feat_active_contour")(lambda spark, d: S.active_contour(mosaic(spark, d), mosaic(spark, d).withColumn("v", F.when(F.hypot(F.col("y") - 32, F.col("x") - 32) < 14, 255.0).otherwise(0.0)), iterations=12, pre_blur=1.0))
+case("feat_grabcut")(lambda spark, d: S.grabcut(_coloured(mosaic(spark, d)), mosaic(spark, d).withColumn("v", F.when(F.hypot(F.col("y") - 32, F.col("x") - 32) < 4, 1).when(F.hypot(F.col("y") - 32, F.col("x") - 32) < 20, 3).otherwise(0)), 1))
 case("cv_skeletonize")(lambda spark, d: X.skeletonize(mask(spark, d))[0])
 case("feat_skeleton")(lambda spark, d: r6(X.skeleton(mask(spark, d))[1]))
 case("feat_hough_circles")(lambda spark, d: X.hough_circles(gray(spark, d)))
 
 
+def _coloured(df):
+    v = F.col("v")
+    return df.select("raster_id", "y", "x", v.alias("b"), ((v * 3) % 256).alias("g"), ((v * 7 + 13) % 256).alias("r"))
+
+
+_BAR = f"""with {GRAY}, s as (select raster_id, y, x, dark, case when dark = 1 then 255 - v else v end as v from gray, (values (0), (1)) as k(dark)),
+  c as (select a.raster_id, a.dark, a.y, a.x from s a left join s u on u.raster_id = a.raster_id and u.dark = a.dark and u.x = a.x and u.y = a.y - 2 left join s l on l.raster_id = a.raster_id and l.dark = a.dark and l.x = a.x and l.y = a.y + 2 where greatest(coalesce(a.v - u.v, 0), coalesce(a.v - l.v, 0)) >= 25),
+  g as (select *, x - row_number() over (partition by raster_id, dark, y order by x) as k from c), n as (select raster_id, dark, y, min(x) as x0, max(x) as x1 from g group by raster_id, dark, y, k having count(*) >= 3)
+  select raster_id, dark, y, x0, x1 from n"""
+
+
+@case("sci_scale_bar_runs", _BAR)
+def _bar_runs(spark, d):
+    """What bars are made of: runs of three pixels or more that stand out from the rows two above or below."""
+    return R.stand_out(gray(spark, d), F.lit(2), 3).select("raster_id", "dark", "y", "x0", "x1")
+
+
+@case("sci_scale_bar_detect")
+def _bars(spark, d):
+    """Rasters of 64 x 64 with a bar of their own length, dark in every other one."""
+    m = mosaic(spark, d)
+    bar = (F.col("y").between(40, 41)) & F.col("x").between(4, 34 + F.col("raster_id") % 20)
+    return r6(R.scale_bar(m.withColumn("v", F.when(bar, F.when(F.col("raster_id") % 2 == 0, 255.0).otherwise(0.0)).otherwise(F.col("v"))), 2.0, "um"))
+
+
+@case("forensic_footprint", """with """ + MASK + """, p as (select m.raster_id, m.y, m.x, g.v as p from mask m join gray g using (raster_id, y, x) where m.v > 127),
+  e1 as (select raster_id, max(x) - min(x) > max(y) - min(y) as lying from p group by 1),
+  t1 as (select raster_id, case when lying then x else y end as y, case when lying then 7 - y else x end as x, p from p join e1 using (raster_id)),
+  b1 as (select raster_id, min(y) as y0, max(y) as y1 from t1 group by 1), c1 as (select raster_id, y from (select raster_id, y, count(*) as n from t1 group by 1, 2) qualify row_number() over (partition by raster_id order by n desc, y) = 1),
+  t2 as (select raster_id, case when c1.y - y0 > (y1 - y0 + 1) / 2.0 then 7 - t1.y else t1.y end as y, case when c1.y - y0 > (y1 - y0 + 1) / 2.0 then 7 - t1.x else t1.x end as x, p from t1 join b1 using (raster_id) join c1 using (raster_id)),
+  b as (select raster_id, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1, greatest(1, max(y) - min(y)) as fh, greatest(1, max(x) - min(x)) as fw from t2 group by 1),
+  z as (select t2.*, b.* exclude (raster_id), case when x >= x1 then null when y >= y0 + 3 * fh // 4 then case when y < y1 then 3 end when y >= y0 + 2 * fh // 4 then 2 when y >= y0 + fh // 4 then 1 else 0 end as zone from t2 join b using (raster_id)),
+  a as (select raster_id, any_value(y0) as y0, any_value(x0) as x0, any_value(fh) as fh, any_value(fw) as fw, count(*) as total, count(*) filter (zone = 0) as toes, count(*) filter (zone = 1) as forefoot, count(*) filter (zone = 2) as arch, count(*) filter (zone = 3) as heel,
+    count(*) filter (x < (x0 + x1) // 2) as l, count(*) filter (x >= (x0 + x1) // 2 and x < x1) as r, floor(sum(p * x) / sum(p) + 0.5) as cx, floor(sum(p * y) / sum(p) + 0.5) as cy from z group by 1),
+  w as (select raster_id, zone, across from (select raster_id, zone, y, count(*) as n, max(x) - min(x) as across from z where zone is not null group by 1, 2, 3) qualify row_number() over (partition by raster_id, zone order by n desc, y) = 1),
+  v as (select raster_id, max(across) filter (zone = 1) as forefoot_width_px, max(across) filter (zone = 3) as heel_width_px from w group by 1),
+  s as (select *, floor(arch / greatest(1, forefoot + arch) * 1000 + 0.5) / 1000 as staheli from a left join v using (raster_id))
+  select raster_id, floor(1000 * toes / total + 0.5) / 10 as toes_area_pct, floor(1000 * forefoot / total + 0.5) / 10 as forefoot_area_pct, floor(1000 * arch / total + 0.5) / 10 as arch_area_pct, floor(1000 * heel / total + 0.5) / 10 as heel_area_pct, staheli,
+    case when staheli < 0.21 then 'Cavus' when staheli < 0.26 then 'Normal' else 'Flat' end as arch_type, floor(abs(l - r) / greatest(l + r, 1) * 1000 + 0.5) / 1000 as asymmetry, floor(1000 * (cx - x0) / fw + 0.5) / 10 as centroid_x_pct, floor(1000 * (cy - y0) / fh + 0.5) / 10 as centroid_y_pct,
+    total as total_area_px, forefoot_width_px, heel_width_px, case when forefoot_width_px > 0 then floor(coalesce(heel_width_px, 0) / forefoot_width_px * 1000 + 0.5) / 1000 end as heel_forefoot_ratio from s""")
+def _footprints(spark, d):
+    return r6(R.footprint(mask(spark, d).join(gray(spark, d).withColumnRenamed("v", "p"), ["raster_id", "y", "x"])))
+
+
 @case("cv_ransac")
 def _matches(spark, d):
     """Pixels matched with their places under one map, but for dark ones, which are matched elsewhere."""

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 @dataclass
@@ -38,7 +40,7 @@ def by_tiles(df: DataFrame, columns: list[str], compute: Callable[[Tile], dict[s
     dealt = df.select("raster_id", "y", "x", *[F.col(c).cast("double").alias(c) for c in columns], reach("y").alias("_ty")).withColumn("_tx", reach("x"))
     kind = df.schema["raster_id"].dataType.simpleString()
     out = f"raster_id {kind}, {schema}"
-    fields = [f.strip().split(" ")[0] for f in _split(schema)]
+    types = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
@@ -50,18 +52,9 @@ def by_tiles(df: DataFrame, columns: list[str], compute: Callable[[Tile], dict[s
             planes[c] = np.zeros(shape)
             planes[c][y - y0, x - x0] = table.column(c).to_numpy()
         found = compute(Tile(y0, x0, ty * tile, (ty + 1) * tile, tx * tile, (tx + 1) * tile, planes))
-        n = len(found[fields[0]])
-        return pa.table({"raster_id": pa.array([key[0].as_py()] * n, table.column("raster_id").type), **{c: found[c] for c in fields}})
+        n = len(found[types.names[0]])
+        cast = {f.name: found[f.name] if isinstance(found[f.name], pa.Array) else pa.array(found[f.name]).cast(f.type) for f in types}
+        return pa.table({"raster_id": pa.array([key[0].as_py()] * n, table.column("raster_id").type), **cast})
 
     return dealt.groupBy("raster_id", "_ty", "_tx").applyInArrow(run, out)
 
-
-def _split(schema: str) -> list[str]:
-    parts, depth = [""], 0
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            parts.append("")
-        else:
-            parts[-1] += c
-    return parts

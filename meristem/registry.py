@@ -37,7 +37,7 @@ def load_all() -> dict[str, Operator]:
     """Imports every module that registers operators."""
     from . import functions, operators, sources  # noqa: F401
     from .functions import collections, expressions, scalars  # noqa: F401
-    from .operators import features, geometry, graphics, keypoints, labels, learning, pixels, relational, signals, statistics, stencils, tracking, user_code  # noqa: F401
+    from .operators import features, geometry, graphics, keypoints, labels, learning, pixels, prints, relational, segmentation, signals, statistics, stencils, tracking, user_code  # noqa: F401
     from .sources import readers, writers  # noqa: F401
 
     return OPERATORS
