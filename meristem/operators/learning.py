@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import operator
+from ..session import cut
+from .trees import grow, importances, leaves_of, poisson
 
 
 def standardise(df: DataFrame, features: list[str]) -> DataFrame:
@@ -194,18 +196,46 @@ def _classified(model_of, train: DataFrame, test: DataFrame, features: list[str]
     return out.withColumn("prediction", F.get(names, F.col("__p").cast("int"))).select(*test.columns, "prediction"), model
 
 
+def _numbered(train: DataFrame, features: list[str], target: str) -> tuple[DataFrame, DataFrame]:
+    """(train rows with their class's number and features as one array, classes(y, name)); classes are numbered by name."""
+    d = train.where(F.col(target).isNotNull())
+    classes = cut(d.select(F.col(target).cast("string").alias("name")).distinct().withColumn("y", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")) - 1))
+    f = F.array(*[F.col(c).cast("double") for c in features]).alias("f")
+    return d.select(F.col(target).cast("string").alias("name"), f).join(F.broadcast(classes), "name").select("y", "f").where(F.forall("f", lambda x: x.isNotNull())), classes
+
+
 @operator("ml_decision_tree")
-def decision_tree(train: DataFrame, test: DataFrame, features: list[str], target: str, criterion: str = "gini", max_depth: int = 5, min_samples_leaf: int = 1, seed: int = 42) -> tuple[DataFrame, dict[str, float]]:
-    """(test rows with prediction, importances). Thresholds lie between quantile bins."""
-    out, m = _classified(lambda: DecisionTreeClassifier(featuresCol="__features", labelCol="__y", predictionCol="__p", impurity=criterion, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, seed=seed), train, test, features, target)
-    return out, dict(zip(features, m.featureImportances.toArray().tolist(), strict=True))
+def decision_tree(train: DataFrame, test: DataFrame, features: list[str], target: str, criterion: str = "gini", max_depth: int = 5, min_samples_leaf: int = 1, min_samples_split: int = 2) -> tuple[DataFrame, dict[str, float]]:
+    """(test rows with prediction, importances) of an exact tree: thresholds are midpoints between neighbouring values. Training rows with nulls are left out; a null test value goes right."""
+    rows, classes = _numbered(train, features, target)
+    trees = grow(rows.select(F.lit(0).alias("tree"), F.lit(1).alias("w"), "y", "f"), classes.count(), len(features), len(features), criterion, max_depth, min_samples_split, min_samples_leaf)
+    asked = test.select(F.struct("*").alias("row"), F.array(*[F.col(c).cast("double") for c in features]).alias("f"), F.lit(0).alias("tree"))
+    out = leaves_of(asked, trees, max_depth).join(F.broadcast(classes), F.col("prediction") == F.col("y")).select("row.*", F.col("name").alias("prediction"))
+    return out, importances(trees, features)
 
 
 @operator("ml_random_forest")
-def random_forest(train: DataFrame, test: DataFrame, features: list[str], target: str, n_estimators: int = 20, max_depth: int = 5, max_features: str = "sqrt", seed: int = 42) -> tuple[DataFrame, dict[str, float]]:
-    strategy = {"sqrt": "sqrt", "log2": "log2", "all": "all"}[max_features]
-    out, m = _classified(lambda: RandomForestClassifier(featuresCol="__features", labelCol="__y", predictionCol="__p", numTrees=n_estimators, maxDepth=max_depth, featureSubsetStrategy=strategy, seed=seed), train, test, features, target)
-    return out, dict(zip(features, m.featureImportances.toArray().tolist(), strict=True))
+def random_forest(train: DataFrame, test: DataFrame, features: list[str], target: str, n_estimators: int = 20, max_depth: int = 5, max_features: str = "sqrt", seed: int = 42) -> tuple[DataFrame, dict[str, float], float]:
+    """(test rows with prediction, importances, out-of-bag score). Trees vote with their leaves' class shares.
+
+    A row is in a tree's bag as often as a Poisson number of mean 1, drawn by hash of its values, says;
+    the out-of-bag score is the share of rows that the trees without them get right. All trees grow in
+    the same passes.
+    """
+    rows, classes = _numbered(train, features, target)
+    k, tried = classes.count(), {"sqrt": max(1, math.isqrt(len(features))), "log2": max(1, int(math.log2(len(features)))), "all": len(features)}[max_features]
+    rows = cut(rows.withColumn("id", F.monotonically_increasing_id()))
+    uniform = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    bags = rows.select("id", "y", "f", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree")).withColumn("w", poisson(uniform))
+    trees = cut(grow(bags, k, len(features), tried, max_depth=max_depth, seed=seed))
+    shares = [(F.sum(F.col(f"c{i}") / F.col("n"))).alias(f"v{i}") for i in range(k)]
+    winner = -F.array_max(F.array(*[F.struct(F.bround(F.col(f"v{i}"), 9).alias("v"), F.lit(-i).alias("i")) for i in range(k)]))["i"]
+    out_of_bag = leaves_of(bags.where("w = 0").select("id", F.col("y").alias("was"), "f", "tree"), trees, max_depth).groupBy("id", "was").agg(*shares)
+    score = out_of_bag.agg(F.avg((winner == F.col("was")).cast("double"))).first()[0] or 0.0
+    asked = cut(test.select(F.struct("*").alias("row"), F.array(*[F.col(c).cast("double") for c in features]).alias("f"), F.monotonically_increasing_id().alias("id")))
+    voted = leaves_of(asked.select("id", "f", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree")), trees, max_depth).groupBy("id").agg(*shares)
+    named = voted.select("id", winner.alias("y")).join(F.broadcast(classes), "y")
+    return asked.join(named, "id").select("row.*", F.col("name").alias("prediction")), importances(trees, features), score
 
 
 def fourier_features(df: DataFrame, features: list[str], gamma: float, n: int, seed: int) -> tuple[DataFrame, list[str]]:

@@ -165,7 +165,6 @@ def test_scale_bars(spark):
     dark = rng.integers(60, 256, (80, 120)).astype(float)  # uneven, so that no rows beside the bar pass for a bright one
     dark[46:56, [4, 50]] = 100  # its ends
     dark[50:52, 5:50] = 5
-    none[10:40, 10:90] = 250
     got = {r["raster_id"]: r for r in P.scale_bar(raster(spark, [bright, dark, none]), 2.0, "um", fallback_px_per_mm=7.0).collect()}
     assert [got[0][c] for c in ("x", "y", "w", "h", "dark", "px_per_mm")] == [20, 60, 60, 3, False, 60 / 0.002]
     assert [got[1][c] for c in ("x", "y", "w", "h", "dark", "px_per_mm")] == [5, 50, 45, 2, True, 45 / 0.002]
