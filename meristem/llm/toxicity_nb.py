@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct hashed n-grams of words with their boundaries. Their log-count ratios come
-from document counts over the labelled rows, at most about FIT_ROWS ids drawn by hash. The STRONG
-features whose ratios tell the classes apart best get logistic weights on their scaled values, fitted
+from document counts over the labelled rows, at most about FIT_ROWS ids drawn by hash. All
+features that more than one labelled document has get logistic weights on their scaled values, fitted
 on the SAMPLE_ROWS labelled rows with the smallest hashes.
 """
 
@@ -22,7 +22,7 @@ from ._session import extended
 BITS = 18
 BUCKETS = 1 << BITS
 ORDERS = (4, 5, 6)
-STRONG, SAMPLE_ROWS = 1 << 15, 4000
+SAMPLE_ROWS = 4000
 _U = np.uint64
 
 
@@ -72,13 +72,6 @@ def log_count_ratio(positive: np.ndarray, negative: np.ndarray, alpha: float = 0
     return ratio
 
 
-def strongest(positive: np.ndarray, negative: np.ndarray, ratio: np.ndarray, most: int = STRONG) -> np.ndarray:
-    """Rising buckets of the features with a ratio over 0.7 either way; if they are more than most, those with the largest ratios times the root of their document counts (ties: the smaller bucket)."""
-    live = np.flatnonzero(np.abs(ratio) > 0.7)
-    strength = np.abs(ratio[live]) * np.sqrt((positive + negative)[live])
-    return np.sort(live[np.lexsort((live, -strength))[:most]])
-
-
 def fit_weights(features: list[np.ndarray], counts: np.ndarray, scale: np.ndarray, l2: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights on the scaled features and an intercept, by accelerated gradient steps on the class-balanced logistic loss.
 
@@ -91,7 +84,7 @@ def fit_weights(features: list[np.ndarray], counts: np.ndarray, scale: np.ndarra
     weight = counts * (0.5 / total)
     size = np.array([len(f) for f in features])
     full = np.flatnonzero(size)
-    cols = np.concatenate(features) if len(full) else np.zeros(0, np.uint16)
+    cols = np.concatenate(features) if len(full) else np.zeros(0, np.int32)
     starts = np.concatenate(([0], np.cumsum(size[full])[:-1])) if len(full) else np.zeros(0, np.int64)
     norm = np.ones(len(features))
     norm[full] = np.sqrt(np.maximum(np.add.reduceat((scale * scale)[cols], starts), 1e-9)) if len(full) else 1
@@ -151,7 +144,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: s
     drawn = drawn_labels(labels, "toxic", fit_rows).persist()  # at most about fit_rows rows
     total = document_counts(labelled_rows(rows, drawn, train, id_col, F.col("_text")))
     ratio = log_count_ratio(total[1], total[0])
-    strong = strongest(total[1, :-1], total[0, :-1], ratio)
+    strong = np.flatnonzero(ratio)
     index = np.full(BUCKETS, -1, np.int32)
     index[strong] = np.arange(len(strong))
     scale = ratio[strong]
@@ -169,9 +162,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: s
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(bounds), pa.array(code.astype(np.int32)))], names=["n0", "n1", "id", "f"])
 
     kind = rows.schema[0].dataType.simpleString()
-    sample = some.mapInArrow(chosen, f"n0 long, n1 long, id {kind}, f array<int>").orderBy(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)), "id", "n0", "f").limit(SAMPLE_ROWS).collect()
-    features = [np.array(r["f"], np.uint16) for r in sample]  # SAMPLE_ROWS rows of STRONG two-byte numbers at most
-    weights, bias = fit_weights(features, np.array([(r["n0"], r["n1"]) for r in sample], float).reshape(-1, 2), scale)
+    sample = some.mapInArrow(chosen, f"n0 long, n1 long, id {kind}, f array<int>").orderBy(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)), "id", "n0", "f").limit(SAMPLE_ROWS).select("n0", "n1", "f").toArrow()  # SAMPLE_ROWS rows, of BUCKETS numbers each at most
+    features = [f.values.to_numpy() for f in sample.column("f")]
+    weights, bias = fit_weights(features, np.stack([sample.column(c).to_numpy() for c in ("n0", "n1")], axis=1).astype(float), scale)
     drawn.unpersist()
     linear, square = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     linear[strong], square[strong] = weights * scale, scale * scale
