@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keypoints as K
 from ..operators import learning as M
+from ..operators.silhouettes import silhouette
 from ..session import cut
 from .base import case, colour, mask, r6, table
 
@@ -60,6 +61,12 @@ _CENTRE = ", ".join(f"avg(f{i}) as c{i}" for i in range(DIMS))
 _OWN = "sqrt(" + " + ".join(f"power(f{i} - c{i}, 2)" for i in range(DIMS)) + ")"
 
 
+@case("ml_kmeans_silhouette", f"with {VECTORS}, p as (select a.vec_id, a.label, b.label as other, sqrt({' + '.join(f'power(a.f{i} - b.f{i}, 2)' for i in range(DIMS))}) as d from v a join v b on a.vec_id <> b.vec_id), m as (select vec_id, label, other, avg(d) as m from p group by 1, 2, 3), s as (select vec_id, max(m) filter (label = other) as a, min(m) filter (label <> other) as b from m group by 1) select round(avg((b - a) / greatest(a, b)), 6) as silhouette, count(*) as n from s")
+def _silhouette(spark, d):
+    """Of the embeddings' own labels."""
+    return r6(silhouette(vectors(spark, d), FEATURES, "label"))
+
+
 @case("ml_cluster_validity", f"with {VECTORS}, c as (select label, count(*) as n, {_CENTRE} from v group by 1), g as (select {', '.join(f'avg(f{i}) as g{i}' for i in range(DIMS))} from v), w as (select label, sum(power({_OWN}, 2)) as w, avg({_OWN}) as s, max({_OWN}) as m from v join c using (label) group by 1), p as (select a.label, max((wa.s + wb.s) / d) as r, min(d) as least from (select a.label, b.label as o, sqrt({' + '.join(f'power(a.c{i} - b.c{i}, 2)' for i in range(DIMS))}) as d from c a join c b on a.label <> b.label) a join w wa on wa.label = a.label join w wb on wb.label = a.o group by 1) select round(sum(n * ({' + '.join(f'power(c{i} - g{i}, 2)' for i in range(DIMS))})) / (count(*) - 1) / (sum(w.w) / (sum(n) - count(*))), 4) as calinski_harabasz, round(avg(r), 4) as davies_bouldin, round(min(least) / (2 * max(w.m)), 4) as dunn from c join w using (label) join p using (label), g")
 def _validity(spark, d):
     return r6(M.cluster_validity(vectors(spark, d), "label", FEATURES), 4)

@@ -61,6 +61,14 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, standardized: bool =
     return best.transform(raw).withColumn("cluster", place[F.col("__c")]).drop("__features", "__c"), best.summary.trainingCost
 
 
+def elbow(df: DataFrame, features: list[str], k_max: int = 10, standardized: bool = True, seed: int = 42) -> DataFrame:
+    """(k, inertia) for k = 1 .. k_max; one cluster's is the spread around the mean."""
+    d = standardise(df, features) if standardized else df
+    one = d.agg(F.lit(1).alias("k"), sum((F.var_pop(f) * F.count(f) for f in features), F.lit(0.0)).alias("inertia"))
+    rest = [(k, float(kmeans(df, features, k, standardized, seed)[1])) for k in range(2, k_max + 1)]
+    return one.unionByName(df.sparkSession.createDataFrame(rest, "k int, inertia double")) if rest else one
+
+
 @operator("ml_pca")
 def pca(df: DataFrame, features: list[str], n: int = 2, standardized: bool = True) -> tuple[DataFrame, list[float]]:
     """(rows with PC1..PCn, explained shares in percent); each component's largest loading is positive."""

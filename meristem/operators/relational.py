@@ -13,6 +13,8 @@ from pyspark.sql.types import NumericType
 from ..functions.expressions import compile_expression
 from ..registry import operator
 from ..session import cut
+from .concordance import kendall
+from .pieces import filled, numbered
 
 
 def resolve(df: DataFrame, name: str) -> str:
@@ -126,10 +128,7 @@ def fill_missing(df: DataFrame, strategy: str = "constant", value: float | str =
     if strategy == "constant":
         return df.na.fill(value, subset=names)
     if strategy in ("ffill", "bfill"):
-        w = Window.orderBy(*[column(df, c) for c in order])
-        w = w.rowsBetween(Window.unboundedPreceding, 0) if strategy == "ffill" else w.rowsBetween(0, Window.unboundedFollowing)
-        pick = F.last if strategy == "ffill" else F.first
-        return df.withColumns({n: pick(column(df, n), ignorenulls=True).over(w) for n in names})
+        return filled(df, names, [column(df, c) for c in order], strategy == "ffill")
     form = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, deterministic=True)}[strategy]
     whole = df.agg(*[form(column(df, n)).alias(f"__{n}") for n in names])  # one row
     return df.crossJoin(F.broadcast(whole)).withColumns({n: F.coalesce(column(df, n), F.col(f"`__{n}`")) for n in names}).drop(*[f"__{n}" for n in names])
@@ -287,21 +286,9 @@ def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> D
 
 
 def _kendall(rows: DataFrame, names: list[str]) -> DataFrame:
-    """tau-b over distinct value pairs with counts, so the pair count follows the distinct values and not the rows."""
-    out = None
-    for a in names:
-        for b in names:
-            if a >= b:
-                continue
-            cells = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("n"))
-            other = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-            sign = F.signum(F.col("x") - F.col("x2")) * F.signum(F.col("y") - F.col("y2"))
-            w = F.col("n") * F.col("n2")
-            sums = cells.join(other, F.col("x") != F.col("x2")).agg(F.sum(w * sign).alias("s"), F.sum(w).alias("nx"))
-            ny = cells.groupBy("y").agg(F.sum("n").alias("n")).agg((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("ny"))
-            one = sums.crossJoin(ny).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.bround(F.col("s") / F.sqrt(F.col("nx") * F.col("ny")), 4).alias("r"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    rows = cut(rows)
+    found = [(a, b, kendall(rows, a, b)) for a in names for b in names if a < b]
+    return rows.sparkSession.createDataFrame(found, "a string, b string, r double").withColumn("r", F.bround("r", 4))
 
 
 @operator("ml_histogram")
@@ -333,9 +320,9 @@ def scatter_data(df: DataFrame, x: str, y: str, hue: str | None = None, max_poin
     """Complete (x, y, hue) rows, every k-th in order so that at most max_points stay, with the least-squares line through all of them."""
     rows = df.select(column(df, x).cast("double").alias("x"), column(df, y).cast("double").alias("y"), *([column(df, hue).alias("hue")] if hue else []), *[F.col(o).alias(f"__{o}") for o in order or []]).where("x is not null and y is not null")
     line = rows.agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    numbered = rows.withColumn("__i", F.row_number().over(Window.orderBy(*[f"__{o}" for o in order])) - 1 if order else F.monotonically_increasing_id())
+    placed = numbered(rows, [F.col(f"__{o}") for o in order], "__i") if order else rows.withColumn("__i", F.monotonically_increasing_id())
     stride = F.greatest(F.lit(1), F.ceil(F.col("n") / max_points))
-    return numbered.crossJoin(F.broadcast(line)).where(F.col("__i") % stride == 0).select("x", "y", *(["hue"] if hue else []), "slope", "intercept")
+    return placed.crossJoin(F.broadcast(line)).where(F.col("__i") % stride == 0).select("x", "y", *(["hue"] if hue else []), "slope", "intercept")
 
 
 @operator("ml_bar_chart")
