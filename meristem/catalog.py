@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .cases import base
-from .cases import features, learning, rasters, scalars, signals, tables  # noqa: F401
+from .cases import features, learning, rasters, scalars, signals, storage, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -149,16 +149,19 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 @operator("input_movie", "source")
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of numbered frame images as pixels with frame (from 0, by file name) and total_frames."""
-    px = read_images(spark, path)
-    names = spark.read.format("binaryFile").load(path).select(F.col("path").alias("raster_id")).distinct()
-    number = names.select("raster_id", F.regexp_extract("raster_id", r"(\d+)\D*$", 1).cast("int").alias("frame"), F.lit(names.count()).alias("total_frames"))
-    return px.join(F.broadcast(number) if names.limit(10_001).count() <= 10_000 else number, "raster_id")
+    """A folder of numbered frame images as pixels (raster_id = path, frame, y, x, b, g, r) with total_frames; a partition is one frame."""
+    from . import datasources
+
+    return datasources.frames(spark, path).withColumn("total_frames", F.lit(len(datasources.FrameReader(path).partitions())))
 
 
 @operator("input_webcam", "source")
-def frame_stream(spark: SparkSession, rate: int = 5) -> DataFrame:
-    """A stream of ticks (tick, timestamp) that stands in for a live camera; join pixels to it by tick."""
+def frame_stream(spark: SparkSession, path: str | None = None, rate: int = 5) -> DataFrame:
+    """A stream of a camera's frames from the folder that it fills; without a folder, a stream of ticks (tick, timestamp) that stands in for one."""
+    from . import datasources
+
+    if path is not None:
+        return datasources.frame_stream(spark, path)
     return spark.readStream.format("rate").option("rowsPerSecond", rate).load().select(F.col("value").alias("tick"), "timestamp")
 
 
@@ -166,48 +169,9 @@ _TIFF_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
 _TIFF_CODE = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
 
 
-def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """Bands x height x width and the tags of a TIFF in strips, uncompressed or deflated."""
-    order = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack(order + "I", data[4:8])[0]
-    tags: dict = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-        size, where = _TIFF_SIZE.get(kind, 1) * n, at + 10 + 12 * i
-        where = where if size <= 4 else struct.unpack(order + "I", data[where : where + 4])[0]
-        if kind == 2:
-            tags[tag] = data[where : where + n].split(b"\0")[0].decode()
-        elif kind in _TIFF_CODE:
-            tags[tag] = list(struct.unpack(f"{order}{n}{_TIFF_CODE[kind]}", data[where : where + size]))
-    w, h, bands = tags[256][0], tags[257][0], tags.get(277, [1])[0]
-    bits, form = tags.get(258, [8])[0], tags.get(339, [1])[0]
-    strips = [data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True)]
-    if tags.get(259, [1])[0] in (8, 32946):
-        strips = [zlib.decompress(s) for s in strips]
-    elif tags.get(259, [1])[0] != 1:
-        raise ValueError("this compression is not supported")
-    kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[form]}{bits // 8}")
-    px = np.frombuffer(b"".join(strips), kind)
-    px = px.reshape(h, w, bands).transpose(2, 0, 1) if tags.get(284, [1])[0] == 1 else px.reshape(bands, h, w)
-    return px.astype(float), tags
-
-
 @operator("geo_geotiff_reader", "source")
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """GeoTIFF files to (raster_id, band, y, x, lon, lat, v); coordinates of pixel centres from the tie point and scale, no-data values null."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """GeoTIFF files in strips, uncompressed or deflated, to (raster_id, band, y, x, lon, lat, v); coordinates of pixel centres from the tie point and scale, no-data values null. A filter on y or band reads its strips alone."""
+    from . import datasources
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                px, tags = decode_tiff(data)
-                scale, tie = tags.get(33550, [1.0, 1.0, 0.0]), tags.get(33922, [0.0] * 6)
-                nodata = float(tags[42113]) if 42113 in tags else None
-                for band in range(len(px)):
-                    yy, xx = np.indices(px[band].shape)
-                    v = px[band].ravel()
-                    mask = np.isnan(v) | (v == nodata if nodata is not None else False)
-                    lon, lat = tie[3] + (xx.ravel() + 0.5 - tie[0]) * scale[0], tie[4] - (yy.ravel() + 0.5 - tie[1]) * scale[1]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(np.full(len(v), band, np.int32)), pa.array(yy.ravel().astype(np.int32)), pa.array(xx.ravel().astype(np.int32)), pa.array(lon), pa.array(lat), pa.array(v, mask=mask)], names=["raster_id", "band", "y", "x", "lon", "lat", "v"])
-
-    return files.mapInArrow(run, "raster_id string, band int, y int, x int, lon double, lat double, v double")
+    return datasources.geotiff(spark, path)
