@@ -185,7 +185,7 @@ px("sci_general_segmenter", L.general_segmenter, None)
 case("export_crops", f"with {GRAY} select raster_id, 1 as crop_id, y - 2 as y, x - 1 as x, v from gray where y between 2 and 4 and x between 1 and 6")(lambda spark, d: L.export_crops(gray(spark, d), gray(spark, d).select("raster_id").distinct().selectExpr("raster_id", "1 as crop_id", "2 as ymin", "4 as ymax", "1 as xmin", "6 as xmax")))
 case("sci_export_particles", LABELS + ", b as (select raster_id, label, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from labels where label > 0 group by 1, 2) select g.raster_id, b.label as crop_id, g.y - y0 as y, g.x - x0 as x, g.v from gray g join b on g.raster_id = b.raster_id and g.y between y0 and y1 and g.x between x0 and x1")(lambda spark, d: L.export_particles(gray(spark, d), _labels(spark, d)))
 case("merge_points", SQL["merge_points"])(lambda spark, d: r6(L.merge_points(mask(spark, d).where("v > 0").selectExpr("raster_id", "y * 8 + x as point_id", "x", "y"), 1.2)))
-case("sci_hist_compare", f"with {GRAY}, h as (select raster_id, floor(v * 16 / 256)::int as bin, count(*) / 64.0::double as p from gray group by 1, 2), i as (select raster_id, floor((255 - v) * 16 / 256)::int as bin, count(*) / 64.0::double as q from gray group by 1, 2) select raster_id, round(sum(coalesce(power(coalesce(p, 0) - coalesce(q, 0), 2) / nullif(coalesce(p, 0) + coalesce(q, 0), 0), 0)) / 2, 6) as distance from h full join i using (raster_id, bin) group by 1")(lambda spark, d: r6(A.histogram_distance(gray(spark, d), P.invert(gray(spark, d)), ["raster_id"], "chi2", 16)))
+case("sci_hist_compare", f"with {GRAY}, h as (select raster_id, floor(v * 16 / 256)::int as bin, count(*) / 64.0::double as p from gray group by 1, 2), i as (select raster_id, floor((255 - v) * 16 / 256)::int as bin, count(*) / 64.0::double as q from gray group by 1, 2) select raster_id, round(sum(coalesce(power(coalesce(p, 0) - coalesce(q, 0), 2) / nullif(coalesce(p, 0) + coalesce(q, 0), 0), 0) order by bin) / 2, 6) as distance from h full join i using (raster_id, bin) group by 1")(lambda spark, d: r6(A.histogram_distance(gray(spark, d), P.invert(gray(spark, d)), ["raster_id"], "chi2", 16)))
 
 # Geometry
 

@@ -6,9 +6,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..registry import operator
 from ..session import cut
+from . import kernels
 from .trees import grow, importances, leaves_of, poisson
 
 
@@ -194,16 +194,6 @@ def classification_report(df: DataFrame, target: str, prediction: str) -> DataFr
     return d.select("label", ratio(F.col("tp"), F.col("said")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("said") + F.col("support")).alias("f1"), "support")
 
 
-def _classified(model_of, train: DataFrame, test: DataFrame, features: list[str], target: str) -> tuple[DataFrame, object]:
-    index = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
-    ready = assembled(index.transform(train), features).persist()  # every iteration reads it
-    model = model_of().fit(ready)
-    ready.unpersist()
-    names = F.array(*[F.lit(x) for x in index.labels])
-    out = model.transform(assembled(test, features))
-    return out.withColumn("prediction", F.get(names, F.col("__p").cast("int"))).select(*test.columns, "prediction"), model
-
-
 def _numbered(train: DataFrame, features: list[str], target: str) -> tuple[DataFrame, DataFrame]:
     """(train rows with their class's number and features as one array, classes(y, name)); classes are numbered by name."""
     d = train.where(F.col(target).isNotNull())
@@ -246,26 +236,25 @@ def random_forest(train: DataFrame, test: DataFrame, features: list[str], target
     return asked.join(named, "id").select("row.*", F.col("name").alias("prediction")), importances(trees, features), score
 
 
-def fourier_features(df: DataFrame, features: list[str], gamma: float, n: int, seed: int) -> tuple[DataFrame, list[str]]:
-    """Random cosine features whose products approximate an RBF kernel."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, math.sqrt(2 * gamma), (n, len(features))), rng.uniform(0, 2 * math.pi, n)
-    dot = lambda i: sum((F.col(f) * float(w[i, j]) for j, f in enumerate(features)), F.lit(float(b[i])))
-    return df.withColumns({f"__rff_{i}": F.cos(dot(i)) * math.sqrt(2 / n) for i in range(n)}), [f"__rff_{i}" for i in range(n)]
-
-
 @operator("ml_svm_classifier")
-def svm(train: DataFrame, test: DataFrame, features: list[str], target: str, kernel: str = "linear", c: float = 1.0, gamma: float | None = None, max_iter: int = 10, seed: int = 42) -> DataFrame:
-    """test rows with prediction: linear machines, one against the rest; an RBF kernel by random Fourier features."""
-    if kernel == "rbf":
-        gamma = 1 / len(features) if gamma is None else gamma
-        (tr, names), (te, _) = fourier_features(train, features, gamma, 64, seed), fourier_features(test, features, gamma, 64, seed)
-    elif kernel == "linear":
-        tr, te, names = train, test, features
-    else:
-        raise ValueError("kernel is linear or rbf")
-    svc = lambda: OneVsRest(classifier=LinearSVC(regParam=1 / max(c, 1e-9) / 100, maxIter=max_iter, aggregationDepth=2), featuresCol="__features", labelCol="__y", predictionCol="__p")
-    return _classified(svc, tr, te, names, target)[0].drop(*[n for n in names if n.startswith("__rff_")])
+def svm(train: DataFrame, test: DataFrame, features: list[str], target: str, kernel: str = "rbf", c: float = 1.0, gamma: float | None = None, degree: int = 3, coef0: float = 0.0, tolerance: float = 1e-3) -> DataFrame:
+    """test rows with prediction by kernel machines (linear, rbf, poly, sigmoid), one for each pair of classes.
+
+    gamma is by default one by the number of features times the variance of all their values. Training
+    rows with a null are left out, and with one class all rows are of it.
+    """
+    if kernel not in ("linear", "rbf", "poly", "sigmoid"):
+        raise ValueError("kernel is linear, rbf, poly or sigmoid")
+    v = F.array(*[F.col(f).cast("double") for f in features])
+    rows = cut(train.select(F.col(target).cast("string").alias("y"), v.alias("v")).where(F.col("y").isNotNull() & F.forall("v", lambda x: x.isNotNull())))
+    if gamma is None:
+        spread = rows.select(F.explode("v").alias("x")).agg(F.var_pop("x")).first()[0]
+        gamma = 1 / (len(features) * spread) if spread else 1.0
+    classes = [r["y"] for r in rows.select("y").distinct().limit(2).collect()]
+    if len(classes) < 2:
+        return test.withColumn("prediction", F.lit(classes[0] if classes else None).cast("string"))
+    shape = (kernel, gamma, degree, coef0)
+    return kernels.classified(test, v, kernels.machines(rows, c, shape, tolerance), shape)
 
 
 @operator("ml_robust_line")

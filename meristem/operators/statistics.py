@@ -165,6 +165,11 @@ def best_params(history: DataFrame, weights: dict[str, float], by: list[str] = [
     return history.withColumn("score", score).groupBy(*by).agg(F.max_by("step", F.struct("score", -F.col("step"))).alias("best_step"), F.max("score").alias("best_score"))
 
 
+def _in_order(term: Column) -> Column:
+    """A sum over few bins in the order of the bins, so that it rounds the same whatever the tasks."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct("bin", term.alias("t")))), F.lit(0.0), lambda s, x: s + x["t"])
+
+
 @operator("sci_hist_compare")
 def histogram_distance(a: DataFrame, b: DataFrame, by: list[str], metric: str = "bhattacharyya", bins: int = 32, top: float = 256.0) -> DataFrame:
     """Distance of two tables' normalised histograms of v in [0, top): bhattacharyya (at most 5), chi2, wasserstein (mean difference of the running sums) or correlation ((1 - r) / 2)."""
@@ -174,9 +179,9 @@ def histogram_distance(a: DataFrame, b: DataFrame, by: list[str], metric: str =
 
     full = hist(a, "p").join(hist(b, "q"), [*by, "bin"], "outer").fillna(0.0, ["p", "q"])
     if metric == "bhattacharyya":
-        value = F.least(F.lit(5.0), -F.log(F.greatest(F.sum(F.sqrt(F.col("p") * F.col("q") + 1e-8)), F.lit(1e-8))))
+        value = F.least(F.lit(5.0), -F.log(F.greatest(_in_order(F.sqrt(F.col("p") * F.col("q") + 1e-8)), F.lit(1e-8))))
     elif metric == "chi2":
-        value = F.sum(F.coalesce(F.try_divide(F.pow(F.col("p") - F.col("q"), F.lit(2)), F.col("p") + F.col("q")), F.lit(0.0))) / 2
+        value = _in_order(F.coalesce(F.try_divide(F.pow(F.col("p") - F.col("q"), F.lit(2)), F.col("p") + F.col("q")), F.lit(0.0))) / 2
     elif metric == "wasserstein":
         grid = full.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
         full = grid.join(full, [*by, "bin"], "left").fillna(0.0, ["p", "q"]).withColumn("d", F.sum(F.col("p") - F.col("q")).over(Window.partitionBy(*by).orderBy("bin")))
