@@ -123,6 +123,7 @@ def _shifts(rounds: int) -> str:
 
 
 case("cv_mean_shift", _shifts(3))(lambda spark, d: r6(X.mean_shift(gray(spark, d), 2, 30, 3), 4))
+case("cv_directional_dilate_oriented")(lambda spark, d: X.oriented_dilate(mosaic(spark, d).withColumn("v", F.when(F.col("v") > 150, 255.0).otherwise(0.0)), 7))
 case("feat_sift")(lambda spark, d: r6(N.sift(mosaic(spark, d), octaves=2, contrast=0.02, tile=32), 3))
 case("feat_orb")(lambda spark, d: r6(N.orb(mosaic(spark, d), 40, n_levels=3, threshold=15, tile=32), 3))
 case("feat_active_contour")(lambda spark, d: S.active_contour(mosaic(spark, d), mosaic(spark, d).withColumn("v", F.when(F.hypot(F.col("y") - 32, F.col("x") - 32) < 14, 255.0).otherwise(0.0)), iterations=12, pre_blur=1.0))

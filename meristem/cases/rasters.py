@@ -200,6 +200,7 @@ px("geom_warp_affine", lambda d: M.warp_affine(d, [[1, 0, 1], [0, 1, 0]]), "sele
 px("geom_perspective", lambda d: M.perspective(d, [(2, 2), (5, 2), (5, 5), (2, 5)], 4, 4), "select raster_id, y - 2 as y, x - 2 as x, v from gray where x between 2 and 5 and y between 2 and 5")
 px("cv_undistort", lambda d: M.undistort(d), "v")
 px("geom_obb", M.oriented_box, None, "mask", 4)
+case("geom_fit_shape_least", f"with {MASK}, p as (select raster_id, y, x from mask where v > 0), d as (select distinct a.raster_id, round(degrees(atan2(b.y - a.y, b.x - a.x)) + 180, 9) % 90 as t from p a join p b on a.raster_id = b.raster_id and (a.y, a.x) <> (b.y, b.x)), e as (select raster_id, t, (max(x * cos(radians(t)) + y * sin(radians(t))) - min(x * cos(radians(t)) + y * sin(radians(t)))) * (max(y * cos(radians(t)) - x * sin(radians(t))) - min(y * cos(radians(t)) - x * sin(radians(t)))) as area from d join p using (raster_id) group by 1, 2) select raster_id, abs(round(min(area), 4)) as area from e group by 1")(lambda spark, d: r6(M.least_rectangle(mask(spark, d).where("v > 0")).select("raster_id", F.abs(F.col("width") * F.col("height")).alias("area")), 4))
 px("geom_fit_shape", lambda d: M.fit_shape(d.where("v > 0")), "select raster_id, min(x) - 0.0::double as xmin, min(y) - 0.0::double as ymin, max(x) + 0.0::double as xmax, max(y) + 0.0::double as ymax from mask where v > 0 group by 1", "mask")
 px("util_roi_polygon", lambda d: M.roi_polygon(d, [(0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75)]), "case when x between 2 and 5 and y between 2 and 5 then 255.0::double else 0.0 end as v")
 px("feat_fill_contours", lambda d: M.fill_contours(d, [[(0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5)]]), "case when x < 4 and y < 4 then 255.0::double else 0.0 end as v")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +149,44 @@ def oriented_box(mask: DataFrame) -> DataFrame:
     return d.groupBy("raster_id", "cx", "cy", "_a").agg((F.max(u) - F.min(u)).alias("length"), (F.max(v) - F.min(v)).alias("width")).select("raster_id", "cx", "cy", F.degrees("_a").alias("angle"), "length", "width")
 
 
+def least_rectangle(points: DataFrame) -> DataFrame:
+    """(raster_id, cx, cy, width, height, angle): the rectangle of least area around points(raster_id, x, y), its width along angle (degrees from x, in [0, 90)).
+
+    Of each line of equal y only the outer points can matter, so a raster's group has two a line; one
+    side of the least rectangle lies on the hull. Of equally small ones the smaller angle is taken.
+    """
+    ends = points.groupBy("raster_id", F.col("y").cast("double").alias("y")).agg(F.min("x").cast("double").alias("a"), F.max("x").cast("double").alias("b"))
+    kind = points.schema["raster_id"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.unique(np.concatenate([rows[["a", "y"]].to_numpy(), rows[["b", "y"]].to_numpy()]), axis=0)
+        hull: list[np.ndarray] = []
+        for side in (p, p[::-1]):
+            part: list[np.ndarray] = []
+            for q in side:
+                while len(part) > 1 and (part[-1][0] - part[-2][0]) * (q[1] - part[-2][1]) <= (part[-1][1] - part[-2][1]) * (q[0] - part[-2][0]):
+                    part.pop()
+                part.append(q)
+            hull += part[:-1] or part
+        h = np.array(hull)
+        step = np.roll(h, -1, axis=0) - h
+        turns = np.unique(np.round(np.degrees(np.arctan2(step[:, 1], step[:, 0])) % 90, 9) % 90)
+        best = None
+        for t in turns:
+            c, s = np.cos(np.radians(t)), np.sin(np.radians(t))
+            u, v = h @ (c, s), h @ (-s, c)
+            w, e = np.ptp(u), np.ptp(v)
+            if best is None or w * e < best[0] - 1e-9:
+                mu, mv = (u.min() + u.max()) / 2, (v.min() + v.max()) / 2
+                best = w * e, c * mu - s * mv, s * mu + c * mv, w, e, t
+        return pd.DataFrame([[rows["raster_id"].iloc[0], *best[1:]]], columns=["raster_id", "cx", "cy", "width", "height", "angle"])
+
+    return ends.groupBy("raster_id").applyInPandas(run, f"raster_id {kind}, cx double, cy double, width double, height double, angle double")
+
+
 @operator("geom_fit_shape")
 def fit_shape(points: DataFrame, padding: float = 0.0) -> DataFrame:
-    """Bounding box of points(raster_id, x, y) grown by a padding."""
+    """Bounding box of points(raster_id, x, y) grown by a padding. least_rectangle has the turned one."""
     return points.groupBy("raster_id").agg((F.min("x") - padding).alias("xmin"), (F.min("y") - padding).alias("ymin"), (F.max("x") + padding).alias("xmax"), (F.max("y") + padding).alias("ymax"))
 
 
