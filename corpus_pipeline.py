@@ -26,7 +26,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier, learned from all labels, scores 0.7 or more.
 
     Each row is scored by its own text, repeated rows and null ids too; a null or empty text is scored
-    as a text without anything in it. An empty table stays empty.
+    as a text without anything in it. Whole texts are read, however long; a score of just 0.7 stays. An
+    empty table stays empty.
     """
     model = learn_quality(docs, table(spark, sf_dir, "labels"), F.lit(True))
     rows = docs.select(_row(docs), F.col("text").alias("_whole"))
@@ -34,7 +35,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects. Each row is judged by its own text; null and empty texts have too few words."""
+    """Documents that no rule rejects. Each row is judged by its own text, whole however long; null and empty texts have too few words, and a measure right at a rule's limit passes. An empty table stays empty."""
     rows = docs.select(_row(docs), F.col("text").alias("_whole"))
     return apply_rules(rows, text_col="_whole", id_col="_row", measured=False).where("kept").select("_row.*")
 
@@ -42,7 +43,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at five-word shingles and similarity 0.8 or more: that with the smallest id, null ids last.
 
-    Of rows that repeat an id and a text one stays; rows that share an id only are judged apart. Rows
+    Of rows that repeat an id and a text one stays (the first by row number); rows that share an id only
+    are judged apart. Shingle sets are of whole texts, however long. Rows
     without a word are in no group and stay. The rows are written once with numbers of their own, by
     which they are told apart.
     """
@@ -62,14 +64,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents of which the mixture takes tokens, each once: 0.9 of the tokens, dealt by target weights.
 
     Each row is dealt with by itself, repeated rows and null ids too; null languages and sources are
-    leaves of their own, and rows without a word have no token that could be taken.
+    leaves of their own, and rows without a word have no token that could be taken. A document of which
+    the budget takes a prefix stays whole, however long; of documents with one id the shorter goes first.
     """
     taken = mix_sources(docs, domain_of(F.col("source")), share=0.9, epochs=1, weights=mixing_weights(spark), carry=_row(docs))
     return taken.where("taken > 0").select("carried.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 1024 tokens; null and empty texts are their end token, and repeated rows are separate documents."""
+    """Pieces of all documents and their places in sequences of 1024 tokens; null and empty texts are their end token, and repeated rows are separate documents. Very long texts are cut into pieces; of equally long pieces the smaller id goes first. An empty table gives no rows."""
     return pack_documents(docs, vocabulary_path())
 
 

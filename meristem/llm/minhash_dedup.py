@@ -357,7 +357,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents are linked if 100 * shared >= percent * union of their distinct shingles of
     lower-cased (A-Z) words. A text without words (null, empty) has no shingle and no link; a null id
     is linked with nothing, has a null component and is kept; rows that repeat an id are one document
-    for linking and each gets a row. Other columns are not read, whatever their names. An empty table
+    for linking and each gets a row, so such rows also join what each of their texts is linked with. Of
+    a group the smallest id is the component, so there are no ties. A text is held whole by its task,
+    however long, as one shingle set. Other columns are not read, whatever their names. An empty table
     gives no rows.
     """
     least = least_estimate(percent / 100)

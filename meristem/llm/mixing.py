@@ -93,7 +93,8 @@ def mix_sources(
     or share of epochs passes over the table. carry is kept as a first column "carried", whole rows for
     instance, and only rows of the buckets in which budgets end move with it.
 
-    Null languages and sources are leaves of their own; a text without tokens takes nothing. Repeated
+    Null languages and sources are leaves of their own; a text without tokens takes nothing. Words are
+    counted over whole texts, however long, by Spark's own functions. Repeated
     rows count each and have their own results; of rows with one and the same id the shorter go first,
     and among equal ones the order is open. An empty table gives no rows.
     """

@@ -739,3 +739,11 @@ def test_shards_in_memory_are_bounded(spark, docs, monkeypatch):
     held = [s for _, s in LM._levels.values()]
     assert sum(held) <= max(200_000, *held)
     LM._levels.clear()
+
+
+def test_topk_with_repeated_ids_and_clashing_names(spark):
+    """Rows that repeat an id are candidates each; a query given twice counts once, by the smaller of its vectors."""
+    rows = [(0, [3, 1]), (0, [1, 3]), (5, [2, 2]), (5, [2, 2]), (6, [0, 5]), (100, [1, 0])]
+    v = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, v array<long>, branch string, page int, rank int").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk(v, F.col("vec_id") % 100 == 0, 3).collect())
+    assert got == [(0, 1, 6, 15), (0, 2, 5, 8), (0, 3, 5, 8), (100, 1, 0, 3), (100, 2, 5, 2), (100, 3, 5, 2)]
