@@ -141,6 +141,16 @@ def _mog(spark, d):
     return S.background_gaussian(frames(spark, d)).select("raster_id", "tick", "y", "x", "mask")
 
 
+@case("bg_sub_mog2_mixture")
+def _mixture(spark, d):
+    return S.background_mixture(frames(spark, d)).select("raster_id", "tick", "y", "x", "mask")
+
+
+@case("filter_bg_subtraction_mixture")
+def _foreground(spark, d):
+    return S.foreground(frames(spark, d)).select("raster_id", "tick", "y", "x", "v")
+
+
 @case("filter_bg_subtraction", f"with {FRAMES} select raster_id, tick, y, x, case when {_MOG} then v else 0.0::double end as v from frames window w as (partition by raster_id, y, x order by tick rows between 10 preceding and 1 preceding)")
 def _bg(spark, d):
     return S.background_removed(frames(spark, d)).select("raster_id", "tick", "y", "x", "v")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -337,7 +338,70 @@ def background_neighbours(frames: DataFrame, history: int = 10, threshold: float
     return frames.withColumn("mask", F.when(near < k, 255).otherwise(0))
 
 
+@dataclass(frozen=True)
+class Mixture:
+    """Normal distributions that a pixel's values come from, as (weight, mean, variance) by falling weight.
+
+    A value joins the first one that it fits within `near` variances, which moves towards it by the
+    learning rate over its weight, or else begins one, for the weakest if there are `most`. Weights decay
+    by the rate, a little more by `prune`, and those that come to nothing go. The background are the
+    heaviest ones, up to `share` of the weight.
+    """
+
+    history: int = 500
+    threshold: float = 16.0
+    near: float = 9.0
+    most: int = 5
+    share: float = 0.9
+    first_variance: float = 15.0
+    least_variance: float = 4.0
+    most_variance: float = 75.0
+    prune: float = 0.05
+
+    def step(self, state: tuple[int, list[tuple[float, float, float]], int], v: float, shadows: bool) -> tuple[int, list[tuple[float, float, float]], int]:
+        """(number of values, modes, mask of the last one): 255 foreground, 127 shadow, 0 background."""
+        count, modes, _ = state
+        count += 1
+        rate = 1 / min(2 * count, self.history)
+        less = rate * self.prune
+        mask, total, fits, kept = 255, 0.0, False, []
+        for w, mean, variance in modes:
+            far = (mean - v) ** 2
+            if not fits:
+                if total < self.share and far < self.threshold * variance:
+                    mask = 0
+                total += w
+            w = (1 - rate) * w - less
+            if not fits and far < self.near * variance:
+                fits = True
+                w += rate
+                k = rate / w
+                mean, variance = mean + k * (v - mean), min(self.most_variance, max(self.least_variance, variance + k * (far - variance)))
+            if w > less:
+                kept.append((w, mean, variance))
+        if mask and shadows:
+            heavy = 0.0
+            for w, mean, _ in modes:
+                if heavy < self.share and mean > 0 and 0.5 * mean <= v <= mean:
+                    mask = 127
+                    break
+                heavy += w
+        if not fits:
+            kept = kept[: self.most - 1] if len(kept) == self.most else kept
+            kept = [(w * (1 - rate), m, s) for w, m, s in kept] + [(rate if kept else 1.0, v, self.first_variance)]
+        whole = sum(w for w, _, _ in kept)
+        return count, sorted(((w / whole, m, s) for w, m, s in kept), key=lambda c: -c[0]), mask
+
+
 @operator("bg_sub_mog2")
+def background_mixture(frames: DataFrame, history: int = 500, threshold: float = 16.0, shadows: bool = True) -> DataFrame:
+    """frames(raster_id, tick, y, x, v) with mask by a mixture of normal distributions for each pixel: 255 foreground, 127 shadow (darker than the background, to half of it at most), 0 background. A pixel's first value is foreground, and a null one has what the last had."""
+    model = Mixture(history, threshold)
+    begin = (0, [], 0)
+    out = fold(frames, "v", "tick", ["raster_id", "y", "x"], lambda v: model.step(begin, v, shadows), lambda s, v: model.step(s, v, shadows), lambda s: float(s[2]))
+    return out.withColumn("mask", F.col("filtered").cast("int")).drop("filtered")
+
+
 def background_gaussian(frames: DataFrame, history: int = 10, threshold: float = 16.0) -> DataFrame:
     """A pixel is foreground if its squared distance from the mean of its last history values exceeds threshold variances (at least 4); one Gaussian per pixel."""
     over = Window.partitionBy("raster_id", "y", "x").orderBy("tick").rowsBetween(-history, -1)
@@ -347,6 +411,11 @@ def background_gaussian(frames: DataFrame, history: int = 10, threshold: float =
 
 
 @operator("filter_bg_subtraction")
+def foreground(frames: DataFrame, history: int = 500, threshold: float = 16.0, shadows: bool = True) -> DataFrame:
+    """Frames with 0 where the mixture says background or shadow."""
+    return background_mixture(frames, history, threshold, shadows).withColumn("v", F.when(F.col("mask") == 255, F.col("v")).otherwise(F.lit(0.0)))
+
+
 def background_removed(frames: DataFrame, history: int = 10, threshold: float = 16.0) -> DataFrame:
     return background_gaussian(frames, history, threshold).withColumn("v", F.when(F.col("mask") > 0, F.col("v")).otherwise(F.lit(0.0)))
 

@@ -1,4 +1,4 @@
-"""Least rectangles and dilation along borders against plain versions."""
+"""Least rectangles, dilation along borders and mixtures of backgrounds against plain versions."""
 
 import math
 
@@ -6,6 +6,7 @@ import numpy as np
 
 from meristem.operators import features as X
 from meristem.operators import geometry as G
+from meristem.operators import signals as S
 
 
 def test_least_rectangles(spark):
@@ -36,3 +37,48 @@ def test_borders_are_drawn_out_along_themselves(spark):
     assert (out[:8] == 0).all() and (out[15:, :30] == 0).all()
     assert X.line_places(5, 0) == [(0, x) for x in range(-2, 3)] and X.line_places(5, 90) == [(y, 0) for y in range(-2, 3)]
     assert X.line_places(3, 45, 2) == [(2 - k, k - 2) for k in range(5)][::-1]
+
+
+def plain_mixture(values, history, threshold):
+    """One pixel's masks, with arrays of at most five weights, means and variances."""
+    w, m, s, out = np.zeros(0), np.zeros(0), np.zeros(0), []
+    for n, v in enumerate(values, 1):
+        rate = 1 / min(2 * n, history)
+        far = (m - v) ** 2
+        fit = next((i for i in range(len(w)) if far[i] < 9 * s[i]), None)
+        last = len(w) if fit is None else fit + 1
+        before = np.concatenate(([0], np.cumsum(w)))[:-1]
+        back = any(before[i] < 0.9 and far[i] < threshold * s[i] for i in range(last))
+        dark = any(before[i] < 0.9 and m[i] > 0 and 0.5 * m[i] <= v <= m[i] for i in range(len(w)))
+        out.append(0 if back else 127 if dark else 255)
+        w = (1 - rate) * w - 0.05 * rate
+        if fit is not None:
+            w[fit] += rate
+            k = rate / w[fit]
+            m[fit], s[fit] = m[fit] + k * (v - m[fit]), np.clip(s[fit] + k * (far[fit] - s[fit]), 4, 75)
+        keep = w > 0.05 * rate
+        w, m, s = w[keep], m[keep], s[keep]
+        if fit is None:
+            w, m, s = w[:4] if len(w) == 5 else w, m[:4] if len(w) == 5 else m, s[:4] if len(w) == 5 else s
+            m, s = m[: len(w)], s[: len(w)]
+            w, m, s = np.append((1 - rate) * w, rate if len(w) else 1.0), np.append(m, v), np.append(s, 15.0)
+        w = w / w.sum()
+        order = np.argsort(-w, kind="stable")
+        w, m, s = w[order], m[order], s[order]
+    return out
+
+
+def test_backgrounds_of_several_distributions(spark):
+    """A pixel that flickers between two levels is background at both, which one distribution can't say."""
+    rng = np.random.default_rng(2)
+    flicker = [float(np.clip(rng.choice([60, 180]) + rng.normal(0, 2), 0, 255)) for _ in range(120)] + [230.0, 95.0, 60.0]
+    steady = [100.0 + float(rng.normal(0, 1)) for _ in range(60)] + [70.0, 20.0, 100.0]
+    wild = [float(v) for v in rng.integers(0, 256, 80)]
+    streams = [flicker, steady, wild]
+    df = spark.createDataFrame([(0, t, 0, x, v) for x, own in enumerate(streams) for t, v in enumerate(own)], "raster_id int, tick int, y int, x int, v double").repartition(3)
+    got = {(r["x"], r["tick"]): r["mask"] for r in S.background_mixture(df, 50).collect()}
+    assert got == {(x, t): v for x, own in enumerate(streams) for t, v in enumerate(plain_mixture(own, 50, 16.0))}
+    assert [got[0, t] for t in (120, 122)] == [255, 0] and np.mean([got[0, t] > 0 for t in range(20, 120)]) < 0.05
+    assert [got[1, t] for t in (60, 61, 62)] == [127, 255, 0]
+    shown = {(r["x"], r["tick"]): r["v"] for r in S.foreground(df, 50).collect()}
+    assert shown[1, 61] == 20.0 and shown[1, 60] == shown[1, 62] == 0.0
