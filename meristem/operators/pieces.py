@@ -7,7 +7,7 @@ or two for each piece); a second pass then works on all pieces at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut
 
-BLOCK = 256  # values that are filtered by one product of matrices
+BLOCK = 256  # values whose trace in the state is summed at a time
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -52,38 +52,38 @@ def filled(df: DataFrame, names: list[str], order: list[Column], forward: bool)
 
 @dataclass(frozen=True)
 class Linear:
-    """A filter whose state s becomes matrix s + gain v with each value v, begins at start v, and gives its first component."""
+    """A filter whose state, a tuple that begins as first(v), becomes step(state, v) with each value v, and gives its first number.
 
+    step has to be linear: matrix s + gain v. So what a piece does to any state that comes into it is
+    found from one number of values and the state that they leave of 0.
+    """
+
+    first: Callable[[float], tuple[float, ...]]
+    step: Callable[[tuple[float, ...], float], tuple[float, ...]]
     matrix: np.ndarray
     gain: np.ndarray
-    start: np.ndarray
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Powers of the matrix up to BLOCK, outputs by values and by the state before a block, and what a block's values leave in the state."""
-        powers = [np.eye(len(self.gain))]
-        for _ in range(BLOCK):
-            powers.append(self.matrix @ powers[-1])
-        powers = np.array(powers)
-        reach = powers[:BLOCK] @ self.gain  # what a value has left in the state so many steps later
-        back = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
-        return powers, np.where(back >= 0, reach[np.maximum(back, 0), 0], 0.0), powers[1:, 0], reach
-
-    def run(self, values: np.ndarray, state: np.ndarray | None, tables: tuple) -> tuple[np.ndarray, np.ndarray | None]:
-        """Outputs of values (without missing ones), and the state after them."""
-        powers, by_value, by_state, reach = tables
-        out = np.zeros(len(values))
-        at = 0
-        if state is None:
-            if not len(values):
-                return out, None
-            state = self.start * values[0]
-            out[0], at = state[0], 1
-        for k in range(at, len(values), len(reach)):
+
+    def reach(self) -> np.ndarray:
+        """What a value has left in the state after 0 .. BLOCK - 1 steps more."""
+        out = [self.gain]
+        for _ in range(BLOCK - 1):
+            out.append(self.matrix @ out[-1])
+        return np.array(out)
+
+    def run(self, values: np.ndarray, state: tuple | None) -> tuple[np.ndarray, tuple | None]:
+        """Outputs of values (without missing ones), and the state after them, value by value."""
+        out = []
+        for v in values.tolist():
+            state = self.first(v) if state is None else self.step(state, v)
+            out.append(state[0])
+        return np.array(out, float), state
+
+    def after(self, values: np.ndarray, state: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """The state after values, by blocks."""
+        for k in range(0, len(values), len(reach)):
             v = values[k : k + len(reach)]
-            n = len(v)
-            out[k : k + n] = by_value[:n, :n] @ v + by_state[:n] @ state
-            state = powers[n] @ state + reach[:n][::-1].T @ v
-        return out, state
+            state = np.linalg.matrix_power(self.matrix, len(v)) @ state + reach[: len(v)][::-1].T @ v
+        return state
 
 
 def linear_fold(df: DataFrame, value: str, order: str, by: list[str], model: Linear) -> DataFrame:
@@ -97,7 +97,7 @@ def linear_fold(df: DataFrame, value: str, order: str, by: list[str], model: Lin
     schema = StructType([*rows.schema.fields, StructField("filtered", DoubleType())])
     ready = cut(rows.repartitionByRange(*names).sortWithinPartitions(*names))
     places = list(range(len(by)))
-    tables = model.tables()
+    reach = model.reach()
     size = len(model.gain)
 
     def streams(batch: pa.RecordBatch) -> list[tuple[tuple, int, int]]:
@@ -123,16 +123,18 @@ def linear_fold(df: DataFrame, value: str, order: str, by: list[str], model: Lin
                 if last is None or key != last[0]:
                     last = [key, 0, None, np.zeros(size)]
                     first = first or last
+                    if last is not first and b < batch.num_rows:
+                        continue  # it begins and ends inside the piece
                 own = numbers[a:b][known[a:b]]
-                last[2] = model.run(own, last[2], tables)[1]
-                last[3] = model.run(own, last[3], tables)[1]
+                last[2] = model.run(own, last[2])[1]
+                last[3] = model.after(own, last[3], reach)
                 last[1] += len(own)
         found = [] if last is None else [first] if first is last else [first, last]
         nothing = [0.0] * size
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([TaskContext.get().partitionId()] * len(found), pa.int32()), pa.array([f is last and f is not first for f in found], pa.bool_()), pa.array([f is first and f is last for f in found], pa.bool_()),
-                pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] is not None for f in found], pa.bool_()), pa.array([nothing if f[2] is None else f[2].tolist() for f in found], pa.list_(pa.float64())), pa.array([f[3].tolist() for f in found], pa.list_(pa.float64())),
+                pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] is not None for f in found], pa.bool_()), pa.array([nothing if f[2] is None else list(f[2]) for f in found], pa.list_(pa.float64())), pa.array([f[3].tolist() for f in found], pa.list_(pa.float64())),
                 pa.array([repr(f[0]) for f in found], pa.string()),
             ],
             names=["p", "last", "only", "n", "begun", "fresh", "from_zero", "key"],
@@ -160,11 +162,11 @@ def linear_fold(df: DataFrame, value: str, order: str, by: list[str], model: Lin
             none = np.ones(batch.num_rows, bool)
             for key, a, b in streams(batch):
                 if first or key != stream:
-                    state = np.array(shared.value[TaskContext.get().partitionId()]) if first and TaskContext.get().partitionId() in shared.value else None
+                    state = tuple(shared.value[TaskContext.get().partitionId()]) if first and TaskContext.get().partitionId() in shared.value else None
                     stream, first = key, False
                 own = np.flatnonzero(known[a:b])
                 before = None if state is None else state[0]
-                filtered, state = model.run(numbers[a:b][own], state, tables)
+                filtered, state = model.run(numbers[a:b][own], state)
                 # rows without a value have what the last one left
                 upto = np.searchsorted(own, np.arange(b - a), side="right") - 1
                 has = upto >= 0

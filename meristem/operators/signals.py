@@ -114,14 +114,14 @@ def fold(df: DataFrame, value: str, order: str, by: list[str], first: Callable,
 def exponential_average(df: DataFrame, value: str, order: str, by: list[str], alpha: float = 20) -> DataFrame:
     """s = a v + (1 - a) s with a in percent."""
     a = alpha / 100
-    return linear_fold(df, value, order, by, Linear(np.array([[1 - a]]), np.array([a]), np.ones(1)))
+    return linear_fold(df, value, order, by, Linear(lambda v: (v,), lambda s, v: (a * v + (1 - a) * s[0],), np.array([[1 - a]]), np.array([a])))
 
 
 @operator("plugin_filter_lowpass")
 def low_pass(df: DataFrame, value: str, order: str, by: list[str], cutoff: float = 1000, fps: float = 30) -> DataFrame:
     """First-order RC filter; cutoff in thousandths of a hertz."""
     r = 1 - math.exp(-2 * math.pi * (cutoff / 1000) / fps)
-    return linear_fold(df, value, order, by, Linear(np.array([[1 - r]]), np.array([r]), np.ones(1)))
+    return linear_fold(df, value, order, by, Linear(lambda v: (v,), lambda s, v: (s[0] + r * (v - s[0]),), np.array([[1 - r]]), np.array([r])))
 
 
 @operator("plugin_filter_kalman")
@@ -141,8 +141,13 @@ def kalman(df: DataFrame, value: str, order: str, by: list[str], q: float = 10,
 def holt(df: DataFrame, value: str, order: str, by: list[str], alpha: float = 30, beta: float = 10) -> DataFrame:
     """Level and trend smoothing, both in percent."""
     a, b = alpha / 100, beta / 100
+
+    def step(s: tuple[float, ...], v: float) -> tuple[float, ...]:
+        level = a * v + (1 - a) * (s[0] + s[1])
+        return level, b * (level - s[0]) + (1 - b) * s[1]
+
     matrix = np.array([[1 - a, 1 - a], [-a * b, 1 - a * b]])  # of level and trend
-    return linear_fold(df, value, order, by, Linear(matrix, np.array([a, a * b]), np.array([1.0, 0.0])))
+    return linear_fold(df, value, order, by, Linear(lambda v: (v, 0.0), step, matrix, np.array([a, a * b])))
 
 
 @operator("plugin_filter_particle")
