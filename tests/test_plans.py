@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from meristem.operators import features as X
 from meristem.operators import geometry as G
 
 
@@ -37,3 +38,17 @@ def test_resampling_fills_what_lies_outside_and_what_is_missing(spark):
         near = [v[r, y, q] for q in (x - 1, x) if (r, y, q) in v] if x else []
         assert value == (sum(near) / len(near) if near else 0.0)
     assert len(got) == 3 * 63
+
+
+def test_draws_of_matches_are_not_broadcast(spark, capsys):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, float(p), float(q), 2.0 * p + q + 1, float(q - p + 3)) for k in range(3) for i, (p, q) in enumerate(rng.integers(0, 50, (20, 2)).tolist())]
+    frame = spark.createDataFrame(rows, "pair long, match_id long, x1 double, y1 double, x2 double, y2 double")
+    plans, real = [], X.cut
+    X.cut = lambda df: (plans.append(ran(df, capsys)[1]), real(df))[1]
+    try:
+        best, _ = X.ransac_matches(frame, ["pair"], 0.5, 40)
+    finally:
+        X.cut = real
+    assert [r["inliers"] for r in best.collect()] == [20] * 3
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
