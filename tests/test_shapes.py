@@ -82,3 +82,10 @@ def test_backgrounds_of_several_distributions(spark):
     assert [got[1, t] for t in (60, 61, 62)] == [127, 255, 0]
     shown = {(r["x"], r["tick"]): r["v"] for r in S.foreground(df, 50).collect()}
     assert shown[1, 61] == 20.0 and shown[1, 60] == shown[1, 62] == 0.0
+
+
+def test_upright_boxes_point_as_their_sql_says(spark):
+    """The places of one raster whose covariance is 0 but for rounding, just below 0: its SQL has -90 degrees."""
+    places = [(5, 0), (1, 1), (3, 1), (1, 2), (2, 2), (2, 3), (5, 3), (2, 4), (3, 4), (4, 4), (6, 4), (1, 5), (1, 6), (4, 6), (5, 6), (6, 6), (0, 7), (1, 7), (2, 7), (3, 7), (6, 7)]
+    box = G.oriented_box(spark.createDataFrame([(1, y, x, 255.0) for x, y in places], "raster_id long, y int, x int, v double")).first()
+    assert (round(box["angle"], 4), round(box["length"], 4), round(box["width"], 4)) == (-90.0, 7.0, 6.0)
