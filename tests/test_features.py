@@ -143,3 +143,16 @@ def test_approx_poly_keeps_the_corners(spark):
     assert {(p["y"], p["x"]) for p in pts} == {(3, 4), (3, 25), (19, 25), (19, 4)}
     n = len(c.first()["pts"])
     assert len(X.approx_poly(c, 0.0).first()["pts"]) == 4 and n == 2 * (16 + 21)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_close_is_the_plain_choice_among_copies(monkeypatch, metric):
+    """Near, equal and far off pairs; most of them are never measured one by one."""
+    rng = np.random.default_rng(8)
+    t = rng.integers(0, 2, (200, 8)).astype(float) if metric == "manhattan" else np.concatenate([rng.normal(size=(150, 8)), np.repeat(rng.normal(size=(5, 8)), 10, axis=0) + 1e6])
+    q, far = t[::3], M._far(t[::3], t, metric)
+    far[np.arange(len(q)), np.arange(0, 200, 3)] = np.inf
+    want = np.argsort(far, axis=1, kind="stable")[:, :4]
+    monkeypatch.setattr(M, "_far", None)
+    a, b, d = M._close(q, t, 4, metric, np.stack([np.arange(len(q)), np.arange(0, 200, 3)], 1))
+    assert (b.reshape(-1, 4) == want).all() and (d.reshape(-1, 4) == np.take_along_axis(far, want, axis=1)).all()
