@@ -12,6 +12,18 @@ from ..session import cut
 BLOCK = 4096
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of all rows to all others by a product of matrices; pairs so near that its rounding would show are measured one by one."""
+    long = (x * x).sum(1)[:, None], (y * y).sum(1)[None]
+    d = long[0] + long[1] - 2 * (x @ y.T)
+    a, b = np.nonzero(~(d > 1e-5 * (long[0] + long[1].max())))
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
+    step = max(1, (1 << 22) // x.shape[1])
+    for s in range(0, len(a), step):
+        d[a[s : s + step], b[s : s + step]] = np.sqrt(((x[a[s : s + step]] - y[b[s : s + step]]) ** 2).sum(axis=1))
+    return d
+
+
 def silhouette(df: DataFrame, features: list[str], cluster: str) -> DataFrame:
     """One row: the mean over rows of (b - a) / max(a, b), a being the mean distance to the row's own cluster's others and b the least mean distance to another cluster.
 
@@ -36,8 +48,8 @@ def silhouette(df: DataFrame, features: list[str], cluster: str) -> DataFrame:
             order = np.argsort(code, kind="stable")
             starts = np.searchsorted(code[order], np.arange(len(names)))
             y = y[order]
-            step = max(1, (1 << 22) // max(1, y.size))
-            sums = np.concatenate([np.add.reduceat(np.sqrt(((x[s : s + step, None] - y[None]) ** 2).sum(2)), starts, axis=1) for s in range(0, len(x), step)])
+            step = max(1, (1 << 22) // len(y))
+            sums = np.concatenate([np.add.reduceat(_distances(x[s : s + step], y), starts, axis=1) for s in range(0, len(x), step)])
             n = len(names)
             found = [np.repeat(one.column("id").to_numpy(), n), np.repeat(np.array(one.column("c").to_pylist(), object), n), np.tile(names, len(x)), sums.ravel()]
         return pa.table({k: pa.array(v, t) for k, v, t in zip(("id", "c", "other", "s"), found, (pa.int64(), pa.string(), pa.string(), pa.float64()), strict=True)})

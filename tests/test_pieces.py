@@ -11,7 +11,7 @@ from meristem.operators import learning as M
 from meristem.operators import pieces as P
 from meristem.operators import relational as R
 from meristem.operators import signals as S
-from meristem.operators.silhouettes import silhouette
+from meristem.operators.silhouettes import _distances, silhouette
 
 
 @pytest.fixture
@@ -122,3 +122,10 @@ def test_silhouettes(spark, monkeypatch):
     assert silhouette(df.limit(0), ["p", "q"], "k").first()["silhouette"] == 0.0
     curve = [r["inertia"] for r in M.elbow(df.na.drop(), ["p", "q"], 4, False).orderBy("k").collect()]
     assert curve[0] == pytest.approx(((x - x.mean(0)) ** 2).sum()) and curve == sorted(curve, reverse=True)
+
+
+def test_distances_of_copies_far_off_are_zero():
+    x = np.random.default_rng(9).normal(size=(20, 3)) + 1e5
+    d = _distances(x, np.concatenate([x, x + 2]))
+    plain = np.sqrt(((x[:, None] - np.concatenate([x, x + 2])[None]) ** 2).sum(2))
+    assert (np.diag(d) == 0).all() and np.abs(d - plain).max() < 1e-9
