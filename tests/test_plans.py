@@ -52,3 +52,10 @@ def test_draws_of_matches_are_not_broadcast(spark, capsys):
         X.cut = real
     assert [r["inliers"] for r in best.collect()] == [20] * 3
     assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_turned_rasters_are_not_broadcast(spark, capsys):
+    df, rows = raster(spark)
+    got, plan = ran(G.rotate(df, 180), capsys)
+    assert {(r["raster_id"], r["y"], r["x"]): r["v"] for r in got} == {(r, 8 - y, 6 - x): v for r, y, x, v in rows}
+    assert "Broadcast" not in plan
