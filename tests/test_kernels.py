@@ -78,3 +78,18 @@ def test_a_cascade_comes_near_the_whole(spark, monkeypatch):
     assert np.mean([one[i] == many[i] for i in one]) > 0.98 and np.mean([many[r[0]] == r[3] for r in rows]) > 0.85
     same = M.svm(df.where("y = 'in'"), df, ["p", "q"], "y")
     assert {r["prediction"] for r in same.collect()} == {"in"}
+
+
+def test_machines_are_solved_whole_and_asked_in_blocks(spark, monkeypatch):
+    """A pair of 5,000 rows is one block, solved in working sets; support vectors stay with the executors, and each is met once for all its machines."""
+    x, y = data(5000, 5)
+    alpha, rho = K.solve(x, y, 1.0, ("rbf", 0.5, 3, 0.0), 1e-3)
+    margin = y * (np.concatenate([K.kernel("rbf", x[k : k + 500], x, 0.5, 3, 0.0) @ (alpha * y) for k in range(0, 5000, 500)]) - rho)
+    assert abs(alpha @ y) < 1e-6 and (margin[alpha <= 0] > 1 - 2e-3).all() and (margin[alpha >= 1] < 1 + 2e-3).all()
+    assert 5000 <= K.BLOCK
+    rows = [(i, float(p), float(q), "abc"[int(p > 0) + int(q > 0)]) for i, (p, q) in enumerate(x[:300])]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, "a")], "id long, p double, q double, y string").repartition(4)
+    one = {r["id"]: r["prediction"] for r in M.svm(df, df, ["p", "q"], "y").collect()}
+    monkeypatch.setattr(K, "ASKED", 20)
+    many = {r["id"]: r["prediction"] for r in M.svm(df, df, ["p", "q"], "y").collect()}
+    assert one == many and one[900] is None and np.mean([one[r[0]] == r[3] for r in rows]) > 0.95
