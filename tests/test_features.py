@@ -156,3 +156,17 @@ def test_close_is_the_plain_choice_among_copies(monkeypatch, metric):
     monkeypatch.setattr(M, "_far", None)
     a, b, d = M._close(q, t, 4, metric, np.stack([np.arange(len(q)), np.arange(0, 200, 3)], 1))
     assert (b.reshape(-1, 4) == want).all() and (d.reshape(-1, 4) == np.take_along_axis(far, want, axis=1)).all()
+
+
+@pytest.mark.parametrize(("scale", "middle"), [(1, 0), (1e-3, 100), (1e25, 0)])
+def test_candidates_hold_the_nearest_and_little_else(scale, middle):
+    """One product of single-precision matrices leaves out no pair that is among the nearest, far from the origin too."""
+    rng = np.random.default_rng(3)
+    t, q = (rng.normal(size=(n, 6)) * scale + middle for n in (700, 50))
+    t[300:400] = t[:100]
+    a, b = M._candidates(q, t, 5, None, np.float32)
+    far = np.sqrt(((q[:, None] - t[None]) ** 2).sum(2))
+    want = {(i, int(j)) for i in range(50) for j in np.argsort(far[i], kind="stable")[:5]}
+    assert want <= set(zip(a.tolist(), b.tolist(), strict=True)) and (scale > 1e20 or len(a) < 50 * 60)
+    rows, cols, d = M._close(q, t, 5, "euclidean")
+    assert want == set(zip(rows.tolist(), cols.tolist(), strict=True)) and np.allclose(d, far[rows, cols])
