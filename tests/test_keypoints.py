@@ -229,3 +229,16 @@ def test_binary_matches_are_exact(spark, others):
         if best[0][0] < 0.75 * best[1][0]:
             want.add((i, best[0][1], float(best[0][0])))
     assert {tuple(r) for r in N.match_binary(*tables, others=others).collect()} == want and len(want) > 50
+
+
+def test_tiles_are_not_smaller_than_their_halo(spark, monkeypatch):
+    """Tiles of 16 with a halo of well over 100 would have sent a small raster to each of them."""
+    used, real = [], N.by_tiles
+    monkeypatch.setattr(N, "by_tiles", lambda *a, **k: used.append((*a[-2:], k)) or real(*a, **k))
+    rng = np.random.default_rng(8)
+    wide = [rng.integers(0, 256, (40, 420)).astype(float)]
+    got, whole = (sorted(map(tuple, N.sift(raster(spark, wide), octaves=2, contrast=0.012, tile=t).select("y", "x", "angle").collect())) for t in (16, 1024))
+    assert used[0][0] % 16 == 0 and used[0][0] >= used[0][1] and used[1][0] == 1024 and used[0][2] == {"within": True}
+    sent = lambda **k: by_tiles(raster(spark, wide), ["v"], lambda t: {"n": np.ones(1, np.int64)}, "n long", 210, 100, **k).count()
+    assert sent(within=True) == 2 and sent() == 3
+    assert used[0][0] < 420 and len(got) == len(whole) > 0 and np.allclose(got, whole)
