@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,19 @@ def test_forests_have_an_out_of_bag_score(spark):
     counts = spark.range(20000).select(T.poisson(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).alias("w")).groupBy("w").count().collect()
     share = {r["w"]: r["count"] / 20000 for r in counts}
     assert all(abs(share.get(k, 0) - math.exp(-1) / math.factorial(k)) < 0.015 for k in range(6))
+
+
+def test_pieces_of_few_rows_give_the_same_tree(spark, monkeypatch):
+    """A piece ends between two values, however often the last one comes."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(200, 3)), 1)
+    x[:, 2] = 1.0  # one value
+    y = (x[:, 0] + x[:, 1] > 0).astype(int) + (rng.random(200) < 0.2)
+    rows = spark.createDataFrame([(0, 1, int(c), [float(v) for v in r]) for r, c in zip(x, y, strict=True)], "tree int, w int, y int, f array<double>").repartition(3)
+    monkeypatch.setattr(T, "PIECE", 7)
+    got = {r["node"]: (r["feature"], r["threshold"]) if r["feature"] is not None else r["prediction"] for r in T.grow(rows, 3, 3, 3, "gini", 3).collect()}
+    want = plain_tree(x, y, 3, "gini", 3, 1)
+    assert {n: w if isinstance(w, int) else (w[0], round(w[1], 9)) for n, w in want.items()} == {n: g if isinstance(g, int) else (g[0], round(g[1], 9)) for n, g in got.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0], pa.int32()), pa.array([1, 1, 1]), pa.array([2, 3, 4]), pa.array([1, 1, 0], pa.int32()), pa.array([[-0.0, 5.0], [0.0, 6.0], [0.0, 5.0]])], names=["tree", "node", "w", "y", "f"])
+    counted = [tuple(r.values()) for b in T._counted(iter([batch])) for r in b.to_pylist()]
+    assert sorted(counted) == [(0, 1, 0, 0.0, 0, 4), (0, 1, 0, 0.0, 1, 5), (0, 1, 1, 5.0, 0, 4), (0, 1, 1, 5.0, 1, 2), (0, 1, 1, 6.0, 1, 3)]
