@@ -59,3 +59,19 @@ def test_turned_rasters_are_not_broadcast(spark, capsys):
     got, plan = ran(G.rotate(df, 180), capsys)
     assert {(r["raster_id"], r["y"], r["x"]): r["v"] for r in got} == {(r, 8 - y, 6 - x): v for r, y, x, v in rows}
     assert "Broadcast" not in plan
+
+
+def test_corners_flow_from_what_is_written_once(spark, monkeypatch):
+    """The gradients of the frames are computed once for the corners and their flow, in one pass, and the plan that is left reads tables instead of computing them again."""
+    from meristem.operators import features as X
+    from meristem.operators import stencils
+
+    rows = [(r, t, y, x, float((x * 7 + y * 13 + t * 5 + r) % 31)) for r in range(2) for t in range(2) for y in range(8) for x in range(8)]
+    frames = spark.createDataFrame(rows, "raster_id long, tick long, y int, x int, v double")
+    made, real = [], X.gradients
+    monkeypatch.setattr(X, "gradients", lambda *a: made.append(1) or real(*a))
+    assert X.corner_flow(frames).count() > 0 and len(made) == 1
+    df = frames.where("tick = 0 and not (raster_id = 1 and y = 3 and x = 3)").select("raster_id", "y", "x", "v")
+    two = stencils.convolve(df, stencils.SOBEL_X).withColumnRenamed("v", "dx").join(stencils.convolve(df, stencils.SOBEL_X.T.copy()).withColumnRenamed("v", "dy"), ["raster_id", "y", "x"])
+    order = lambda d: sorted(map(tuple, d.select("raster_id", "y", "x", "dx", "dy").collect()))
+    assert order(real(df)) == order(two)
