@@ -2,7 +2,9 @@
 
 import math
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 
 from meristem.operators import features as X
 from meristem.operators import geometry as G
@@ -89,3 +91,24 @@ def test_upright_boxes_point_as_their_sql_says(spark):
     places = [(5, 0), (1, 1), (3, 1), (1, 2), (2, 2), (2, 3), (5, 3), (2, 4), (3, 4), (4, 4), (6, 4), (1, 5), (1, 6), (4, 6), (5, 6), (6, 6), (0, 7), (1, 7), (2, 7), (3, 7), (6, 7)]
     box = G.oriented_box(spark.createDataFrame([(1, y, x, 255.0) for x, y in places], "raster_id long, y int, x int, v double")).first()
     assert (round(box["angle"], 4), round(box["length"], 4), round(box["width"], 4)) == (-90.0, 7.0, 6.0)
+
+
+def on_the_threshold():
+    """(rows, frames, places of the foreground by SQL): values whose squared distance is 16 variances exactly, so that the variance's last bit decides."""
+    rng, rows = np.random.default_rng(5), []
+    while len(rows) < 400:
+        n = int(rng.integers(2, 11))
+        w = np.clip(np.floor(128 + rng.normal(0, rng.choice([3, 8, 20]), (20000, n))), 0, 255).astype(int)
+        total, spread = w.sum(1), 16 * (n * (w * w).sum(1) - w.sum(1) ** 2)
+        root = np.sqrt(spread).round().astype(int)
+        v, on = (total + root) // n, (root * root == spread) & (spread > 64 * n * n) & ((total + root) % n == 0)
+        rows += [[*w[i].tolist(), int(v[i])] for i in np.flatnonzero(on & (v < 256))[:50]]
+    frames = pa.table(dict(zip(("raster_id", "tick", "y", "x", "v"), zip(*[(0, t, 0, x, float(v)) for x, own in enumerate(rows) for t, v in enumerate(own)], strict=True), strict=True)))
+    sql = "select x, tick from frames window w as (partition by raster_id, y, x order by tick rows between 10 preceding and 1 preceding) qualify coalesce(power(v - avg(v) over w, 2) > 16 * greatest(var_pop(v) over w, 4), false)"
+    return rows, frames, set(duckdb.sql(sql).fetchall())
+
+
+def test_backgrounds_on_the_threshold_are_as_their_sql_says(spark):
+    rows, frames, want = on_the_threshold()
+    got = S.background_gaussian(spark.createDataFrame(frames).repartition(3)).where("mask = 255").select("x", "tick").collect()
+    assert {tuple(r) for r in got} == want and 0 < sum(t + 1 == len(rows[x]) for x, t in want) < len(rows)
