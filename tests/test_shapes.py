@@ -112,3 +112,9 @@ def test_backgrounds_on_the_threshold_are_as_their_sql_says(spark):
     rows, frames, want = on_the_threshold()
     got = S.background_gaussian(spark.createDataFrame(frames).repartition(3)).where("mask = 255").select("x", "tick").collect()
     assert {tuple(r) for r in got} == want and 0 < sum(t + 1 == len(rows[x]) for x, t in want) < len(rows)
+
+
+def test_what_is_left_of_frames_on_the_threshold_is_as_its_sql_says(spark):
+    _, frames, want = on_the_threshold()
+    got = S.background_removed(spark.createDataFrame(frames).repartition(3)).where("v > 0").select("x", "tick").collect()
+    assert {tuple(r) for r in got} == want
