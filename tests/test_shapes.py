@@ -118,3 +118,11 @@ def test_what_is_left_of_frames_on_the_threshold_is_as_its_sql_says(spark):
     _, frames, want = on_the_threshold()
     got = S.background_removed(spark.createDataFrame(frames).repartition(3)).where("v > 0").select("x", "tick").collect()
     assert {tuple(r) for r in got} == want
+
+
+def test_oriented_boxes_have_the_least_area(spark):
+    """A bar with a corner, whose principal axes' box is larger; a slanted and an upright line; one pixel; nothing set."""
+    sets = [[(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 2)], [(3, 0), (2, 1), (1, 2)], [(4, 1), (4, 2), (4, 5)], [(6, 5)], []]
+    rows = [(i, y, x, 255.0) for i, s in enumerate(sets) for x, y in s] + [(4, 0, 0, 0.0)]
+    got = {r["raster_id"]: tuple(round(v, 6) for v in (r["cx"], r["cy"], r["angle"], r["length"], r["width"])) for r in G.oriented_box(spark.createDataFrame(rows, "raster_id long, y int, x int, v double")).collect()}
+    assert got == {0: (2, 1, 0, 4, 2), 1: (2, 1, -45, round(math.sqrt(8), 6), 0), 2: (4, 3, -90, 4, 0), 3: (6, 5, 0, 0, 0)}
