@@ -170,3 +170,32 @@ def test_candidates_hold_the_nearest_and_little_else(scale, middle):
     assert want <= set(zip(a.tolist(), b.tolist(), strict=True)) and (scale > 1e20 or len(a) < 50 * 60)
     rows, cols, d = M._close(q, t, 5, "euclidean")
     assert want == set(zip(rows.tolist(), cols.tolist(), strict=True)) and np.allclose(d, far[rows, cols])
+
+
+def test_every_vector_is_matched(spark):
+    """Not those alone whose id is divisible by 50."""
+    from meristem import catalog
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    v, ids = np.array([r["embedding"] for r in e], float), [r["vec_id"] for r in e]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) + np.diag(np.full(len(v), np.inf))
+    order = np.argsort(d, axis=1, kind="stable")[:, :2]
+    want = {(ids[i], ids[a]) for i, (a, b) in enumerate(order) if d[i, a] < 0.9 * d[i, b]}
+    got = {(r["q"], r["t"]) for r in catalog.queries()["feat_matcher"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and any(q % 50 for q, _ in want)
+
+
+def test_tiles_give_the_nearest_of_all(monkeypatch):
+    """Rows in falling distance, so that each tile's are nearer than all before, copies among them, and pairs that are apart."""
+    monkeypatch.setattr(M, "TILE", 50)
+    rng = np.random.default_rng(9)
+    t = rng.normal(size=(430, 4))
+    t = t[np.argsort(-(t**2).sum(1))]
+    t[400:430] = t[300:330]
+    q = np.concatenate([t[::4] * 0.1, t[::7]])
+    apart = np.array([(i, j) for i in range(len(q)) for j in rng.choice(430, 3, replace=False)])
+    far = M._far(q, t, "euclidean")
+    far[apart[:, 0], apart[:, 1]] = np.inf
+    want = np.argsort(far, axis=1, kind="stable")[:, :3]
+    a, b, d = M._close(q, t, 3, "euclidean", apart)
+    assert (a == np.repeat(np.arange(len(q)), 3)).all() and (b.reshape(-1, 3) == want).all() and (d.reshape(-1, 3) == np.take_along_axis(far, want, axis=1)).all()
