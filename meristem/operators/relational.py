@@ -77,15 +77,29 @@ def sample(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     return df.withColumn("__mark", mark).orderBy("__mark").limit(n).drop("__mark")
 
 
+TOP = 100_000  # rows of a top-n, which tasks hold
+
+
 @operator("df_slice")
 def slice_rows(df: DataFrame, start: int, stop: int | None, order: list[str]) -> DataFrame:
-    """Rows from start up to stop in an order; negative places count from the end. Rows are found by top-n, not by numbering the table."""
-    keys = [column(df, c).asc_nulls_last() for c in [*order, *[c for c in df.columns if c not in order]]]
-    if start < 0 or (stop is not None and stop < 0):
-        n = df.count()
-        start, stop = max(0, start + n) if start < 0 else start, (max(0, stop + n) if stop is not None and stop < 0 else stop)
-    out = df.orderBy(*keys).offset(start)
-    return out if stop is None else out.limit(max(0, stop - start))
+    """Rows from start up to stop in an order; negative places count from the end. Rows within TOP of either end are found by top-n from that end; others by their places in range pieces."""
+    columns = [column(df, c) for c in [*order, *[c for c in df.columns if c not in order]]]
+    keys, back = [c.asc_nulls_last() for c in columns], [c.desc_nulls_first() for c in columns]
+    if -TOP <= start < 0 and (stop is None or stop < 0):
+        skip = -(stop or 0)
+        return df.orderBy(*back).offset(skip).limit(max(0, -start - skip)).orderBy(*keys)
+    if start >= 0 and stop is not None and 0 <= stop <= TOP:
+        return df.orderBy(*keys).offset(start).limit(max(0, stop - start))
+    n = df.count()
+    start, stop = (max(0, p + n) if p < 0 else min(p, n) for p in (start, n if stop is None else stop))
+    if start >= stop:
+        return df.limit(0)
+    if stop <= TOP:
+        return df.orderBy(*keys).offset(start).limit(stop - start)
+    if n - start <= TOP:
+        return df.orderBy(*back).offset(n - stop).limit(stop - start).orderBy(*keys)
+    place = F.col("__place")
+    return numbered(df, keys, "__place").where((place >= start) & (place < stop)).drop("__place").orderBy(*keys)
 
 
 AGGREGATES = {

@@ -176,3 +176,20 @@ def test_streams_keep_state(spark, tmp_path):
     got = {(r["k"], r["i"]): r["filtered"] for r in spark.table("ema").collect()}
     want = signals.exponential_average(spark.createDataFrame(rows, "k int, i long, v double"), "v", "i", ["k"]).collect()
     assert len(got) == 24 and all(got[r["k"], r["i"]] == pytest.approx(r["filtered"]) for r in want)
+
+
+@pytest.mark.parametrize("top", [100_000, 15, 0])
+def test_slices_are_those_of_a_list(spark, monkeypatch, top):
+    """From either end, across it, and beyond the rows that a top-n may hold."""
+    monkeypatch.setattr(relational, "TOP", top)
+    rows = [(i * 7 % 40 if i % 9 else None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(3)
+    whole = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for start, stop in ((-9, -4), (-60, -30), (-9, None), (-4, -9), (3, 8), (3, -20), (-38, 9), (22, 31), (12, None), (0, None), (30, 99), (50, 60), (-50, 0)):
+        assert [tuple(r) for r in relational.slice_rows(df, start, stop, ["k"]).collect()] == whole[start:stop], (start, stop)
+
+
+def test_a_slice_at_the_end_keeps_few_rows(spark):
+    """The last fifty of many rows are the first fifty in the other order; a top-n from the front would hold the whole table."""
+    plan = relational.slice_rows(spark.range(5_000), -50, -20, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "limit=50," in plan and "limit=49" not in plan
