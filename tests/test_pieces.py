@@ -129,3 +129,21 @@ def test_distances_of_copies_far_off_are_zero():
     d = _distances(x, np.concatenate([x, x + 2]))
     plain = np.sqrt(((x[:, None] - np.concatenate([x, x + 2])[None]) ** 2).sum(2))
     assert (np.diag(d) == 0).all() and np.abs(d - plain).max() < 1e-9
+
+
+def test_silhouettes_measure_a_pair_once(spark, monkeypatch):
+    """Blocks meet once and not from both sides, and a row moves once for each block; clusters of one tile are many, or larger than a block."""
+    monkeypatch.setattr("meristem.operators.silhouettes.BLOCK", 64)
+    rng = np.random.default_rng(7)
+    x, c = rng.normal(size=(300, 3)), np.where(np.arange(300) < 160, 0, rng.integers(1, 50, 300))
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(300):
+        own = (c == c[i]) & (np.arange(300) != i)
+        a, b = far[i][own].mean() if own.any() else 0, min(far[i][c == o].mean() for o in set(c) - {c[i]})
+        want.append((b - a) / max(a, b) if own.any() else 0)
+    df = spark.createDataFrame([(*map(float, p), str(k)) for p, k in zip(x, c, strict=True)], "p double, q double, r double, k string").repartition(3)
+    out = silhouette(df, ["p", "q", "r"], "k")
+    assert out.first()["silhouette"] == pytest.approx(np.mean(want), abs=1e-9) and out.first()["n"] == 300
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ", 36), REPARTITION" in plan and "CoGroup" not in plan
